@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from catalog import describing
+from catalog import categories, correlating, describing, targets
 from catalog.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "describing"]
+__all__ = ["QUERIES", "SQL", "categories", "correlating", "describing", "targets"]
