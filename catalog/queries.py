@@ -1,6 +1,16 @@
 """All registered queries."""
 
-from catalog import categories, correlating, describing, targets
+from catalog import associating, categories, cleaning, correlating, describing, interacting, targets
 from catalog.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "categories", "correlating", "describing", "targets"]
+__all__ = [
+    "QUERIES",
+    "SQL",
+    "associating",
+    "categories",
+    "cleaning",
+    "correlating",
+    "describing",
+    "interacting",
+    "targets",
+]
