@@ -1,6 +1,17 @@
 """All registered queries."""
 
-from catalog import associating, categories, cleaning, correlating, describing, interacting, targets
+from catalog import (
+    associating,
+    categories,
+    cleaning,
+    correlating,
+    describing,
+    findings,
+    interacting,
+    quality,
+    reading,
+    targets,
+)
 from catalog.registry import QUERIES, SQL
 
 __all__ = [
@@ -11,6 +22,9 @@ __all__ = [
     "cleaning",
     "correlating",
     "describing",
+    "findings",
     "interacting",
+    "quality",
+    "reading",
     "targets",
 ]
