@@ -18,6 +18,7 @@ from tabscope.operators.cleaning import dataset_profile
 from tabscope.operators.profile import Profile
 from tabscope.operators.target import resolve_target, target_table
 from tabscope.plans.kinds import column_kinds
+from tabscope.plans.local import keep_rows
 
 
 def profile(
@@ -36,14 +37,14 @@ def profile(
     found = resolve_target(df, target, no_target)
     p = Profile(df, found, categoricals, duplicates)
     data, kinds = p.df, p.kinds
-    flags = quality.run_quality_rules(p)
-    bins = describe.histogram(data, kinds.numeric, stats=p.stats)
+    flags = keep_rows(quality.run_quality_rules(p))
+    bins = keep_rows(describe.histogram(data, kinds.numeric, stats=p.stats))
     out = {
         "column_kinds": column_kinds(df, p.encoded),
         "dataset_profile": dataset_profile(df),
         "target": target_table(data, found),
         "describe_numeric": p.described,
-        "describe_categorical": describe.describe_categorical(data, kinds.categorical),
+        "describe_categorical": describe.describe_categorical(data, counts=p.value_counts),
         "missing_analysis": p.missing,
         "missing_total": p.missing_total,
         "histogram": bins,
@@ -51,15 +52,15 @@ def profile(
         "correlation_matrix": correlate.correlation_matrix(data, kinds.numeric, p.stats),
         "ranked_pairs": correlate.ranked_pairs(p.pairs),
         "categorical_summary": p.categorical,
-        "categorical_values": categorical.top_values(data, kinds.categorical),
+        "categorical_values": categorical.top_values(data, counts=p.value_counts),
         "ordinal_spearman": correlate.ordinal_spearman(data, p.encoded),
         "flags": flags,
         "status": quality.quality_status(flags),
     }
     if found.column is not None:
         name = found.column
-        associations = associate.feature_associations(data, found, key=key)
-        signals = interact.interaction_signals(data, found, associations)
+        associations = keep_rows(associate.feature_associations(data, found, key=key))
+        signals = keep_rows(interact.interaction_signals(data, found, associations))
         out["feature_associations"] = associations
         out["interaction_signals"] = signals
         out["findings"] = findings.assemble_findings(p, flags, associations, signals)

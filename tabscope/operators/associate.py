@@ -13,6 +13,7 @@ from tabscope.operators.target import Target
 from tabscope.plans.counts import long_form
 from tabscope.plans.kinds import clean, infer_kinds
 from tabscope.plans.pairs import pair_correlations
+from tabscope.plans.local import local_table
 
 FEATURES_PER_PASS = 24
 EFFECTS = (
@@ -210,7 +211,7 @@ def effect_sizes(
         if categorical:
             parts.append(eta_squared(group_moments_by_value(df, target, categorical)))
     if not parts:
-        return df.sparkSession.createDataFrame([], EFFECTS)
+        return local_table(df.sparkSession, [], EFFECTS)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -232,13 +233,13 @@ def feature_associations(
     """
     spark = df.sparkSession
     if target.column is None or target.problem_type == "unsupervised":
-        return spark.createDataFrame([], ASSOCIATIONS)
+        return local_table(spark, [], ASSOCIATIONS)
     name, task = target.column, target.problem_type
     kinds = infer_kinds(df, encoded).without(name)
     numeric, categorical = kinds.numeric, kinds.categorical
     features = [*numeric, *categorical]
     if not features:
-        return spark.createDataFrame([], ASSOCIATIONS)
+        return local_table(spark, [], ASSOCIATIONS)
     keys = key or df.columns
     # The key columns travel along under other names: missing values are filled in the features.
     tags = {f"__key_{i}": col(c).cast("string") for i, c in enumerate(keys)}
@@ -253,7 +254,8 @@ def feature_associations(
     )
     effects = effect_sizes(rows, name, task, numeric, categorical)
     scores = mutual_information(rows, name, task, numeric, categorical, list(tags), max_rows)
-    frame = spark.createDataFrame(
+    frame = local_table(
+        spark,
         [
             (
                 i,

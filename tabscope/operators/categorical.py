@@ -8,18 +8,25 @@ from pyspark.sql import functions as F
 from tabscope.functions.columns import RARE_SHARE, col, position_in, share
 from tabscope.plans.counts import entropy_bits, long_form, top_by_count, value_counts
 from tabscope.plans.kinds import infer_kinds
+from tabscope.plans.local import local_table
 
 TOP_VALUES = 10
 
 
 def _totals(counts: DataFrame) -> DataFrame:
-    """One row per column; the value counts feed both uses through one shuffle."""
-    return counts.groupBy("column").agg(F.sum("count").alias("total"))
+    """One row per column of the schema, hence safe to broadcast. The value counts behind it
+    and behind its user are shuffled once: Spark reuses the exchange."""
+    return F.broadcast(counts.groupBy("column").agg(F.sum("count").alias("total")))
 
 
-def top_values(df: DataFrame, columns: list[str] | None = None, n: int = TOP_VALUES) -> DataFrame:
+def top_values(
+    df: DataFrame,
+    columns: list[str] | None = None,
+    n: int = TOP_VALUES,
+    counts: DataFrame | None = None,
+) -> DataFrame:
     """(column, rank, value, count, pct, is_rare): the n most frequent values per column."""
-    counts = value_counts(df, columns)
+    counts = counts if counts is not None else value_counts(df, columns)
     part = share(F.col("count"), F.col("total"))
     return (
         top_by_count(counts, n, "column")
@@ -38,7 +45,8 @@ def top_values(df: DataFrame, columns: list[str] | None = None, n: int = TOP_VAL
 def summary_from_counts(counts: DataFrame, columns: list[str], n: int = TOP_VALUES) -> DataFrame:
     """``categorical_summary`` from an existing value-count table."""
     spark = counts.sparkSession
-    names = spark.createDataFrame(
+    names = local_table(
+        spark,
         [(i, c) for i, c in enumerate(columns, start=1)], "position int, column string"
     )
     shape = counts.groupBy("column").agg(

@@ -199,13 +199,41 @@ def fill_categorical_missing(
     return data
 
 
+def _shared_start(low: str | None, high: str | None) -> int:
+    """Length of the start that the smallest and largest text, hence all texts, share."""
+    n = 0
+    for a, b in zip(low or "", high or ""):
+        if a != b:
+            break
+        n += 1
+    return n
+
+
 def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, value, code): codes 0..k-1 in value order. Meant for category columns."""
-    order = Window.partitionBy("column").orderBy("value")
+    """(column, value, code): codes 0..k-1 in value order.
+
+    Values are numbered inside groups that begin alike, and the sizes of the groups before are
+    added, so that a column of very many values is not ranked in one task.
+    """
+    values = value_counts(df, columns).select("column", "value")
+    ends = values.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    starts = {r["column"]: _shared_start(r["lo"], r["hi"]) for r in ends.collect()}
+    if not starts:
+        return values.withColumn("code", F.lit(0).cast("long"))
+    skip = F.element_at(F.create_map(*[F.lit(v) for kv in starts.items() for v in kv]), F.col("column"))
+    grouped = values.withColumn("start", F.substr("value", skip + 1, F.lit(2)))
+    below = Window.partitionBy("column").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        grouped.groupBy("column", "start")
+        .agg(F.count(F.lit(1)).alias("size"))
+        .withColumn("before", F.coalesce(F.sum("size").over(below), F.lit(0)))
+        .select("column", "start", "before")
+    )
+    inside = Window.partitionBy("column", "start").orderBy("value")
     return (
-        value_counts(df, columns)
-        .select("column", "value")
-        .withColumn("code", (F.row_number().over(order) - 1).cast("long"))
+        grouped.withColumn("place", F.row_number().over(inside))
+        .join(before, ["column", "start"])
+        .select("column", "value", (F.col("before") + F.col("place") - 1).cast("long").alias("code"))
     )
 
 
@@ -259,8 +287,8 @@ def stratified_sample(
 
     Rows are taken in the order of a digest of their key, so the sample does not depend on
     the partitioning or on a retried task. ``key`` should identify a row; all columns by
-    default. A first cut on the digest leaves about twice the rows wanted; only those are
-    ranked, and the cut is dropped for a class in which it left too few.
+    default, which fits rows without copies (``drop_duplicate_rows``). A first cut on the
+    digest leaves about twice the rows wanted, and only those are ranked.
     """
     keys = [col(c) for c in (key or df.columns)]
     digest = row_digest([F.lit(seed), *keys])
@@ -305,7 +333,9 @@ def stratified_sample(
     )
     near = tagged.filter(_digest_share(F.col("__digest")) < F.col("__cut"))
     order = Window.partitionBy("__class").orderBy("__digest")
+    # The second condition has a fixed limit, which Spark applies per task before the shuffle:
+    # rows with one and the same key cannot pile up in the task that ranks them.
     ranked = near.withColumn("__rank", F.row_number().over(order)).filter(
-        F.col("__rank") <= F.col("__quota")
+        (F.col("__rank") <= F.col("__quota")) & (F.col("__rank") <= n)
     )
     return ranked.drop("__class", "__quota", "__cut", "__digest", "__rank")

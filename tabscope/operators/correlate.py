@@ -12,6 +12,7 @@ from tabscope.plans.counts import value_counts
 from tabscope.plans.kinds import clean, infer_kinds
 from tabscope.plans.moments import basic_stats
 from tabscope.plans.pairs import pair_correlations
+from tabscope.plans.local import local_table
 
 RANK_BUCKETS = 1024
 
@@ -26,7 +27,7 @@ def correlation_matrix(
         "col_a", "col_b", F.round("r", 4).alias("r")
     )
     ones = [(c, c, 1.0 if stats[c]["min"] != stats[c]["max"] else None) for c in names]
-    diagonal = df.sparkSession.createDataFrame(ones, "col_a string, col_b string, r double")
+    diagonal = local_table(df.sparkSession, ones, "col_a string, col_b string, r double")
     mirrored = pairs.select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "r")
     return pairs.unionByName(mirrored).unionByName(diagonal)
 
@@ -105,10 +106,11 @@ def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     spark = df.sparkSession
     pairs = list(combinations(columns, 2))
     if not pairs:
-        return spark.createDataFrame([], "col_a string, col_b string, n long, rho double")
+        return local_table(spark, [], "col_a string, col_b string, n long, rho double")
     numbers = df.select(*[F.expr(f"try_cast(`{c}` AS double)").alias(c) for c in columns])
     stats = basic_stats(numbers, columns)
-    bounds = spark.createDataFrame(
+    bounds = local_table(
+        spark,
         [
             (i, stats[a]["min"], stats[a]["max"], stats[b]["min"], stats[b]["max"])
             for i, (a, b) in enumerate(pairs)
@@ -136,7 +138,7 @@ def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     size = cells.groupBy("pair").agg(F.sum("n").alias("rows"))
     middle = (F.col("rows") + 1) / 2
     da, db, n = F.col("rank_a") - middle, F.col("rank_b") - middle, F.col("n")
-    sums = ranked.join(size, "pair").groupBy("pair").agg(
+    sums = ranked.join(F.broadcast(size), "pair").groupBy("pair").agg(
         F.max("rows").alias("n"),
         F.sum(n * da * db).alias("ab"),
         F.sum(n * da * da).alias("aa"),

@@ -14,6 +14,7 @@ from tabscope.plans.counts import top_by_count, value_counts
 from tabscope.plans.kinds import clean, infer_kinds
 from tabscope.plans.moments import basic_stats, collect_moments, numeric_moments
 from tabscope.plans.quantiles import exact_quantiles
+from tabscope.plans.local import local_table
 
 BINS = 30
 PEAK_SIGMAS = 3.0
@@ -61,7 +62,7 @@ def describe_numeric(
                 s["all_integer"],
             )
         )
-    return df.sparkSession.createDataFrame(rows, _DESCRIBE)
+    return local_table(df.sparkSession, rows, _DESCRIBE)
 
 
 def adjusted_moments(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -69,9 +70,11 @@ def adjusted_moments(df: DataFrame, columns: list[str] | None = None) -> DataFra
     return numeric_moments(df, columns).select("column", "count", "skewness", "kurtosis")
 
 
-def describe_categorical(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def describe_categorical(
+    df: DataFrame, columns: list[str] | None = None, counts: DataFrame | None = None
+) -> DataFrame:
     """One row per categorical column with values: count, unique, top, freq (ties: smallest)."""
-    counts = value_counts(df, columns)
+    counts = counts if counts is not None else value_counts(df, columns)
     totals = counts.groupBy("column").agg(
         F.sum("count").alias("count"), F.count(F.lit(1)).alias("unique")
     )
@@ -84,37 +87,43 @@ def describe_categorical(df: DataFrame, columns: list[str] | None = None) -> Dat
 def missing_analysis(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per column: n_rows, missing, missing_share and missing_pct (2 dp)."""
     names = columns or df.columns
-    wide = clean(df, names).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        *[F.count(col(c)).alias(f"present_{i}") for i, c in enumerate(names)],
-    )
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(i + 1).alias("position"),
-                F.lit(c).alias("column"),
-                F.col("n_rows"),
-                (F.col("n_rows") - F.col(f"present_{i}")).alias("missing"),
-            )
-            for i, c in enumerate(names)
-        ]
+    row = (
+        clean(df, names)
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            *[F.count(col(c)).alias(f"present{i}") for i, c in enumerate(names)],
+        )
+        .first()
     )
-    out = wide.select(F.explode(entries).alias("e")).select("e.*")
+    present = {c: row[f"present{i}"] for i, c in enumerate(names)}
+    return missing_from_counts(df.sparkSession, row["n"], present)
+
+
+def missing_from_counts(spark, n_rows: int, present: dict[str, int]) -> DataFrame:
+    """``missing_analysis`` from counts that are already known."""
     rate = F.coalesce(share(F.col("missing"), F.col("n_rows")), F.lit(0.0))
+    rows = [(i, c, n_rows, n_rows - n) for i, (c, n) in enumerate(present.items(), start=1)]
+    out = local_table(spark, rows, "position int, column string, n_rows long, missing long")
     return out.withColumn("missing_share", rate).withColumn("missing_pct", F.round(rate * 100, 2))
 
 
-def missing_total(df: DataFrame) -> DataFrame:
-    """One row: cells, missing cells and their share and percentage (2 dp, 0 when empty)."""
+def total_from_missing(missing: DataFrame) -> DataFrame:
     rate = F.coalesce(share(F.col("missing"), F.col("cells")), F.lit(0.0))
     return (
-        missing_analysis(df)
-        .agg(F.sum("n_rows").alias("cells"), F.sum("missing").alias("missing"))
+        missing.agg(
+            F.coalesce(F.sum("n_rows"), F.lit(0)).alias("cells"),
+            F.coalesce(F.sum("missing"), F.lit(0)).alias("missing"),
+        )
         .withColumn("missing_share", rate)
         .withColumn("total_pct", F.round(rate * 100, 2))
     )
 
 
+def missing_total(df: DataFrame) -> DataFrame:
+    """One row: cells, missing cells and their share and percentage (2 dp, 0 when empty)."""
+    return total_from_missing(missing_analysis(df))
+
+
 def spread_metrics(described: DataFrame) -> DataFrame:
     """IQR, coefficient of variation and Tukey fences from ``describe_numeric``."""
     iqr = F.col("q75") - F.col("q25")
@@ -231,7 +240,7 @@ def histogram(
     stats = stats or basic_stats(df, names)
     names = [c for c in names if stats[c]["count"] > 0]
     if not names:
-        return df.sparkSession.createDataFrame([], schema)
+        return local_table(df.sparkSession, [], schema)
     ranges = {c: (stats[c]["min"], stats[c]["max"]) for c in names}
     counted = _bins_of(df, ranges, bins).groupBy("pos", "bin").agg(F.count(F.lit(1)).alias("count"))
     label = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("pos") + 1)
@@ -242,7 +251,8 @@ def histogram(
         low, high, width = _bin_edges(stats[c]["min"], stats[c]["max"], bins)
         for b in range(bins):
             frame.append((c, b, low + b * width, high if b == bins - 1 else low + (b + 1) * width))
-    edges = df.sparkSession.createDataFrame(
+    edges = local_table(
+        df.sparkSession,
         frame, "column string, bin int, low double, high double"
     )
     return edges.join(counted, ["column", "bin"], "left").select(
@@ -295,52 +305,51 @@ def zero_inflation(
 ) -> DataFrame:
     """Columns with many exact zeros; a two-valued target counts as class imbalance instead."""
     names = infer_kinds(df).numeric if columns is None else list(columns)
-    stats = df.sparkSession.createDataFrame(
-        [(c, s["count"], s["zeros"], s["approx_distinct"]) for c, s in basic_stats(df, names).items()],
-        "column string, count long, zeros long, approx_distinct long",
-    )
-    zeros, n = F.col("zeros"), F.col("count")
-    pct = share(zeros, n) * 100
-    # approx_distinct is exact in effect for so few values.
-    binary_target = (F.col("column") == F.lit(target)) & (F.col("approx_distinct") <= 2)
-    return stats.filter(pct >= min_pct).select(
-        "column",
-        zeros.alias("zero_count"),
-        (n - zeros).alias("nonzero_count"),
-        pct.alias("zero_pct"),
-        F.when(binary_target, "class_imbalance").otherwise("zero_inflation").alias("label"),
+    stats = basic_stats(df, names)
+    rows = []
+    for c, s in stats.items():
+        if s["count"] and s["zeros"] / s["count"] * 100 >= min_pct:
+            label = "zero_inflation"
+            if c == target:
+                x = col(c).cast("double")
+                between = clean(df, [c]).filter((x != s["min"]) & (x != s["max"]))
+                label = "class_imbalance" if between.isEmpty() else label
+            rows.append((c, s["zeros"], s["count"] - s["zeros"], s["zeros"] / s["count"] * 100, label))
+    return local_table(
+        df.sparkSession,
+        rows,
+        "column string, zero_count long, nonzero_count long, zero_pct double, label string",
     )
 
 
 def kde_curve(df: DataFrame, column: str, points: int = 200) -> DataFrame:
     """(point, x, density): Gaussian kernel density with Scott's bandwidth on an even grid.
 
-    Equal values are counted first. Each task then sums its values' kernels on the grid with
-    numpy and hands on one row per grid point, so the grid never meets the rows in a join.
+    Each task counts equal values in a batch, sums their kernels on the grid with numpy and
+    hands on one row per grid point: the grid never meets the rows in a join, and no row of
+    the table is shuffled.
     """
     s = collect_moments(df, [column])[column]
     schema = "point int, x double, density double"
     n, std = s["count"], s["std"]
     if n < 2 or not std:
-        return df.sparkSession.createDataFrame([], schema)
+        return local_table(df.sparkSession, [], schema)
     width = std * n ** (-1.0 / 5.0)
     grid = np.linspace(s["min"], s["max"], points)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(points)
         for batch in batches:
-            for start in range(0, len(batch), 2000):
-                part = batch.iloc[start : start + 2000]
-                z = (grid[:, None] - part["value"].to_numpy()[None, :]) / width
-                total += np.exp(-0.5 * z * z) @ part["count"].to_numpy().astype("float64")
+            values, counts = np.unique(batch["value"].to_numpy(), return_counts=True)
+            for start in range(0, len(values), 2000):
+                z = (grid[:, None] - values[None, start : start + 2000]) / width
+                total += np.exp(-0.5 * z * z) @ counts[start : start + 2000].astype("float64")
         yield pd.DataFrame({"point": np.arange(points, dtype="int32"), "weight": total})
 
     weights = (
         clean(df, [column])
         .select(col(column).cast("double").alias("value"))
         .filter("value IS NOT NULL")
-        .groupBy("value")
-        .agg(F.count(F.lit(1)).alias("count"))
         .mapInPandas(partial, "point int, weight double")
         .groupBy("point")
         .agg(F.sum("weight").alias("weight"))

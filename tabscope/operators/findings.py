@@ -11,6 +11,7 @@ from tabscope.functions.columns import vif
 from tabscope.operators import associate, categorical, correlate, describe, interact, quality
 from tabscope.operators import target_analysis as ta
 from tabscope.operators.profile import Profile
+from tabscope.plans.local import keep_rows, local_table
 
 FINDINGS = (
     "section_no int, section string, code string, severity string, column string, value double, "
@@ -66,7 +67,8 @@ def overview_row(p: Profile, subtypes: dict[str, str] | None = None) -> DataFram
     kinds = p.kinds
     nominal = [c for c in p.encoded if (subtypes or {}).get(c, "nominal") == "nominal"]
     ordinal = [c for c in p.encoded if (subtypes or {}).get(c) == "ordinal"]
-    row = p.spark.createDataFrame(
+    row = local_table(
+        p.spark,
         [
             (
                 len(p.df.columns),
@@ -193,7 +195,7 @@ def limitation_findings(
 ) -> DataFrame:
     """What the analysis cannot tell."""
     if signals is None:
-        found = p.spark.createDataFrame([(0,)], "n long")
+        found = local_table(p.spark, [(0,)], "n long")
     else:
         found = signals.select("type", "subject").distinct().agg(F.count(F.lit(1)).alias("n"))
     n = F.col("n")
@@ -211,7 +213,7 @@ def limitation_findings(
         F.col("missing_pct"),
     )
     temporal = _finding(
-        p.spark.createDataFrame([(0,)], "n long"), "limitations", "no_temporal_validation"
+        local_table(p.spark, [(0,)], "n long"), "limitations", "no_temporal_validation"
     )
     outliers = _finding(
         flags.filter("rule = 'outliers_iqr'").agg(F.count(F.lit(1)).alias("n")).filter("n > 0"),
@@ -219,7 +221,7 @@ def limitation_findings(
         "outlier_flags_may_be_groups",
         value=F.col("n"),
     )
-    small = p.spark.createDataFrame([(p.n_rows,)], "n long").filter(n < FEW_ROWS)
+    small = local_table(p.spark, [(p.n_rows,)], "n long").filter(n < FEW_ROWS)
     few_rows = _finding(small, "limitations", "few_rows", value=n)
     return _union([interactions, sparse, temporal, outliers, few_rows])
 
@@ -234,14 +236,13 @@ def assemble_findings(
     """All sections in order. Missing parts are computed; those without input stay away."""
     if flags is None:
         # One row per finding of a rule, read by several sections below.
-        rows = quality.run_quality_rules(p)
-        flags = p.spark.createDataFrame(rows.collect(), rows.schema)
+        flags = keep_rows(quality.run_quality_rules(p))
     target = p.target
     has_target = target is not None and target.column is not None
     if has_target and associations is None:
-        associations = associate.feature_associations(p.df, target, key=key)
+        associations = keep_rows(associate.feature_associations(p.df, target, key=key))
     if has_target and signals is None:
-        signals = interact.interaction_signals(p.df, target, associations)
+        signals = keep_rows(interact.interaction_signals(p.df, target, associations))
     parts = []
     overview = overview_row(p)
     for metric in ("original_rows", "n_columns", "n_numeric", "n_categorical", "duplicate_count"):
@@ -353,10 +354,10 @@ def fact_table(
     signals: DataFrame | None = None,
 ) -> DataFrame:
     """Every statistic as (section, column, metric, value, text)."""
-    flags = flags if flags is not None else quality.run_quality_rules(p)
+    flags = flags if flags is not None else keep_rows(quality.run_quality_rules(p))
     name = F.col("column")
     target = p.target.column if p.target is not None else None
-    bins = describe.histogram(p.df, p.kinds.numeric, stats=p.stats)
+    bins = keep_rows(describe.histogram(p.df, p.kinds.numeric, stats=p.stats))
     parts = [
         _facts(p.missing, "missing", name, ["missing", "missing_pct"]),
         _facts(
@@ -394,7 +395,7 @@ def fact_table(
             ["cardinality", "entropy_bits", "rare_count", "more_values"],
         ),
         _facts(
-            categorical.top_values(p.df, p.kinds.categorical),
+            categorical.top_values(p.df, counts=p.value_counts),
             "categorical",
             name,
             ["count", "pct"],
@@ -403,7 +404,8 @@ def fact_table(
         _facts(flags, "quality", name, ["value"], F.concat("severity", F.lit(" "), "rule")),
     ]
     if target is not None and p.target.problem_type == "classification":
-        rates = categorical.target_rates(p.df, target, p.kinds.categorical)
+        # At most ten values per column, times the classes.
+        rates = keep_rows(categorical.target_rates(p.df, target, p.kinds.categorical))
         parts.append(
             _facts(
                 rates, "target_rates", name, ["rate"], F.concat("value", F.lit(" / "), "class")

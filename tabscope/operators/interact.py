@@ -12,6 +12,7 @@ from tabscope.functions.columns import col
 from tabscope.operators.target import Target, binarise_target
 from tabscope.plans.kinds import infer_kinds, normalise
 from tabscope.plans.quantiles import exact_medians, exact_quantiles
+from tabscope.plans.local import local_table
 
 # Fixed value: what counts as a numbered column.
 FAMILY_PATTERN = r"^([a-zA-Z_]+?)_?(\d+)$"
@@ -43,7 +44,8 @@ def column_families(columns: list[str]) -> dict[str, list[str]]:
 
 def family_table(df: DataFrame, target: str | None = None) -> DataFrame:
     families = column_families([c for c in infer_kinds(df).numeric if c != target])
-    return df.sparkSession.createDataFrame(
+    return local_table(
+        df.sparkSession,
         [(name, i, c) for name, cols in families.items() for i, c in enumerate(cols)],
         "family string, member int, column string",
     )
@@ -104,7 +106,7 @@ def _quintile(name: str, edges: list[float]) -> Column:
 def _group_rates(df: DataFrame, target: Target, entries: list[Column]) -> DataFrame:
     """Rates of all signals from one explode and one shuffle of at most a few groups each."""
     if not entries:
-        return df.sparkSession.createDataFrame([], SIGNALS)
+        return local_table(df.sparkSession, [], SIGNALS)
     data = binarise_target(df, target, "__positive")
     total = data.agg(F.avg("__positive").alias("rate"), F.sum("__positive").alias("sum")).first()
     groups = (
@@ -196,7 +198,7 @@ def interaction_signals(
     ``associations`` (``feature_associations``) names the features for segments and quintiles.
     """
     if target.column is None or target.problem_type == "unsupervised":
-        return df.sparkSession.createDataFrame([], SIGNALS)
+        return local_table(df.sparkSession, [], SIGNALS)
     df = normalise(df)
     families, medians = _families(df, target)
     entries = []

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tabscope.functions.columns import col
 from tabscope.operators.cleaning import SAMPLE_ROWS, row_digest, stratified_sample
+from tabscope.plans.local import local_table
 
 NEIGHBOURS = 3
 JITTER = 1e-10
@@ -167,7 +168,7 @@ def mutual_information(
     names = [*numeric, *categorical]
     schema = "feature string, mi_score double"
     if not names:
-        return df.sparkSession.createDataFrame([], schema)
+        return local_table(df.sparkSession, [], schema)
     classification = task == "classification"
     keys = key or df.columns
     rows = stratified_sample(df, target if classification else None, max_rows, keys, seed)

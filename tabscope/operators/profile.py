@@ -16,6 +16,8 @@ from tabscope.plans.counts import value_counts
 from tabscope.plans.kinds import infer_kinds, normalise
 from tabscope.plans.moments import basic_stats, collect_moments
 from tabscope.plans.pairs import pair_correlations
+from tabscope.plans.scratch import materialise
+from tabscope.plans.local import keep_rows, local_table
 
 
 class Profile:
@@ -40,13 +42,25 @@ class Profile:
         self._duplicates = duplicates
         self.spark = df.sparkSession
 
-    def _small(self, df: DataFrame) -> DataFrame:
-        """Rows of a result with one row per column or pair, so that readers share one run."""
-        return self.spark.createDataFrame(df.collect(), df.schema)
-
     @cached_property
+    def overview(self) -> dict[str, tuple[int, int]]:
+        """(non-NULL rows, approximate distinct values) of every column, and the row count
+        under the empty name: one scan."""
+        names = self.df.columns
+        row = self.df.agg(
+            F.count(F.lit(1)).alias("n"),
+            *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(names)],
+            *[F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(names)],
+        ).first()
+        return {"": (row["n"], 0)} | {c: (row[f"n{i}"], row[f"d{i}"]) for i, c in enumerate(names)}
+
+    @property
     def n_rows(self) -> int:
-        return self.df.count()
+        return self.overview[""][0]
+
+    @property
+    def rough_distinct(self) -> dict[str, tuple[int, int]]:
+        return {c: v for c, v in self.overview.items() if c}
 
     @cached_property
     def stats(self) -> dict:
@@ -62,52 +76,36 @@ class Profile:
 
     @cached_property
     def missing(self) -> DataFrame:
-        return self._small(describe.missing_analysis(self.df))
+        present = {c: n for c, (n, _) in self.rough_distinct.items()}
+        return describe.missing_from_counts(self.spark, self.n_rows, present)
 
     @cached_property
     def missing_total(self) -> DataFrame:
-        rate = F.coalesce(F.try_divide(F.col("missing"), F.col("cells")), F.lit(0.0))
-        return (
-            self.missing.agg(
-                F.coalesce(F.sum("n_rows"), F.lit(0)).alias("cells"),
-                F.coalesce(F.sum("missing"), F.lit(0)).alias("missing"),
-            )
-            .withColumn("missing_share", rate)
-            .withColumn("total_pct", F.round(rate * 100, 2))
-        )
+        return describe.total_from_missing(self.missing)
 
     @cached_property
     def duplicates(self) -> DataFrame:
         """One row: n_rows (original), duplicate_count, duplicate_share."""
         if self._duplicates is None:
-            return self._small(
+            return keep_rows(
                 duplicate_summary(self.df).select("n_rows", "duplicate_count", "duplicate_share")
             )
         rows = self.n_rows + self._duplicates
-        return self.spark.createDataFrame(
+        return local_table(
+            self.spark,
             [(rows, self._duplicates, self._duplicates / max(rows, 1))],
             "n_rows long, duplicate_count long, duplicate_share double",
         )
 
     @cached_property
     def value_counts(self) -> DataFrame:
-        """As large as the distinct values, hence a plan and not kept rows."""
-        return value_counts(self.df, self.kinds.categorical)
+        """Counted once and kept as a table on shared storage: it may hold many values."""
+        return materialise(value_counts(self.df, self.kinds.categorical), "value-counts")
 
     @cached_property
     def categorical(self) -> DataFrame:
-        return self._small(summary_from_counts(self.value_counts, self.kinds.categorical))
+        return keep_rows(summary_from_counts(self.value_counts, self.kinds.categorical))
 
     @cached_property
     def pairs(self) -> DataFrame:
         return pair_correlations(self.df, self.kinds.numeric, stats=self.stats)
-
-    @cached_property
-    def rough_distinct(self) -> dict[str, tuple[int, int]]:
-        """(non-NULL rows, approximate distinct values) for every column."""
-        names = self.df.columns
-        row = self.df.agg(
-            *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(names)],
-            *[F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(names)],
-        ).first()
-        return {c: (row[f"n{i}"], row[f"d{i}"]) for i, c in enumerate(names)}

@@ -17,6 +17,7 @@ from tabscope.operators.describe import spread_metrics
 from tabscope.operators.profile import Profile
 from tabscope.plans.counts import long_form, top_by_count
 from tabscope.plans.kinds import clean
+from tabscope.plans.local import local_table
 
 FLAGS = (
     "rule_no int, seq int, column string, rule string, severity string, message string, "
@@ -105,7 +106,7 @@ def outlier_shares(p: Profile) -> DataFrame:
     schema = "position int, column string, outlier_share double"
     fences = spread_metrics(p.described).filter("count >= 4 AND iqr != 0").collect()
     if not fences:
-        return p.spark.createDataFrame([], schema)
+        return local_table(p.spark, [], schema)
     outside = [
         F.count(
             F.when(
@@ -115,7 +116,8 @@ def outlier_shares(p: Profile) -> DataFrame:
         for i, r in enumerate(fences)
     ]
     row = p.df.agg(*outside).first()
-    return p.spark.createDataFrame(
+    return local_table(
+        p.spark,
         [(r["position"], r["column"], row[i] / r["count"]) for i, r in enumerate(fences)], schema
     )
 
@@ -309,7 +311,7 @@ def redundancy_table(p: Profile) -> DataFrame:
         if r["cardinality"] != p.n_rows and 0 < r["cardinality"] <= p.n_rows // 2
     ]
     if p.n_rows < 10 or not usable or not p.kinds.numeric:
-        return p.spark.createDataFrame([], schema)
+        return local_table(p.spark, [], schema)
     out = None
     for start in range(0, len(p.kinds.numeric), 12):
         moments = _pair_group_moments(p, usable, p.kinds.numeric[start : start + 12])
@@ -344,7 +346,7 @@ def all_unique_column(p: Profile) -> DataFrame:
             if clean(p.df, [c]).distinct().count() == n:
                 rows.append((c, n))
                 break
-    first = p.spark.createDataFrame(rows, "column string, n long")
+    first = local_table(p.spark, rows, "column string, n long")
     return _flags(
         first,
         "all_unique_column",
@@ -388,7 +390,7 @@ def high_cardinality(p: Profile) -> DataFrame:
 
 def rare_category(p: Profile) -> DataFrame:
     if p.n_rows < 100:
-        return p.spark.createDataFrame([], FLAGS)
+        return local_table(p.spark, [], FLAGS)
     totals = p.categorical.filter("rare_count > 0").select(
         "column", "position", F.col("count").alias("total"), "rare_count"
     )
@@ -431,7 +433,7 @@ def class_imbalance(p: Profile) -> DataFrame:
             m = p.moments[t.column]
             if m["count"] > 2 and m["skewness"] is not None:
                 rows.append((2, t.column, "skew", abs(m["skewness"])))
-    found = p.spark.createDataFrame(rows, "place int, column string, kind string, v double")
+    found = local_table(p.spark, rows, "place int, column string, kind string, v double")
     kind, v = F.col("kind"), F.col("v")
     severity = (
         F.when(kind == "position", "LOW")
@@ -493,7 +495,7 @@ def flags_schema() -> str:
 def run_quality_rules(p: Profile, rules: list[Rule] | None = None) -> DataFrame:
     """All flags in rule order."""
     chosen = list(rules) if rules is not None else [*DEFAULT_RULES, *_extra_rules]
-    out = p.spark.createDataFrame([], FLAGS)
+    out = local_table(p.spark, [], FLAGS)
     for number, rule in enumerate(chosen, start=1):
         out = out.unionByName(rule(p).withColumn("rule_no", F.lit(number)))
     return out

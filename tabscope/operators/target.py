@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 from tabscope.functions.columns import col
 from tabscope.plans.counts import value_counts
 from tabscope.plans.kinds import clean, infer_kinds
-from tabscope.plans.moments import basic_stats
 from tabscope.plans.quantiles import exact_medians
+from tabscope.plans.local import local_table
 
 # The name lists decide which column is taken as the target.
 EXACT_NAMES = ["target", "label", "y", "class", "price", "churn"]
@@ -146,7 +146,8 @@ def target_table(df: DataFrame, target: Target) -> DataFrame:
     """The target as a one-row table. With more classes than fit in a map, the map is empty and
     ``class_distribution`` has them as rows."""
     spark = df.sparkSession
-    row = spark.createDataFrame(
+    row = local_table(
+        spark,
         [
             (
                 target.column,
@@ -173,16 +174,24 @@ def low_cardinality_profiles(
 ) -> DataFrame:
     """Numeric columns with few values: the candidates for encoded categories."""
     names = [c for c in infer_kinds(df).numeric if c != target]
-    stats = basic_stats(df, names)
-    names = [c for c in names if stats[c]["approx_distinct"] <= 2 * max_values + 10]
+    rough = (
+        clean(df, names)
+        .agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            *[F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(names)],
+        )
+        .first()
+    )
+    # The estimate is near exact for few values; it only rules out columns far above.
+    names = [c for i, c in enumerate(names) if rough[f"d{i}"] <= 2 * max_values + 10]
     dtypes = dict(df.dtypes)
-    frame = df.sparkSession.createDataFrame(
-        [(i, c, dtypes[c], stats[c]["n_rows"]) for i, c in enumerate(names)],
+    frame = local_table(
+        df.sparkSession,
+        [(i, c, dtypes[c], rough["n_rows"]) for i, c in enumerate(names)],
         "pos int, column string, dtype string, n_rows long",
     )
     if not names:
-        names = df.columns[:0]
-        values = df.sparkSession.createDataFrame([], "pos int, x double")
+        values = local_table(df.sparkSession, [], "pos int, x double")
     else:
         values = (
             clean(df, names)

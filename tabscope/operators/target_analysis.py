@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tabscope.functions.columns import col, imbalance_band, position_in, share
 from tabscope.operators.describe import describe_numeric
 from tabscope.plans.kinds import clean, infer_kinds
+from tabscope.plans.local import local_table
 
 FEATURES_PER_PASS = 24
 
@@ -32,7 +33,7 @@ def per_class_feature_stats(
     names = [c for c in (columns or infer_kinds(df).numeric) if c != target]
     schema = "class string, feature string, n long, mean double, std double"
     if not names:
-        return df.sparkSession.createDataFrame([], schema)
+        return local_table(df.sparkSession, [], schema)
     out = None
     for start in range(0, len(names), FEATURES_PER_PASS):
         chunk = names[start : start + FEATURES_PER_PASS]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabscope.functions.columns import col
 from tabscope.plans.kinds import clean, infer_kinds
+from tabscope.plans.local import local_table
 
 
 def long_form(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
@@ -30,7 +31,7 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     one row per task; the shuffle key is (column, value), so no column lands in one task."""
     names = infer_kinds(df).categorical if columns is None else list(columns)
     if not names:
-        return df.sparkSession.createDataFrame([], "column string, value string, count long")
+        return local_table(df.sparkSession, [], "column string, value string, count long")
     return long_form(df, names).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscope.functions.columns import col
+from tabscope.plans.local import local_table
 
 _FLOATS = (T.FloatType, T.DoubleType)
 _NESTED = (T.StructType, T.ArrayType, T.MapType)
@@ -65,7 +66,8 @@ def column_kinds(df: DataFrame, encoded: tuple[str, ...] | list[str] = ()) -> Da
         )
         for i, f in enumerate(df.schema.fields, start=1)
     ]
-    return df.sparkSession.createDataFrame(
+    return local_table(
+        df.sparkSession,
         rows, "position int, column string, dtype string, kind string, encoded boolean"
     )
 

@@ -1,7 +1,6 @@
 """Per-column numbers except quantiles, in two light aggregations.
 
-The first takes counts, mean, range and an approximate distinct count; the second sums the
-powers of the distance to that mean. Plain sums keep the generated code small and fast (a wide
+The first takes counts, mean and range; the second sums the powers of the distance to that mean. Plain sums keep the generated code small and fast (a wide
 aggregate of Spark's own skewness and kurtosis is several times slower), and centred powers do
 not lose digits. Only one row per column reaches the driver.
 """
@@ -15,14 +14,14 @@ from pyspark.sql import functions as F
 
 from tabscope.functions.columns import col
 from tabscope.plans.kinds import clean, infer_kinds
+from tabscope.plans.local import local_table
 
 # Columns per aggregation; a wider table is split so that generated code stays small.
 COLUMNS_PER_PASS = 16
 
 MOMENTS = (
     "position int, column string, n_rows long, count long, mean double, std double, min double, "
-    "max double, skewness double, kurtosis double, zeros long, all_integer boolean, "
-    "approx_distinct long"
+    "max double, skewness double, kurtosis double, zeros long, all_integer boolean"
 )
 
 
@@ -32,7 +31,7 @@ def _chunks(names: list[str]):
 
 
 def basic_stats(df: DataFrame, columns: list[str] | None = None) -> dict[str, dict]:
-    """count, mean, min, max, zeros and approximate distinct count per numeric column."""
+    """count, mean, min, max, zeros and whether all values are whole, per numeric column."""
     names = infer_kinds(df).numeric if columns is None else list(columns)
     place = {c: i for i, c in enumerate(df.columns, start=1)}
     out = {}
@@ -46,13 +45,13 @@ def basic_stats(df: DataFrame, columns: list[str] | None = None) -> dict[str, di
                 F.min(x).alias(f"min{i}"),
                 F.max(x).alias(f"max{i}"),
                 F.count(F.when(x == 0, 1)).alias(f"zeros{i}"),
-                F.approx_count_distinct(x).alias(f"approx_distinct{i}"),
+                F.bool_and(x == F.floor(x)).alias(f"whole{i}"),
             ]
         row = clean(df, chunk).agg(*aggregates).first()
         for i, c in enumerate(chunk):
-            keys = ("count", "mean", "min", "max", "zeros", "approx_distinct")
-            out[c] = {k: row[f"{k}{i}"] for k in keys}
+            out[c] = {k: row[f"{k}{i}"] for k in ("count", "mean", "min", "max", "zeros")}
             out[c] |= {"column": c, "position": place[c], "n_rows": row["n_rows"]}
+            out[c]["all_integer"] = bool(row[f"whole{i}"])
     return out
 
 
@@ -73,7 +72,7 @@ def _shape(s: dict, s2: float | None, s3: float | None, s4: float | None) -> dic
 def collect_moments(
     df: DataFrame, columns: list[str] | None = None, stats: dict | None = None
 ) -> dict[str, dict]:
-    """``basic_stats`` plus std, G1, G2 and whether all values are whole."""
+    """``basic_stats`` plus std, G1 and G2."""
     names = infer_kinds(df).numeric if columns is None else list(columns)
     stats = stats or basic_stats(df, names)
     out = {}
@@ -86,12 +85,11 @@ def collect_moments(
                 F.sum(d * d).alias(f"s2_{i}"),
                 F.sum(d * d * d).alias(f"s3_{i}"),
                 F.sum(d * d * d * d).alias(f"s4_{i}"),
-                F.bool_and(x == F.floor(x)).alias(f"whole_{i}"),
             ]
         row = clean(df, chunk).agg(*aggregates).first()
         for i, c in enumerate(chunk):
             shape = _shape(stats[c], row[f"s2_{i}"], row[f"s3_{i}"], row[f"s4_{i}"])
-            out[c] = stats[c] | shape | {"all_integer": bool(row[f"whole_{i}"])}
+            out[c] = stats[c] | shape
     return out
 
 
@@ -102,4 +100,4 @@ def numeric_moments(
     stats = stats or collect_moments(df, columns)
     keys = [part.split()[0] for part in MOMENTS.split(", ")]
     rows = [tuple(s[k] for k in keys) for s in stats.values()]
-    return df.sparkSession.createDataFrame(rows, MOMENTS)
+    return local_table(df.sparkSession, rows, MOMENTS)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tabscope.functions.columns import col
 from tabscope.plans.kinds import clean, infer_kinds
 from tabscope.plans.moments import basic_stats
+from tabscope.plans.local import local_table
 
 SUMS_PER_PASS = 64
 PAIRS_BY_EXPRESSION = 300
@@ -138,11 +139,11 @@ def pair_correlations(
     names = infer_kinds(df).numeric if columns is None else list(columns)
     wanted = list(combinations(names, 2)) if pairs is None else list(pairs)
     if not wanted:
-        return df.sparkSession.createDataFrame([], SCHEMA)
+        return local_table(df.sparkSession, [], SCHEMA)
     used = list(dict.fromkeys(c for p in wanted for c in p))
     stats = stats or basic_stats(df, used)
     if pairs is None and len(wanted) > PAIRS_BY_EXPRESSION:
         rows = _by_gram(df, names, stats)
     else:
         rows = _by_expression(df, wanted, stats)
-    return df.sparkSession.createDataFrame(rows, SCHEMA)
+    return local_table(df.sparkSession, rows, SCHEMA)

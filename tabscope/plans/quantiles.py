@@ -1,7 +1,7 @@
 """Exact quantiles with linear interpolation, without holding a column in one place.
 
-Columns with few distinct values use Spark's ``percentile``, whose buffer then stays small.
-The others are narrowed in passes: a pass counts the values in equal-width bins of the range
+Columns of whole numbers in a short range use Spark's ``percentile``, whose buffer holds one
+entry per distinct value and so stays small. The others are narrowed in passes: a pass counts the values in equal-width bins of the range
 that still holds a wanted rank, keeps the bin of that rank, and goes on inside the smallest
 and largest value found there. Each pass is one scan with a partial aggregation to a bounded
 number of bins, so neither skew nor ties nor size moves rows between executors.
@@ -129,7 +129,10 @@ def exact_quantiles(
     out: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
     filled = [c for c in columns if stats[c]["count"] > 0]
     few = [
-        c for c in filled if min(stats[c]["approx_distinct"], stats[c]["count"]) <= FEW_VALUES
+        c
+        for c in filled
+        if stats[c]["count"] <= FEW_VALUES
+        or (stats[c]["all_integer"] and stats[c]["max"] - stats[c]["min"] < FEW_VALUES)
     ]
     many = [c for c in filled if c not in few]
     for start in range(0, len(few), COLUMNS_PER_PASS):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabscope.functions.columns import col
+from tabscope.plans.local import local_table
 
 TTL_DAYS = 7
 WHOLE_FILE_BYTES = 64 * 1024 * 1024
@@ -73,7 +74,8 @@ def run_key(spark: SparkSession, digest: str, params: dict, version: str) -> str
 
 def store_run(spark: SparkSession, base: str, key: str, params: dict, version: str) -> None:
     """Add a line to the manifest; called once all results are written."""
-    row = spark.createDataFrame(
+    row = local_table(
+        spark,
         [(key, version, json.dumps(params, sort_keys=True))],
         "key string, version string, params string",
     )
@@ -89,7 +91,7 @@ def manifest(spark: SparkSession, base: str) -> DataFrame:
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], MANIFEST)
+        return local_table(spark, [], MANIFEST)
     newest = F.max_by(F.struct("version", "params", "stored_at"), "stored_at")
     return rows.groupBy("key").agg(newest.alias("m")).select("key", "m.*")
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from tabscope.functions.columns import col
 from tabscope.plans.kinds import normalise
+from tabscope.plans.scratch import materialise
+from tabscope.plans.local import local_table
 
 # Cell texts that stand for a missing value.
 NA_TOKENS = [
@@ -80,11 +82,22 @@ def infer_text_types(df: DataFrame, tokens: list[str] | None = None) -> DataFram
 
 
 def read_csv(
-    spark: SparkSession, path: str, na_tokens: str | list[str] | None = None
+    spark: SparkSession,
+    path: str,
+    na_tokens: str | list[str] | None = None,
+    multiline: bool = False,
 ) -> DataFrame:
-    """CSV with a header; spaces after the delimiter are dropped."""
+    """CSV with a header; spaces after the delimiter are dropped.
+
+    ``multiline`` allows line breaks inside quotes; a file is then read in one task.
+    """
     text = spark.read.csv(
-        path, header=True, inferSchema=False, ignoreLeadingWhiteSpace=True, escape='"', multiLine=False
+        path,
+        header=True,
+        inferSchema=False,
+        ignoreLeadingWhiteSpace=True,
+        escape='"',
+        multiLine=multiline,
     )
     return infer_text_types(text, na_tokens)
 
@@ -143,7 +156,7 @@ def read_excel(
     table = files.select("content").mapInPandas(rows_of, "header array<string>, cells array<string>")
     first = table.select("header").first()
     if first is None:
-        return spark.createDataFrame([], "empty string").drop("empty")
+        return local_table(spark, [], "empty string").drop("empty")
     names = list(first["header"])
     # Columns are matched by name, so files may order them differently.
     columns = [
@@ -178,9 +191,14 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
         raise
 
 
-def load_table(spark: SparkSession, path: str) -> DataFrame:
-    """``read_table`` with missing values normalised and copies of rows dropped."""
-    return normalise(read_table(spark, path)).dropDuplicates()
+def load_table(spark: SparkSession, path: str, keep: bool = True) -> DataFrame:
+    """``read_table`` with missing values normalised and copies of rows dropped.
+
+    Profiling reads a table many times, so the result is written to the session's checkpoint
+    folder and read back, unless ``keep`` is off.
+    """
+    rows = normalise(read_table(spark, path)).dropDuplicates()
+    return materialise(rows, "table") if keep else rows
 
 
 def read_spans(spark: SparkSession, path: str) -> DataFrame:
@@ -191,5 +209,5 @@ def read_spans(spark: SparkSession, path: str) -> DataFrame:
         )
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], SPANS)
+            return local_table(spark, [], SPANS)
         raise
