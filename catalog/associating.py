@@ -12,7 +12,7 @@ from catalog.inputs import (
 )
 from catalog.registry import query
 from tabscope.functions.tails import chi2_sf, f_sf, t_sf2
-from tabscope.operators import associate
+from tabscope.operators import associate, categorical
 from tabscope.operators.mutual_info import mutual_information
 from tabscope.operators.target import classify_target
 
@@ -151,15 +151,20 @@ def tail_probabilities(spark, sf):
     )
 
 
-_FEATURES = ["c_acctbal", "c_nationkey", "segment_no"]
+PSI = """psi AS (SELECT i, coalesce(sum(1.0::DOUBLE / (i - 1)) FILTER (i > 1)
+  OVER (ORDER BY i), 0) - 0.5772156649015329::DOUBLE AS p FROM range(1, 100000) t(i))"""
+
+
+def _noise_sql(key: str, start: int) -> str:
+    digest = f"md5('42|' || {key})"
+    return f"CAST(('0x' || substr({digest}, {start}, 8)) AS BIGINT) / 2147483648.0 - 1"
 
 
-def _mi_sql(feature: str) -> str:
+def mi_classes_sql(relation: str, key: str, target: str, feature: str, value: str) -> str:
     """Brute force over all pairs of rows, with the same noise on equal values."""
     return f"""(WITH raw AS (
-  SELECT c_mktsegment AS y, CAST({feature} AS DOUBLE) AS v,
-    CAST(('0x' || substr(md5('42|' || c_custkey), 13, 8)) AS BIGINT) / 2147483648.0 - 1 AS u
-  FROM segments),
+  SELECT CAST({target} AS VARCHAR) AS y, CAST({value} AS DOUBLE) AS v, {_noise_sql(key, 13)} AS u
+  FROM {relation}),
 pts AS (SELECT row_number() OVER () AS id, y, v + 1e-10::DOUBLE *
           (SELECT greatest(stddev_pop(v), avg(abs(v))) FROM raw) * u AS x FROM raw),
 sized AS (SELECT *, count(*) OVER (PARTITION BY y) AS ny FROM pts),
@@ -168,18 +173,46 @@ near AS (SELECT a.id, a.ny, least(3, a.ny - 1) AS k,
   FROM sized a JOIN sized b ON a.y = b.y AND a.id <> b.id WHERE a.ny > 1 GROUP BY a.id, a.ny),
 within AS (SELECT n.id, n.ny, n.k, count(*) AS m
   FROM near n JOIN pts a ON a.id = n.id JOIN sized b ON b.ny > 1 AND abs(a.x - b.x) < n.d
-  GROUP BY ALL),
-psi AS (SELECT i, coalesce(sum(1.0::DOUBLE / (i - 1)) FILTER (i > 1)
-          OVER (ORDER BY i), 0) - 0.5772156649015329::DOUBLE AS p FROM range(1, 100000) t(i))
+  GROUP BY ALL)
 SELECT '{feature}' AS feature, greatest(0, (SELECT p FROM psi WHERE i = (SELECT count(*) FROM within))
   + avg(pk.p) - avg(pn.p) - avg(pm.p)) AS mi_score
 FROM within w JOIN psi pk ON pk.i = w.k JOIN psi pn ON pn.i = w.ny JOIN psi pm ON pm.i = w.m)"""
 
 
+def mi_regression_sql(relation: str, key: str, target: str, feature: str, value: str) -> str:
+    """The same for a continuous target: neighbours by the larger coordinate distance."""
+
+    def spread(v, u):
+        return f"{v} + 1e-10::DOUBLE * (SELECT greatest(1, avg(abs({v}))) FROM unit) * {u}"
+
+    return f"""(WITH raw AS (
+  SELECT CAST({value} AS DOUBLE) AS a, CAST({target} AS DOUBLE) AS b,
+    {_noise_sql(key, 13)} AS ua, {_noise_sql(key, 21)} AS ub FROM {relation}),
+unit AS (SELECT a / (SELECT stddev_pop(a) FROM raw) AS a, b / (SELECT stddev_pop(b) FROM raw) AS b,
+         ua, ub FROM raw),
+pts AS (SELECT row_number() OVER () AS id, {spread('a', 'ua')} AS x, {spread('b', 'ub')} AS y FROM unit),
+near AS (SELECT p.id, list_sort(min(greatest(abs(p.x - q.x), abs(p.y - q.y)), 3))[3] AS d
+         FROM pts p JOIN pts q ON p.id <> q.id GROUP BY p.id),
+within AS (SELECT p.id, count(*) FILTER (abs(p.x - q.x) < d) AS nx,
+             count(*) FILTER (abs(p.y - q.y) < d) AS ny
+           FROM pts p JOIN near USING (id) JOIN pts q ON p.id <> q.id GROUP BY p.id)
+SELECT '{feature}' AS feature, greatest(0, (SELECT p FROM psi WHERE i = (SELECT count(*) FROM pts))
+  + (SELECT p FROM psi WHERE i = 3) - avg(px.p + py.p)) AS mi_score
+FROM within JOIN psi px ON px.i = nx + 1 JOIN psi py ON py.i = ny + 1)"""
+
+
+_FEATURES = ["c_acctbal", "c_nationkey", "segment_no"]
+
+
 @query(
     "mutual_information_classes",
-    f"WITH {SEGMENTS} SELECT feature, round(mi_score, 4) AS mi_score FROM ("
-    + union_all([f"SELECT * FROM {_mi_sql(c)}" for c in _FEATURES])
+    f"WITH {SEGMENTS}, {PSI} SELECT feature, round(mi_score, 4) AS mi_score FROM ("
+    + union_all(
+        [
+            f"SELECT * FROM {mi_classes_sql('segments', 'c_custkey', 'c_mktsegment', c, c)}"
+            for c in _FEATURES
+        ]
+    )
     + ")",
 )
 def mutual_information_classes(spark, sf):
@@ -189,6 +222,34 @@ def mutual_information_classes(spark, sf):
     return rounded(scores, 4, "mi_score")
 
 
+@query(
+    "mutual_information_numeric",
+    f"WITH {SEGMENTS}, {PSI} SELECT feature, round(mi_score, 4) AS mi_score FROM ("
+    + union_all(
+        [
+            f"SELECT * FROM {mi_regression_sql('segments', 'c_custkey', 'c_acctbal', c, v)}"
+            for c, v in [
+                ("c_custkey", "c_custkey"),
+                ("c_nationkey", "c_nationkey"),
+                ("segment_no", "segment_no"),
+                ("c_mktsegment", "(dense_rank() OVER (ORDER BY c_mktsegment) - 1)"),
+            ]
+        ]
+    )
+    + ")",
+)
+def mutual_information_numeric(spark, sf):
+    scores = mutual_information(
+        segments(spark, sf),
+        "c_acctbal",
+        "regression",
+        ["c_custkey", "c_nationkey", "segment_no"],
+        ["c_mktsegment"],
+        key=["c_custkey"],
+    )
+    return rounded(scores, 4, "mi_score")
+
+
 @query("mutual_information_regression")
 def mutual_information_regression(spark, sf):
     """Needs neighbours in two dimensions; tested against brute force on small fixtures."""
@@ -231,10 +292,83 @@ def feature_associations_regression(spark, sf):
     )
 
 
-@query("association_quadrants")
-def association_quadrants(spark, sf):
-    df = segments(spark, sf)
-    ranked = associate.feature_associations(
-        df, classify_target(df, "c_mktsegment"), key=["c_custkey"]
+_L_NUMERIC = ["doc_id", "toxic", "n_chars"]
+_L_CATEGORIES = ["lang", "source"]
+_L_GROUPS = union_all(
+    [
+        f"SELECT '{c}' AS feature, quality AS grp, CAST({c} AS DOUBLE) AS x FROM labelled"
+        for c in _L_NUMERIC
+    ]
+)
+_L_SCORES = union_all(
+    [
+        f"SELECT * FROM {mi_classes_sql('labelled', 'doc_id', 'quality', c, v)}"
+        for c, v in [(c, c) for c in _L_NUMERIC]
+        + [(c, f"(dense_rank() OVER (ORDER BY {c}) - 1)") for c in _L_CATEGORIES]
+    ]
+)
+_L_ORDER = [*_L_NUMERIC, *_L_CATEGORIES]
+RANKED = f"""{LABELLED}, {PSI}, {_eta(_L_GROUPS)},
+effects AS (SELECT * FROM eta UNION ALL (WITH {cramers_sql('labelled', _L_CATEGORIES, 'quality')})),
+ranked AS (SELECT *, list_position({_L_ORDER}, feature) AS position FROM effects JOIN ({_L_SCORES})
+           USING (feature)),
+placed AS (SELECT *, row_number() OVER (ORDER BY round(mi_score, 9) DESC, position) AS mi_rank,
+             row_number() OVER (ORDER BY effect_size DESC, position) AS effect_size_rank FROM ranked),
+associations AS (
+  SELECT row_number() OVER (ORDER BY mi_rank + effect_size_rank, effect_size DESC, position) AS place,
+    feature, CASE WHEN position <= 3 THEN 'numerical' ELSE 'categorical' END AS feature_type,
+    round(mi_score, 4) AS mi_score, mi_rank, effect_size, effect_size_type,
+    CASE WHEN effect_size < CASE WHEN effect_size_type = 'eta2' THEN 0.01 ELSE 0.1 END THEN 'weak'
+         WHEN effect_size < CASE WHEN effect_size_type = 'eta2' THEN 0.06 ELSE 0.3 END THEN 'moderate'
+         ELSE 'strong' END AS effect_size_label,
+    effect_size_rank, mi_rank + effect_size_rank AS borda_score, abs(statistic) AS f_stat_or_chi2,
+    5 AS total_features FROM placed)"""
+
+
+def _labelled_associations(spark, sf):
+    df = labelled(spark, sf)
+    return associate.feature_associations(df, classify_target(df, "quality"), key=["doc_id"])
+
+
+@query("feature_associations", f"WITH {RANKED} SELECT * FROM associations")
+def feature_associations(spark, sf):
+    """All of the ranking but its p-values, against brute force."""
+    rows = _labelled_associations(spark, sf).drop(
+        "p_value", "missingness_strategy", "mi_sample_size", "mi_sample_note"
     )
-    return associate.association_quadrants(ranked)
+    return rounded(rows, 4, "mi_score")
+
+
+@query(
+    "association_quadrants",
+    f"""WITH {RANKED} SELECT * FROM (
+  SELECT feature, mi_rank, effect_size, effect_size_label,
+    CASE WHEN mi_rank <= 3 AND effect_size_label = 'weak' THEN 'NONLINEAR SIGNAL'
+         WHEN mi_rank > 3 AND effect_size_label = 'strong' THEN 'SUSPICIOUS ASSOCIATION' END AS quadrant
+  FROM associations) WHERE quadrant IS NOT NULL""",
+)
+def association_quadrants(spark, sf):
+    return associate.association_quadrants(_labelled_associations(spark, sf))
+
+
+@query(
+    "borda_not_in_top_spread",
+    f"""WITH {RANKED},
+rates AS (
+  SELECT "column", value, count(*) AS n, count(*) FILTER (quality = 1) AS ones, count(quality) AS k
+  FROM (SELECT 'lang' AS "column", lang AS value, quality FROM labelled
+        UNION ALL SELECT 'source', source, quality FROM labelled) GROUP BY ALL),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value)
+                         AS rank FROM rates) WHERE rank <= 10),
+spread AS (SELECT "column", max(round(ones / k * 100, 2)) - min(round(ones / k * 100, 2)) AS spread
+           FROM top GROUP BY "column")
+SELECT feature, borda_score FROM associations
+WHERE feature_type = 'categorical' AND feature NOT IN (
+  SELECT "column" FROM spread ORDER BY spread DESC, "column" LIMIT 1)""",
+)
+def borda_not_in_top_spread(spark, sf):
+    """Quality 1 leads in every frequent value, so the spreads are over its rate."""
+    df = labelled(spark, sf)
+    rates = categorical.target_rates(df, "quality", _L_CATEGORIES)
+    widest = categorical.discriminative_columns(rates, _L_CATEGORIES, "quality", top=1)
+    return categorical.borda_not_in_top_spread(_labelled_associations(spark, sf), widest)

@@ -6,8 +6,7 @@ from catalog.inputs import (
     MIXED_CATEGORIES, MIXED_ORDERS, SEGMENTS, counts_sql, long_sql, mixed_orders, rounded, segments,
 )
 from catalog.registry import query
-from tabscope.operators import associate, categorical
-from tabscope.operators.target import classify_target
+from tabscope.operators import categorical
 from tabscope.plans.counts import value_counts as count_values
 
 VC = f"{MIXED_ORDERS}, vc AS ({counts_sql('mixed_orders', MIXED_CATEGORIES)})"
@@ -143,13 +142,6 @@ def discriminative_values(spark, sf):
     return categorical.discriminative_values(rates, _chosen(rates, spark, sf))
 
 
-@query("borda_not_in_top_spread")
-def borda_not_in_top_spread(spark, sf):
-    df = mixed_orders(spark, sf)
-    ranked = associate.feature_associations(df, classify_target(df, _TARGET))
-    return categorical.borda_not_in_top_spread(ranked, _chosen(_rates(spark, sf), spark, sf))
-
-
 @query(
     "cardinality_bands",
     f"""WITH {VC}, {TOTALS}, {SUMMARY}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
+from catalog.associating import RANKED
 from catalog.correlating import pairs_sql
 from catalog.describing import MISSING_SQL, SPREAD_SQL, describe_sql, histogram_sql
 from catalog.inputs import (
@@ -16,6 +17,7 @@ from catalog.quality import STRESS_RULES, all_rules_sql
 from catalog.registry import query
 from tabscope.facade import profile
 from tabscope.operators import findings, interact, plotdata, quality
+from tabscope.operators.associate import feature_associations
 from tabscope.operators.profile import Profile
 from tabscope.operators.target import classify_target
 
@@ -181,6 +183,11 @@ UNION ALL SELECT 1, 'overview', 'n_categorical', NULL, NULL, {len(_CATEGORIES)}
 UNION ALL SELECT 1, 'overview', 'duplicate_count', NULL, NULL, n - d FROM sizes
 UNION ALL SELECT 2, 'missing', 'missing_column', NULL, "column", missing_pct FROM missing WHERE missing > 0
 UNION ALL SELECT 2, 'missing', 'missing_total', NULL, NULL, total_pct FROM total
+UNION ALL SELECT 3, 'correlation', 'numeric_columns', NULL, NULL, {len(_NUMERIC)}
+UNION ALL SELECT 4, 'statistics', 'numeric_columns', NULL, NULL, {len(_NUMERIC)}
+UNION ALL SELECT 5, 'categorical', 'categorical_columns', NULL, NULL, {len(_CATEGORIES)}
+UNION ALL SELECT 8, 'quality', CASE WHEN count(*) FILTER (severity IN ('BLOCKER', 'HIGH')) > 0
+    THEN 'REVISION_NEEDED' ELSE 'APPROVED' END, NULL, NULL, count(*) FROM flags
 UNION ALL SELECT * FROM (SELECT 3, 'correlation', 'strongest_pair', NULL, col_a || ' ~ ' || col_b,
   round(r, 4) FROM pairs ORDER BY abs(r) DESC LIMIT 1)
 UNION ALL SELECT 4, 'statistics', 'high_cv', NULL, "column", round(cv, 4) FROM spread WHERE cv > 1
@@ -290,9 +297,16 @@ def plot_categorical(spark, sf):
     return plotdata.plot_data(table(spark, sf, "orders").select("o_orderpriority"), "categorical")
 
 
-@query("plot_associations")
+@query(
+    "plot_associations",
+    f"""WITH {RANKED} SELECT place, feature, mi_score, effect_size, effect_size_type
+FROM associations""",
+)
 def plot_associations(spark, sf):
     df = labelled(spark, sf)
-    return plotdata.plot_data(df, "associations", classify_target(df, "quality"))
+    target = classify_target(df, "quality")
+    ranked = feature_associations(df, target, key=["doc_id"])
+    rows = plotdata.plot_data(df, "associations", target, associations=ranked)
+    return rounded(rows, 4, "mi_score")
 
 

@@ -251,6 +251,10 @@ def assemble_findings(
         _finding(missing_ranked(p), "missing", "missing_column", F.col("column"), F.col("missing_pct"))
     )
     parts.append(_finding(p.missing_total, "missing", "missing_total", value=F.col("total_pct")))
+    sizes = local_table(
+        p.spark, [(len(p.kinds.numeric), len(p.kinds.categorical))], "numeric int, categorical int"
+    )
+    parts.append(_finding(sizes, "correlation", "numeric_columns", value=F.col("numeric")))
     strongest = correlate.strongest_pair(p.pairs)
     parts.append(
         _finding(
@@ -263,11 +267,15 @@ def assemble_findings(
         )
     )
     name = target.column if has_target else None
+    parts.append(_finding(sizes, "statistics", "numeric_columns", value=F.col("numeric")))
     diagnostics = describe.distribution_diagnostics(p.described, None, flags, name)
     parts.append(
         _finding(diagnostics, "statistics", F.col("diagnostic"), F.col("column"), F.col("value"))
     )
     if p.kinds.categorical:
+        parts.append(
+            _finding(sizes, "categorical", "categorical_columns", value=F.col("categorical"))
+        )
         bands = categorical.cardinality_bands(p.categorical)
         parts.append(_finding(bands, "categorical", F.col("band"), F.col("column"), F.col("value")))
     if has_target:
@@ -288,6 +296,8 @@ def assemble_findings(
             )
         )
         parts.append(_target_section(p))
+    status = quality.quality_status(flags)
+    parts.append(_finding(status, "quality", F.col("status"), value=F.col("flags")))
     parts.append(
         _finding(
             flags,
