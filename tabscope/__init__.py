@@ -1,5 +1,9 @@
 """Data profiling, quality rules and feature associations as Spark jobs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from tabscope.facade import profile
 from tabscope.operators.profile import Profile
 from tabscope.operators.quality import register_rule
@@ -17,3 +21,6 @@ __all__ = [
     "register_rule",
     "resolve_target",
 ]
+
+# Functions that run inside tasks travel with the job: executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -16,6 +16,8 @@ from tabscope.plans.pairs import pair_correlations
 from tabscope.plans.local import local_table
 
 FEATURES_PER_PASS = 24
+# Rows up to which a table of class margins is broadcast; beyond, Spark picks the join.
+BROADCAST_ROWS = 200_000
 EFFECTS = (
     "feature string, effect_size double, effect_size_type string, statistic double, p_value double"
 )
@@ -118,44 +120,47 @@ def eta_squared(moments: DataFrame) -> DataFrame:
 def cramers_v(df: DataFrame, target: str, categorical: list[str]) -> DataFrame:
     """Cramer's V with chi-squared and p-value; Yates' correction for two-by-two tables.
 
-    Only cells that occur are counted and joined with their margins; cells that do not occur
-    add their expected counts, which follow from the total. The joins carry no hint: adaptive
-    execution broadcasts a margin table when its measured size is small.
+    chi2 = n * (sum of o*o / (r*c) - 1) over the cells that occur, so absent cells need no row.
+    The class margins c meet the cells first, then one aggregation per value gives r and the
+    value's share of the sum.
     """
+    # Filtered before the rows are multiplied, so that all uses of the cells share one shuffle.
+    known = df.filter(col(target).isNotNull()).withColumn("__class", col(target).cast("string"))
     cells = (
-        long_form(df.withColumn("__class", col(target).cast("string")), categorical, "__class")
-        .filter("__class IS NOT NULL")
+        long_form(known, categorical, "__class")
         .groupBy(F.col("column").alias("feature"), "value", F.col("__class").alias("class"))
         .agg(F.count(F.lit(1)).alias("o"))
     )
-    by_value = cells.groupBy("feature", "value").agg(F.sum("o").alias("r"))
     by_class = cells.groupBy("feature", "class").agg(F.sum("o").alias("c"))
-    rows = by_value.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n_values"),
-        F.sum("r").alias("n"),
-        F.sum(1 / F.col("r")).alias("inverse_r"),
+    classes = clean(df, [target]).agg(F.approx_count_distinct(col(target))).first()[0]
+    if classes * len(categorical) <= BROADCAST_ROWS:
+        by_class = F.broadcast(by_class)
+    o, c, r, n = (F.col(k).cast("double") for k in ("o", "c", "r", "n"))
+    by_value = (
+        cells.join(by_class, ["feature", "class"])
+        .groupBy("feature", "value")
+        .agg(F.sum("o").alias("r"), F.sum(o * o / c).alias("q"))
     )
     columns = by_class.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n_classes"), F.sum(1 / F.col("c")).alias("inverse_c")
+        F.count(F.lit(1)).alias("n_classes"),
+        F.sum("c").alias("n"),
+        F.sum(1 / F.col("c")).alias("inverse_c"),
     )
-    shape = rows.join(columns, "feature")
-    n = F.col("n").cast("double")
-    expected = F.col("r") * F.col("c").cast("double") / n
-    distance = F.abs(F.col("o") - expected)
+    # One row per feature.
     sums = (
-        cells.join(by_value, ["feature", "value"])
-        .join(by_class, ["feature", "class"])
-        .join(F.broadcast(shape), "feature")
-        .groupBy("feature", "n_values", "n_classes", "n", "inverse_r", "inverse_c")
+        by_value.join(F.broadcast(columns), "feature")
+        .groupBy("feature", "n_classes", "n", "inverse_c")
         .agg(
-            F.sum(distance * distance / expected).alias("over_cells"),
-            F.sum(expected).alias("expected_seen"),
-            F.max(distance).alias("distance"),
+            F.count(F.lit(1)).alias("n_values"),
+            F.sum(F.col("q") / r).alias("total"),
+            F.sum(1 / r).alias("inverse_r"),
         )
     )
-    short = F.col("distance") - F.least(F.lit(0.5), F.col("distance"))
-    yates = short * short * n * F.col("inverse_r") * F.col("inverse_c")
-    plain = F.col("over_cells") + F.greatest(n - F.col("expected_seen"), F.lit(0.0))
+    plain = F.greatest(n * (F.col("total") - 1), F.lit(0.0))
+    # In a two-by-two table all four cells are equally far from what is expected of them.
+    per_square = n * F.col("inverse_r") * F.col("inverse_c")
+    away = F.sqrt(plain / per_square)
+    yates = F.pow(away - F.least(F.lit(0.5), away), 2) * per_square
     small = F.least("n_values", "n_classes")
     freedom = (F.col("n_values") - 1) * (F.col("n_classes") - 1)
     v = F.sqrt(F.col("chi2") / (n * (small - 1)))

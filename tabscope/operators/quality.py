@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscope.functions.columns import RARE_SHARE, col, share, vif
-from tabscope.operators.associate import anova_sums
 from tabscope.operators.describe import spread_metrics
 from tabscope.operators.profile import Profile
 from tabscope.plans.counts import long_form, top_by_count
@@ -277,29 +276,57 @@ def near_perfect_correlation(p: Profile) -> DataFrame:
     )
 
 
-def _pair_group_moments(p: Profile, categorical: list[str], numeric: list[str]) -> DataFrame:
-    """(cat, num, n, mean, m2) per category: one wide row per category is shuffled."""
+def _pair_sums(p: Profile, categorical: list[str], numeric: list[str]) -> DataFrame:
+    """(cat, num, between, total, raw) sums of squares, one row per pair of columns.
+
+    Plain sums of the distance to the column mean per category: one wide row per category is
+    shuffled, and a second sum joins the categories.
+    """
+    distances = [
+        (col(c).cast("double") - F.lit(p.stats[c]["mean"])).alias(f"__d{i}")
+        for i, c in enumerate(numeric)
+    ]
     long = long_form(
-        p.df.select(
-            *[col(c) for c in categorical],
-            *[col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(numeric)],
-        ),
+        p.df.select(*[col(c) for c in categorical], *distances),
         categorical,
-        *[f"__x{i}" for i in range(len(numeric))],
+        *[f"__d{i}" for i in range(len(numeric))],
     )
-    wide = long.groupBy(F.col("column").alias("cat"), "value").agg(
+    per_category = long.groupBy(F.col("column").alias("cat"), "value").agg(
+        *[
+            a
+            for i in range(len(numeric))
+            for d in [F.col(f"__d{i}")]
+            for a in (
+                F.count(d).alias(f"n{i}"),
+                F.sum(d).alias(f"s{i}"),
+                F.sum(d * d).alias(f"q{i}"),
+            )
+        ]
+    )
+    entries = F.array(
         *[
             F.struct(
                 F.lit(c).alias("num"),
-                F.count(f"__x{i}").alias("n"),
-                F.avg(f"__x{i}").alias("mean"),
-                (F.var_pop(f"__x{i}") * F.count(f"__x{i}")).alias("m2"),
-            ).alias(f"s{i}")
+                F.col(f"n{i}").alias("n"),
+                F.col(f"s{i}").alias("s"),
+                F.col(f"q{i}").alias("q"),
+            )
             for i, c in enumerate(numeric)
         ]
     )
-    entries = F.array(*[F.col(f"s{i}") for i in range(len(numeric))])
-    return wide.select("cat", F.explode(entries).alias("s")).select("cat", "s.*").filter("n > 0")
+    n, s = F.col("n"), F.col("s")
+    shift = F.sum(s) * F.sum(s) / F.sum(n)
+    return (
+        per_category.select("cat", F.explode(entries).alias("e"))
+        .select("cat", "e.*")
+        .filter("n > 0")
+        .groupBy("cat", "num")
+        .agg(
+            (F.sum(s * s / n) - shift).alias("between"),
+            (F.sum("q") - shift).alias("total"),
+            F.sum("q").alias("raw"),
+        )
+    )
 
 
 def redundancy_table(p: Profile) -> DataFrame:
@@ -310,14 +337,16 @@ def redundancy_table(p: Profile) -> DataFrame:
         for r in p.categorical.collect()
         if r["cardinality"] != p.n_rows and 0 < r["cardinality"] <= p.n_rows // 2
     ]
-    if p.n_rows < 10 or not usable or not p.kinds.numeric:
+    numeric = [c for c in p.kinds.numeric if p.stats[c]["min"] != p.stats[c]["max"]]
+    if p.n_rows < 10 or not usable or not numeric:
         return local_table(p.spark, [], schema)
+    between, total = F.col("between"), F.col("total")
+    # What rounding alone can leave of a column that is constant over the shared rows.
+    spread = total > 1e-12 * F.col("raw")
+    eta = F.when(spread, F.least(between / total, F.lit(1.0))).otherwise(0.0)
     out = None
-    for start in range(0, len(p.kinds.numeric), 12):
-        moments = _pair_group_moments(p, usable, p.kinds.numeric[start : start + 12])
-        sums = anova_sums(moments, "cat", "num")
-        total = F.col("between") + F.col("within")
-        eta = F.when(total > 0, F.least(F.col("between") / total, F.lit(1.0))).otherwise(0.0)
+    for start in range(0, len(numeric), 12):
+        sums = _pair_sums(p, usable, numeric[start : start + 12])
         part = sums.select("cat", "num", eta.alias("eta2"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -1,16 +1,19 @@
 """Exact quantiles with linear interpolation, without holding a column in one place.
 
-Columns of whole numbers in a short range use Spark's ``percentile``, whose buffer holds one
-entry per distinct value and so stays small. The others are narrowed in passes: a pass counts the values in equal-width bins of the range
+The columns are narrowed in passes: a pass counts the values in equal-width bins of the range
 that still holds a wanted rank, keeps the bin of that rank, and goes on inside the smallest
 and largest value found there. Each pass is one scan with a partial aggregation to a bounded
-number of bins, so neither skew nor ties nor size moves rows between executors.
+number of bins, so neither skew nor ties nor size moves rows between executors. Once few rows
+are left between the bounds, their values are read out. Spark's own ``percentile`` keeps every
+distinct value of a column in one buffer, which does not hold for long columns.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +22,6 @@ from tabscope.functions.columns import col
 from tabscope.plans.kinds import clean
 from tabscope.plans.moments import basic_stats
 
-FEW_VALUES = 10_000
 BINS = 2048
 READ_OUT_ROWS = 50_000
 COLUMNS_PER_PASS = 12
@@ -41,10 +43,15 @@ def _inside(r: _Range) -> Column:
     return (x >= F.lit(r.low)) & (x <= F.lit(r.high))
 
 
+def _any_inside(ranges: list[_Range]) -> Column:
+    return reduce(or_, [_inside(r) for r in ranges])
+
+
 def _narrow(df: DataFrame, ranges: list[_Range]) -> dict[_Range, list]:
     """Bin counts of each range: at most len(ranges) * BINS rows."""
     values = F.array(*[F.when(_inside(r), col(r.column).cast("double")) for r in ranges])
-    hits = df.select(F.posexplode(values).alias("r", "x")).filter("x IS NOT NULL")
+    near = df.filter(_any_inside(ranges))
+    hits = near.select(F.posexplode(values).alias("r", "x")).filter("x IS NOT NULL")
 
     def per_range(numbers: list[float]) -> Column:
         return F.element_at(F.array(*[F.lit(float(v)) for v in numbers]), F.col("r") + 1)
@@ -86,7 +93,7 @@ def _read_out(df: DataFrame, wanted: dict[tuple[str, int], _Range]) -> dict[tupl
         F.element_at(F.col(f"v{ranges.index(r)}"), rank - r.below + 1).alias(f"p{i}")
         for i, ((_, rank), r) in enumerate(wanted.items())
     ]
-    row = df.agg(*sorted_values).select(*picks).first()
+    row = df.filter(_any_inside(ranges)).agg(*sorted_values).select(*picks).first()
     return {key: row[i] for i, key in enumerate(wanted)}
 
 
@@ -128,23 +135,8 @@ def exact_quantiles(
         stats = basic_stats(data, columns)
     out: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
     filled = [c for c in columns if stats[c]["count"] > 0]
-    few = [
-        c
-        for c in filled
-        if stats[c]["count"] <= FEW_VALUES
-        or (stats[c]["all_integer"] and stats[c]["max"] - stats[c]["min"] < FEW_VALUES)
-    ]
-    many = [c for c in filled if c not in few]
-    for start in range(0, len(few), COLUMNS_PER_PASS):
-        chunk = few[start : start + COLUMNS_PER_PASS]
-        at = F.array(*[F.lit(float(p)) for p in probabilities])
-        row = data.agg(
-            *[F.percentile(col(c).cast("double"), at).alias(f"q{i}") for i, c in enumerate(chunk)]
-        ).first()
-        for i, c in enumerate(chunk):
-            out[c] = list(row[i])
-    for start in range(0, len(many), COLUMNS_PER_PASS):
-        chunk = many[start : start + COLUMNS_PER_PASS]
+    for start in range(0, len(filled), COLUMNS_PER_PASS):
+        chunk = filled[start : start + COLUMNS_PER_PASS]
         places = {c: [(stats[c]["count"] - 1) * float(p) for p in probabilities] for c in chunk}
         ranks = {
             c: sorted({f(v) for v in places[c] for f in (math.floor, math.ceil)}) for c in chunk

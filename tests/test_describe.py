@@ -53,7 +53,6 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("shape", ["uniform", "ties", "heavy", "huge", "two"])
 def test_quantiles_by_passes(spark, monkeypatch, shape):
     """All columns take the narrowing passes, whatever their shape."""
-    monkeypatch.setattr(quantiles, "FEW_VALUES", 0)
     monkeypatch.setattr(quantiles, "READ_OUT_ROWS", 20)
     monkeypatch.setattr(quantiles, "BINS", 8)
     rng = np.random.default_rng(11)
