@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from catalog.inputs import (
     LABELLED, LINEITEM_NET, MIXED_CATEGORIES, MIXED_ORDERS, NET_NUMERIC, SKEWED, STRESS_COLUMNS,
-    STRESS_EVENTS, counts_sql, lineitem_net, mixed_orders, per_column, rounded, skewed,
+    STRESS_EVENTS, counts_sql, labelled, lineitem_net, mixed_orders, per_column, rounded, skewed,
     stress_events, table, union_all,
 )
 from catalog.registry import query
@@ -285,8 +283,6 @@ SELECT 'toxic', count(*) FILTER (toxic = 0), count(*) FILTER (toxic <> 0),
 WHERE zero_pct >= 40""",
 )
 def zero_inflation(spark, sf):
-    from catalog.inputs import labelled
-
     return rounded(describe.zero_inflation(labelled(spark, sf), None, "toxic"), 4, "zero_pct")
 
 
