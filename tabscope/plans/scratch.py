@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder of the session.
 
-    Only where the session names none (tests on one machine) is a local one made.
+    A session whose executors are threads of this process may go without one and gets a temporary
+    folder; on a cluster a missing setting is an error, because executors do not see each other's disks.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder when the master is {master}")
         base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -25,4 +30,4 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     and a lost executor costs a re-read instead of the whole lineage."""
     path = scratch_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
