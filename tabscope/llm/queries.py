@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.llm import exact_dedup, sharding
+from tabscope.llm import exact_dedup, sharding, simhash
 from tabscope.plans.scratch import materialise, scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,12 @@ def buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@query("op5_simhash_components")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents: three-word shingles, links at three or fewer differing bits."""
+    return simhash.simhash_components(table(spark, sf, "documents"), width=3, radius=3)
+
+
 @query("op6_rendezvous_shards")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     """All documents over 24 shards of equal weight."""
