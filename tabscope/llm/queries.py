@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.llm import exact_dedup, sharding, simhash
+from tabscope.llm import exact_dedup, language_id, sharding, simhash
 from tabscope.plans.scratch import materialise, scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,12 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op8_language_id")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents; learned from those that are not held out."""
+    return language_id.identify(table(spark, sf, "documents"))
+
+
 @query(
     "op10_digest_index",
     f"""
