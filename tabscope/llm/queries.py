@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.llm import exact_dedup, language_id, sharding, simhash
+from tabscope.llm import decontaminate, exact_dedup, language_id, sharding, simhash
 from tabscope.plans.scratch import materialise, scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,12 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return language_id.identify(table(spark, sf, "documents"))
 
 
+@query("op9_benchmark_passages")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    """Every benchmark item that a document holds with at most a fifth of its words edited."""
+    return decontaminate.find_passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query(
     "op10_digest_index",
     f"""
