@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.llm import decontaminate, exact_dedup, language_id, sharding, simhash
+from tabscope.llm import (
+    decontaminate,
+    exact_dedup,
+    language_id,
+    packing,
+    sharding,
+    simhash,
+    token_counts,
+)
 from tabscope.plans.scratch import materialise, scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +44,14 @@ def buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@query("op1_token_counts")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    """The lengths of all documents under the byte-level encoding, each followed by an end token."""
+    lengths = token_counts.token_lengths(table(spark, sf, "documents"), extra=1)
+    histogram = materialise(token_counts.length_histogram(lengths), "lengths")
+    return token_counts.suffix_sums(histogram)
+
+
 @query("op5_simhash_components")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     """All documents: three-word shingles, links at three or fewer differing bits."""
@@ -50,6 +66,12 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op7_packed_sequences")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents in sequences of at most 4096 ids."""
+    return packing.pack_documents(table(spark, sf, "documents"), packing.CAPACITY)
+
+
 @query("op8_language_id")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     """All documents; learned from those that are not held out."""
