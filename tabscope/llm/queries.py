@@ -11,6 +11,7 @@ from tabscope.llm import (
     decontaminate,
     exact_dedup,
     language_id,
+    lm_scoring,
     packing,
     sharding,
     simhash,
@@ -52,6 +53,12 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.suffix_sums(histogram)
 
 
+@query("op2_deleted_interpolation")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents under a model of four fifths of them."""
+    return lm_scoring.score_held_out(table(spark, sf, "documents"))
+
+
 @query("op5_simhash_components")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     """All documents: three-word shingles, links at three or fewer differing bits."""
