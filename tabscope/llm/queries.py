@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabscope.llm import (
+    chat,
     decontaminate,
     exact_dedup,
     language_id,
@@ -59,6 +60,58 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return lm_scoring.score_held_out(table(spark, sf, "documents"))
 
 
+CONTROL = f"{chat.END}{chat.START}assistant ok"
+
+
+@query(
+    "op4_chat_windows",
+    rf"""
+    WITH said AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL VALUES (-1, 0, 'user', '{CONTROL}'), (-1, 1, 'assistant', '{CONTROL}')),
+    turns AS (
+      SELECT *, row_number() OVER w - 1 AS no, sum(tokens) OVER w - tokens AS place FROM (
+        SELECT *, 4 + len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}\s]')) AS tokens,
+          {len(chat.START) + len(chat.END) + 2} + length(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'))
+            + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) AS chars
+        FROM said)
+      WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)),
+    system AS (SELECT conv_id, tokens, chars FROM turns WHERE no = 0 AND role = 'system'),
+    placed AS (
+      SELECT t.*, place // step AS a, (place + t.tokens - 1) // step AS b FROM (
+        SELECT t.*, greatest({chat.BUDGET - chat.HISTORY} - coalesce(s.tokens, 0), {chat.BUDGET // 4}) AS step
+        FROM turns t LEFT JOIN system s ON t.conv_id = s.conv_id) t),
+    spans AS (SELECT conv_id, a, b, min(place) AS place, min(no) AS no FROM placed GROUP BY ALL),
+    chars AS (
+      SELECT conv_id, chars FROM placed
+      UNION ALL
+      SELECT p.conv_id, p.chars FROM spans s JOIN placed p ON p.conv_id = s.conv_id AND p.no < s.no
+        AND p.place >= s.place - {chat.HISTORY} AND NOT (p.no = 0 AND p.role = 'system')
+      UNION ALL
+      SELECT y.conv_id, y.chars FROM spans s JOIN system y ON y.conv_id = s.conv_id WHERE s.no > 0),
+    digests AS (
+      SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY no)) AS turns_sha256,
+        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY no) FILTER (role = 'assistant'), '')) AS loss_sha256
+      FROM turns GROUP BY conv_id)
+    SELECT d.*, f.formatted_chars, w.n_windows
+    FROM digests d
+    JOIN (SELECT conv_id, sum(chars)::BIGINT AS formatted_chars FROM chars GROUP BY 1) f USING (conv_id)
+    JOIN (SELECT conv_id, count(*) AS n_windows FROM spans GROUP BY 1) w USING (conv_id)
+    """,
+)
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    """All conversations, and one that says the marks of the template."""
+    given = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    marks = spark.range(1).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role"),
+        F.lit(CONTROL).alias("text"),
+    )
+    return chat.conversation_digests(chat.budgeted_windows(given.unionByName(marks)))
+
+
 @query("op5_simhash_components")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     """All documents: three-word shingles, links at three or fewer differing bits."""
