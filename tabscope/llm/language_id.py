@@ -8,8 +8,8 @@ documents, then to the smaller label.
 
 The classifier is fitted on a bounded sample of labelled rows: at most ``DOCS_PER_LANGUAGE`` whole
 documents of each language, chosen by a hash of their id, of which the ``MAX_WORDS`` most frequent
-(language, word) pairs and the ``MAX_GRAMS`` most frequent (language, n-gram) pairs are kept. These
-bounds also bound what is broadcast. Prediction reads every row and the whole text.
+(language, word) pairs and the ``MAX_GRAMS`` most frequent (language, n-gram) pairs are kept. Of more than
+``MAX_LANGUAGES`` labels those with most documents count. These bounds also bound what is broadcast. Prediction reads every row and the whole text.
 
 A missing text or one without a letter is ``und`` with score 0. A text whose n-grams are all unknown
 gets the language with most training documents. Rows without a language are not learned from.
@@ -29,9 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tabscope.plans.local import keep_rows
 from tabscope.plans.scratch import materialise
 
 DOCS_PER_LANGUAGE = 2000
+MAX_LANGUAGES = 500
 MAX_WORDS = 200_000
 MAX_GRAMS = 400_000
 LONGEST_GRAM = 5
@@ -66,8 +68,11 @@ def training_sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> D
     # The rank of the last document to take; a language with fewer documents gives its largest rank.
     ranked = labelled.select("lang", "rank").withColumn("number", F.row_number().over(order))
     cut = ranked.filter(F.col("number") <= per_language).groupBy("lang").agg(F.max("rank").alias("cut"))
-    # One row per language.
-    return labelled.join(cut, "lang").filter("rank <= cut").select("lang", "text")
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    most = sizes.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    # One row per language, of which there are MAX_LANGUAGES at most.
+    cuts = F.broadcast(keep_rows(cut.join(most, "lang").select("lang", "cut")))
+    return labelled.join(cuts, "lang").filter("rank <= cut").select("lang", "text")
 
 
 def _counted(frame: DataFrame, expand) -> DataFrame:
@@ -122,10 +127,9 @@ def fit(
     words = materialise(_counted(sample, count_words), "words")
     grams = _counted(words.select("lang", "item", "n"), count_grams)
     grams = materialise(grams.withColumn("size", F.length("item")), "grams")
-    documents = {
-        r["lang"]: r["n"]
-        for r in docs.filter("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).collect()
-    }
+    sizes = docs.filter("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n"))
+    most_documents = sizes.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    documents = {r["lang"]: r["n"] for r in most_documents.collect()}
     languages = sorted(documents, key=lambda x: (-documents[x], x))
     total_words = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     most = [F.desc("n"), "lang", "item"]
