@@ -12,6 +12,7 @@ from tabscope.llm import (
     decontaminate,
     exact_dedup,
     language_id,
+    licenses,
     lm_scoring,
     packing,
     sharding,
@@ -60,6 +61,51 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return lm_scoring.score_held_out(table(spark, sf, "documents"))
 
 
+def _license_sql() -> str:
+    """Containment of every template in every line, and phrases looked up at every word."""
+    found = licenses.templates_of(licenses.TEMPLATES, licenses.PHRASES, licenses.CONTAINMENT)
+    alike = ", ".join(
+        f"({[str(w) for w in t.words]}, {t.need}, '{t.label}')" for t in found if not t.phrase
+    )
+    places = "\nUNION ALL\n".join(
+        f"SELECT row, i - 1 AS place, '{t.label}' AS label "
+        "FROM (SELECT row, words, unnest(range(1, len(words) + 1)) AS i FROM documents_words) "
+        "WHERE " + " AND ".join(f"words[i + {j}] = '{w}'" for j, w in enumerate(t.words))
+        for t in found
+        if t.phrase
+    )
+    words = rf"regexp_extract_all({{}}, '{licenses.WORD}')"
+    return f"""
+    WITH lower_texts AS (SELECT row_number() OVER () AS row, doc_id, {LOWER_SQL} AS text FROM documents),
+    documents_words AS (SELECT row, doc_id, {words.format('text')} AS words FROM lower_texts),
+    line_words AS (
+      SELECT row, list_distinct({words.format('line')}) AS words
+      FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM lower_texts)),
+    templates(words, need, label) AS (VALUES {alike}),
+    alike AS (
+      SELECT row, label, len(list_intersect(l.words, t.words)) / len(t.words) AS containment
+      FROM line_words l, templates t WHERE len(list_intersect(l.words, t.words)) >= t.need),
+    places AS ({places}),
+    base AS (
+      SELECT row, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
+             string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY row),
+    labels AS (
+      SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(containment) AS score
+      FROM (SELECT row, label, containment FROM alike UNION ALL SELECT row, label, 1.0 FROM places)
+      GROUP BY row)
+    SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+           coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+           coalesce(score, 0.0)::DOUBLE AS score
+    FROM documents_words LEFT JOIN base USING (row) LEFT JOIN labels USING (row)
+    """
+
+
+@query("op3_license_scan", _license_sql())
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents against the customary notices and phrases."""
+    return licenses.scan_licenses(table(spark, sf, "documents"))
+
+
 CONTROL = f"{chat.END}{chat.START}assistant ok"
 
 
