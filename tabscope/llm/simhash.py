@@ -243,6 +243,9 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 3) -> Data
 
 
 def keep_one_of_each_group(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """The rows whose id is their component's smallest, with all their columns."""
-    stay = near_duplicates(docs, width, radius).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    """The rows, with all their columns, but for those whose component has a smaller id.
+
+    Rows with one id stay or go together; rows without an id stay.
+    """
+    gone = near_duplicates(docs, width, radius).filter("doc_id > component_id").select("doc_id").distinct()
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
