@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabscope.functions.columns import col, effect_size_label, position_in, share
 from tabscope.functions.tails import tail_by_family
-from tabscope.operators.cleaning import SAMPLE_ROWS, apply_missingness_strategy
+from tabscope.operators.cleaning import apply_missingness_strategy
 from tabscope.operators.mutual_info import mutual_information
 from tabscope.operators.target import Target
 from tabscope.plans.counts import long_form
@@ -229,12 +229,12 @@ def feature_associations(
     top_n: int = 10,
     encoded: list[str] | tuple[str, ...] = (),
     key: list[str] | None = None,
-    max_rows: int = SAMPLE_ROWS,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Features ranked by the sum of their mutual-information and effect-size ranks.
 
-    Effect sizes use all rows, mutual information a sample above ``max_rows``. ``key`` names
-    columns that identify a row for the sample; all columns by default.
+    Both use all rows; with ``max_rows`` mutual information uses a sample above that number. ``key``
+    names columns that identify a row; all columns by default.
     """
     spark = df.sparkSession
     if target.column is None or target.problem_type == "unsupervised":
@@ -252,9 +252,10 @@ def feature_associations(
         df.withColumns(tags), name, features, encoded=encoded, keep=list(tags)
     )
     n = rows.agg(F.count(F.lit(1))).first()[0]
+    sampled = max_rows is not None and n > max_rows
     note = (
         f"MI estimated on a sample of {max_rows:,} of {n:,} rows; effect sizes on all rows"
-        if n > max_rows
+        if sampled
         else ""
     )
     effects = effect_sizes(rows, name, task, numeric, categorical)
@@ -319,7 +320,7 @@ def feature_associations(
             "p_value",
             F.lit(len(features)).alias("total_features"),
             F.lit(strategy).alias("missingness_strategy"),
-            F.lit(max_rows if n > max_rows else None).cast("int").alias("mi_sample_size"),
+            F.lit(max_rows if sampled else None).cast("int").alias("mi_sample_size"),
             F.lit(note).alias("mi_sample_note"),
         )
     )

@@ -1,152 +1,419 @@
-"""Nearest-neighbour mutual information, one task per feature over a capped sample.
+"""Nearest-neighbour mutual information over all rows.
 
-``stratified_sample`` bounds the rows of a feature at its cap, so a group always fits. The work
-in a task is numpy on sorted arrays: no pairwise distance matrix is formed.
+The points of all features are dealt by (feature, value) into parts of bounded size, so no feature and
+no class is one task. A task works on the sorted values of its part:
+
+* For classes, a point's nearest neighbours of its own class are next to it in the order of that class.
+  The three values of each class on either side of a part come along with it. How many points lie within
+  that distance is read off the part, or asked of the part that holds the end of the interval.
+* For a continuous target, a point is settled once its third distance is no larger than the way to the
+  nearest value outside its part. Other points ask the parts that their distance reaches into. Counts along the target
+  come from a second dealing, by target value.
+
+Equal values are told apart by a tiny noise from the row's key, so a frequent value can be cut as well.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscope.functions.columns import col
-from tabscope.operators.cleaning import SAMPLE_ROWS, row_digest, stratified_sample
+from tabscope.operators.cleaning import label_encode, row_digest, stratified_sample
 from tabscope.plans.local import local_table
+from tabscope.plans.scratch import materialise
 
 NEIGHBOURS = 3
 JITTER = 1e-10
 MIN_ROWS = 3
+ROWS_PER_PART = 100_000
+LEAST_PER_PART = 10_000  # fewer are not dealt out further for the sake of parallel tasks
 
 
-def digamma_table(n: int) -> np.ndarray:
-    """digamma(1..n) at index 1..n."""
-    harmonic = np.concatenate([[0.0], np.cumsum(1.0 / np.arange(1, max(n, 1)))])
-    return np.concatenate([[np.nan], harmonic - np.euler_gamma])
+def digamma(n) -> np.ndarray:
+    """digamma of positive whole numbers, by its series after six steps up."""
+    n = np.asarray(n, dtype="float64")
+    z = n + 6
+    inverse = 1 / (z * z)
+    series = np.log(z) - 0.5 / z - inverse * (
+        1 / 12 - inverse * (1 / 120 - inverse * (1 / 252 - inverse * (1 / 240 - inverse / 132)))
+    )
+    return series - sum(1 / (n + j) for j in range(6))
 
 
-def _noise(digest: pd.Series, start: int) -> np.ndarray:
-    """Even noise in [-1, 1) from eight hex digits of the row digest."""
-    return digest.str.slice(start, start + 8).map(lambda h: int(h, 16)).to_numpy() / 2.0**31 - 1.0
-
-
-def _spread_ties(x: np.ndarray, noise: np.ndarray) -> np.ndarray:
-    return x + JITTER * max(float(np.std(x)), float(np.mean(np.abs(x)))) * noise
-
-
-def mi_discrete_target(x: np.ndarray, y: np.ndarray, k: int = NEIGHBOURS) -> float:
-    """Information in nats between a continuous x and classes y (Ross 2014)."""
-    _, codes, sizes = np.unique(y, return_inverse=True, return_counts=True)
-    inside = sizes[codes] > 1
-    x, codes = x[inside], codes[inside]
-    n = len(x)
-    if n < MIN_ROWS:
-        return 0.0
-    ordered = np.sort(x)
-    psi = digamma_table(n + 1)
-    total = 0.0
-    for c in np.unique(codes):
-        own = np.sort(x[codes == c])
-        size = len(own)
-        near = min(k, size - 1)
-        # The nearest `near` others are a run around i in sorted order: try every run.
-        best = np.full(size, np.inf)
-        end = np.zeros(size)
-        padded = np.concatenate([np.full(near, -np.inf), own, np.full(near, np.inf)])
-        at = np.arange(size) + near
-        for left in range(near + 1):
-            low, high = padded[at - left], padded[at + near - left]
-            reach = np.maximum(own - low, high - own)
-            closer = reach < best
-            best = np.where(closer, reach, best)
-            end = np.where(closer, np.where(own - low >= high - own, low, high), end)
-        # One end of the open interval is the neighbour itself, the other its mirror image.
-        mirror = 2 * own - end
-        start = np.searchsorted(ordered, np.minimum(end, mirror), side="right")
-        stop = np.searchsorted(ordered, np.maximum(end, mirror), side="left")
-        within = np.maximum(stop - start, 1)
-        total += size * (psi[near] - psi[size]) - psi[within].sum()
-    return max(0.0, float(psi[n] + total / n))
-
-
-def _neighbour_distance(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
-    """Distance to the k-th neighbour in the larger of the two coordinate distances.
-
-    ``a`` is sorted. Each point walks outwards on both sides and stops once the distance in
-    ``a`` alone reaches its current k-th best.
-    """
-    n = len(a)
-    best = np.full((k, n), np.inf)
-    for direction in (1, -1):
-        active = np.arange(n)
-        step = 1
+def _digamma_column(n: Column) -> Column:
+    z = n + 6
+    inverse = 1 / (z * z)
+    series = F.log(z) - 0.5 / z - inverse * (
+        F.lit(1 / 12)
+        - inverse * (F.lit(1 / 120) - inverse * (F.lit(1 / 252) - inverse * (F.lit(1 / 240) - inverse / 132)))
+    )
+    for j in range(6):
+        series = series - 1 / (n + j)
+    return series
+
+
+class Order:
+    """Where the parts of one feature begin and end; sent to the tasks, a few numbers per part."""
+
+    def __init__(self, rows: list):
+        rows = sorted(rows, key=lambda r: r["part"])
+        self.parts = [r["part"] for r in rows]
+        self.low = [r["low"] for r in rows]
+        self.high = [r["high"] for r in rows]
+        self.sizes = [r["n"] for r in rows]
+        self.before = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
+
+    def borders(self, part: int) -> tuple[float, float]:
+        """The nearest values below and above a part."""
+        i = bisect_left(self.parts, part)
+        below = self.high[i - 1] if i else -np.inf
+        above = self.low[i + 1] if i + 1 < len(self.parts) else np.inf
+        return below, above
+
+    def locate(self, value: float, inclusive: bool) -> tuple[int, int]:
+        """(part, rank): how many values are below (or at) the value. The part is -1 where the rank is
+        final, else the values of that part are still to be counted."""
+        i = (bisect_right if inclusive else bisect_left)(self.low, value) - 1
+        if i < 0:
+            return -1, 0
+        if value > self.high[i] or (inclusive and value == self.high[i]):
+            return -1, int(self.before[i + 1])
+        return self.parts[i], int(self.before[i])
+
+    def reached(self, low: float, high: float) -> list[int]:
+        """Parts with values strictly between."""
+        return self.parts[bisect_right(self.high, low) : bisect_left(self.low, high)]
+
+
+def _deal(points: DataFrame, value: str, n: int) -> tuple[DataFrame, dict[int, Order]]:
+    """The points with the number of their part, written down, and the order of each feature's parts."""
+    wanted = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-n // ROWS_PER_PART), min(wanted, n // LEAST_PER_PART))
+    dealt = points.repartitionByRange(parts, "pos", value).withColumn("part", F.spark_partition_id())
+    dealt = materialise(dealt, "points")
+    # One row per feature and part.
+    rows = dealt.groupBy("pos", "part").agg(
+        F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("n")
+    )
+    found: dict[int, list] = {}
+    for r in rows.collect():
+        found.setdefault(r["pos"], []).append(r)
+    return dealt, {pos: Order(own) for pos, own in found.items()}
+
+
+def _asked(dealt: DataFrame, questions: DataFrame, answer, schema: str) -> DataFrame:
+    """``answer(points, questions)`` in each part that is asked something."""
+    asked = F.broadcast(questions.select("part").distinct())  # part numbers
+    points = dealt.join(asked, "part", "left_semi")
+    return questions.groupBy("part").cogroup(points.groupBy("part")).applyInPandas(
+        lambda q, p: answer(p, q), schema
+    )
+
+
+def _class_reach(ordered: np.ndarray, lead: int, size: int, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """The open interval around each of ``size`` values, from index ``lead`` on, that ends at its
+    near-th neighbour in the ordered values and at that neighbour's mirror image."""
+    own = ordered[lead : lead + size]
+    best, end = np.full(size, np.inf), np.zeros(size)
+    padded = np.concatenate([np.full(near, -np.inf), ordered, np.full(near, np.inf)])
+    at = np.arange(size) + lead + near
+    # The nearest others are a run around the value: try every run.
+    for left in range(near + 1):
+        low, high = padded[at - left], padded[at + near - left]
+        reach = np.maximum(own - low, high - own)
+        closer = reach < best
+        best = np.where(closer, reach, best)
+        end = np.where(closer, np.where(own - low >= high - own, low, high), end)
+    mirror = 2 * own - end
+    return np.minimum(end, mirror), np.maximum(end, mirror)
+
+
+PIECES = "pos int, id long, part int, value double, sign int, place long, total double, n long"
+
+
+def _class_scores(points: DataFrame, n: int, k: int) -> DataFrame:
+    """(pos, total, n): sums over (pos, x, class) points, whose classes have two rows or more."""
+    dealt, orders = _deal(points, "x", n)
+    # Values of one class in one part.
+    ends = dealt.groupBy("pos", "class", "part").agg(
+        F.count("*").alias("size"), F.sort_array(F.collect_list("x")).alias("xs")
+    )
+    ends = ends.select(
+        "pos", "class", "part", "size",
+        F.slice("xs", 1, k).alias("first"),
+        F.slice(F.reverse("xs"), 1, k).alias("last"),
+    )
+    line = Window.partitionBy("pos", "class").orderBy("part")
+    none = F.array().cast("array<double>")
+
+    def around(step, ends_of: str) -> Column:
+        return F.slice(F.concat(*[F.coalesce(step(ends_of, i).over(line), none) for i in range(1, k + 1)]), 1, k)
+
+    borders = ends.select(
+        "pos", "class", "part",
+        F.sum("size").over(Window.partitionBy("pos", "class")).alias("size"),
+        around(F.lag, "last").alias("below"),
+        around(F.lead, "first").alias("above"),
+    )
+
+    def solve(part: pd.DataFrame, sides: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for pos, own in part.groupby("pos", sort=True):
+            own = own.sort_values(["x", "class"], kind="stable")
+            x, classes = own["x"].to_numpy(), own["class"].to_numpy()
+            number = int(own["part"].iloc[0])
+            order = orders[int(pos)]
+            below, above = order.borders(number)
+            low, high, constant = np.empty(len(x)), np.empty(len(x)), np.empty(len(x))
+            codes, names = pd.factorize(classes)
+            by_class = np.argsort(codes, kind="stable")
+            cuts = np.searchsorted(codes[by_class], np.arange(len(names) + 1))
+            info = {r["class"]: r for _, r in sides[sides["pos"] == pos].iterrows()}
+            for i, name in enumerate(names):
+                at = by_class[cuts[i] : cuts[i + 1]]
+                side = info[name]
+                near = min(k, int(side["size"]) - 1)
+                lead = np.asarray(side["below"], float)[::-1]
+                ordered = np.concatenate([lead, x[at], np.asarray(side["above"], float)])
+                low[at], high[at] = _class_reach(ordered, len(lead), len(at), near)
+                constant[at] = digamma(near) - digamma(side["size"])
+            settled = (low >= below) & (high <= above)
+            start = np.searchsorted(x, low[settled], side="right")
+            stop = np.searchsorted(x, high[settled], side="left")
+            total = constant[settled].sum() - digamma(np.maximum(stop - start, 1)).sum()
+            out.append((pos, -1, -1, 0.0, 0, 0, total, int(settled.sum())))
+            for i in np.flatnonzero(~settled):
+                name = number << 40 | int(i)
+                where, rank = order.locate(low[i], True)
+                out.append((pos, name, where, low[i], -1, -rank, constant[i], 1))
+                where, rank = order.locate(high[i], False)
+                out.append((pos, name, where, high[i], 1, rank, 0.0, 0))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")])
+
+    def count(part: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
+        out = questions.copy()
+        for pos, own in questions.groupby("pos"):
+            x = np.sort(part["x"].to_numpy()[part["pos"].to_numpy() == pos])
+            value, sign = own["value"].to_numpy(), own["sign"].to_numpy()
+            rank = np.where(sign < 0, np.searchsorted(x, value, "right"), np.searchsorted(x, value, "left"))
+            out.loc[own.index, "place"] = own["place"].to_numpy() + sign * rank
+        return out
+
+    pieces = materialise(
+        dealt.groupBy("part").cogroup(borders.groupBy("part")).applyInPandas(solve, PIECES), "pieces"
+    )
+    open_ends = pieces.filter("id >= 0")
+    answered = _asked(dealt, open_ends.filter("part >= 0"), count, PIECES)
+    within = (
+        open_ends.filter("part < 0")
+        .unionByName(answered)
+        .groupBy("pos", "id")
+        .agg(F.sum("place").alias("m"), F.sum("total").alias("total"), F.sum("n").alias("n"))
+        .select("pos", (F.col("total") - _digamma_column(F.greatest("m", F.lit(1)))).alias("total"), "n")
+    )
+    settled = pieces.filter("id < 0").select("pos", "total", "n")
+    return settled.unionByName(within).groupBy("pos").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
+def _nearest(
+    a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, right: np.ndarray, left: np.ndarray,
+    k: int, bound: np.ndarray,
+) -> np.ndarray:
+    """The k least distances (the larger of both coordinates) below the bound, from points (at_a, at_b) to
+    (a, b), ``a`` sorted. The walk starts at indices ``right`` and ``left`` and ends where ``a`` alone is
+    too far."""
+    best = np.full((k, len(at_a)), np.inf)
+    for step, start in ((1, right), (-1, left)):
+        active, other = np.arange(len(at_a)), start.copy()
         while len(active):
-            other = active + direction * step
-            ok = (other >= 0) & (other < n)
+            ok = (other >= 0) & (other < len(a))
             active, other = active[ok], other[ok]
-            gap = np.abs(a[other] - a[active])
-            ok = gap < best[k - 1, active]
+            gap = np.abs(a[other] - at_a[active])
+            ok = gap < np.minimum(best[k - 1, active], bound[active])
             active, other, gap = active[ok], other[ok], gap[ok]
-            d = np.maximum(gap, np.abs(b[other] - b[active]))
+            d = np.maximum(gap, np.abs(b[other] - at_b[active]))
             for place in range(k):
                 old = best[place, active]
                 best[place, active] = np.minimum(old, d)
                 d = np.maximum(old, d)
-            step += 1
-    return best[k - 1]
+            other = other + step
+    return best
 
 
-def _closer_than(x: np.ndarray, radius: np.ndarray) -> np.ndarray:
-    """How many other points lie closer to each point than its radius."""
-    ordered = np.sort(x)
+def _closer_than(ordered: np.ndarray, x: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """How many of the ordered values lie closer to each x than its radius."""
     start = np.searchsorted(ordered, x - radius, side="right")
     stop = np.searchsorted(ordered, x + radius, side="left")
-    # x - radius and x + radius are rounded; settle the points next to the ends by distance.
-    last = len(x) - 1
+    # x - radius and x + radius are rounded; settle the values next to the ends by distance.
+    last = len(ordered) - 1
     for _ in range(2):
         start -= (start > 0) & (x - ordered[np.maximum(start - 1, 0)] < radius)
-        start += x - ordered[np.minimum(start, last)] >= radius
+        start += (start <= last) & (x - ordered[np.minimum(start, last)] >= radius)
         stop += (stop <= last) & (ordered[np.minimum(stop, last)] - x < radius)
-        stop -= ordered[np.maximum(stop - 1, 0)] - x >= radius
-    return np.maximum(stop - start - 1, 0)
-
-
-def mi_continuous_target(x: np.ndarray, y: np.ndarray, k: int = NEIGHBOURS) -> float:
-    """Information in nats between two continuous variables (Kraskov 2004, first estimator)."""
-    n = len(x)
-    if n <= k:
-        return 0.0
-    sort_by, other = (x, y) if len(np.unique(x)) >= len(np.unique(y)) else (y, x)
-    order = np.argsort(sort_by, kind="stable")
-    radius = np.empty(n)
-    radius[order] = _neighbour_distance(sort_by[order], other[order], k)
-    psi = digamma_table(n + 1)
-    nx, ny = _closer_than(x, radius), _closer_than(y, radius)
-    mi = psi[n] + psi[k] - float(np.mean(psi[nx + 1] + psi[ny + 1]))
-    return max(0.0, mi)
-
-
-def _unit_scale(x: np.ndarray) -> np.ndarray:
-    std = float(np.std(x))
-    return x / std if std > 0 else x
-
-
-def _score(feature: pd.DataFrame, classification: bool, k: int) -> float:
-    feature = feature.sort_values("digest", kind="stable")
-    if feature["text"].notna().any():
-        x = np.unique(feature["text"].to_numpy(dtype=str), return_inverse=True)[1].astype("float64")
-    else:
-        x = feature["number"].to_numpy(dtype="float64")
-    if len(x) < MIN_ROWS:
-        return 0.0
-    if classification:
-        return mi_discrete_target(
-            _spread_ties(x, _noise(feature["digest"], 12)), feature["class"].to_numpy(dtype=str), k
+        stop -= (stop > 0) & (ordered[np.maximum(stop - 1, 0)] - x >= radius)
+    return np.maximum(stop - start, 0)
+
+
+def _spacing(values: np.ndarray) -> float:
+    """How far apart values are that have some sixty others between them; next to nothing for levels."""
+    step = min(64, len(values) - 1)
+    ordered = np.sort(values)
+    return float(np.median(ordered[step:] - ordered[:-step])) if step > 0 else 0.0
+
+
+def _axes(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, bool]:
+    """The order along the coordinate in which the points lie further apart, and whether that is y."""
+    turned = _spacing(y) > _spacing(x)
+    return np.argsort(y if turned else x, kind="stable"), turned
+
+
+POINT_ROWS = "pos int, id long, x double, y double, radius double, total double, best array<double>, parts array<int>"
+
+
+def _counts_across(dealt: DataFrame, value: str, open_points: DataFrame) -> DataFrame:
+    """(pos, id, m): values closer than the radius, over all ``parts`` of each open point."""
+    questions = open_points.select("pos", "id", F.col(value).alias("v"), "radius", F.explode("parts").alias("part"))
+
+    def count(part: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for pos, own in asked.groupby("pos"):
+            ordered = np.sort(part[value].to_numpy()[part["pos"].to_numpy() == pos])
+            found = _closer_than(ordered, own["v"].to_numpy(), own["radius"].to_numpy())
+            out.append(pd.DataFrame({"pos": own["pos"], "id": own["id"], "m": found}))
+        return pd.concat(out)
+
+    counted = _asked(dealt, questions, count, "pos int, id long, m long")
+    return counted.groupBy("pos", "id").agg(F.sum("m").alias("m"))
+
+
+def _continuous_scores(points: DataFrame, n: int, k: int) -> DataFrame:
+    """(pos, total, n): sums of digamma of both marginal counts over (pos, x, y) points."""
+    dealt, orders = _deal(points, "x", n)
+
+    def rows(pos, x, y, radius, total, name=-1, best=None, parts=None) -> pd.DataFrame:
+        """Settled points have id -1, their total and no parts to ask."""
+        empty = [[]] * len(x)
+        return pd.DataFrame(
+            {
+                "pos": pos, "id": name, "x": x, "y": y, "radius": radius, "total": total,
+                "best": empty if best is None else best, "parts": empty if parts is None else parts,
+            }
         )
-    x = _spread_ties(_unit_scale(x), _noise(feature["digest"], 12))
-    y = _spread_ties(_unit_scale(feature["number_y"].to_numpy("float64")), _noise(feature["digest"], 20))
-    return mi_continuous_target(x, y, k)
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        number = int(part["part"].iloc[0])
+        for pos, own in part.groupby("pos", sort=True):
+            own = own.sort_values(["x", "y"], kind="stable")
+            x, y = own["x"].to_numpy(), own["y"].to_numpy()
+            by, turned = _axes(x, y)
+            a, b = (y[by], x[by]) if turned else (x[by], y[by])
+            i = np.arange(len(x))
+            best = np.empty((k, len(x)))
+            best[:, by] = _nearest(a, b, a, b, i + 1, i - 1, k, np.full(len(x), np.inf))
+            radius = best[k - 1]
+            order = orders[int(pos)]
+            below, above = order.borders(number)
+            settled = (x - below >= radius) & (above - x >= radius)
+            # A point is closer to itself than its radius; it is not counted, but digamma takes one more.
+            inside = _closer_than(x, x[settled], radius[settled])
+            out.append(rows(pos, x[settled], y[settled], radius[settled], digamma(np.maximum(inside, 1))))
+            at = np.flatnonzero(~settled)
+            parts = [order.reached(v - r, v + r) for v, r in zip(x[at], radius[at])]
+            parts = [sorted({number, *p}) for p in parts]
+            out.append(
+                rows(pos, x[at], y[at], radius[at], 0.0, (number << 40) | at, best[:, at].T.tolist(), parts)
+            )
+        return pd.concat(out)
+
+    def nearer(part: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for pos, own in asked.groupby("pos"):
+            mine = part["pos"].to_numpy() == pos
+            x, y = part["x"].to_numpy()[mine], part["y"].to_numpy()[mine]
+            by, turned = _axes(x, y)
+            a, b = (y[by], x[by]) if turned else (x[by], y[by])
+            at_a, at_b = (own["y"], own["x"]) if turned else (own["x"], own["y"])
+            right = np.searchsorted(a, at_a.to_numpy())
+            found = _nearest(a, b, at_a.to_numpy(), at_b.to_numpy(), right, right - 1, k, own["radius"].to_numpy())
+            out.append(pd.DataFrame({"pos": own["pos"], "id": own["id"], "best": found.T.tolist()}))
+        return pd.concat(out)
+
+    first = materialise(dealt.groupBy("part").applyInPandas(solve, POINT_ROWS), "neighbours")
+    waiting = first.filter("id >= 0")
+    questions = waiting.select("pos", "id", "x", "y", "radius", F.explode("parts").alias("part")).filter(
+        F.shiftright("id", 40) != F.col("part")
+    )
+    more = _asked(dealt, questions, nearer, "pos int, id long, best array<double>")
+    nearest = (
+        waiting.select("pos", "id", "best")
+        .unionByName(more)
+        .groupBy("pos", "id")
+        .agg(F.element_at(F.array_sort(F.flatten(F.collect_list("best"))), k).alias("radius"))
+    )
+    moved = materialise(waiting.drop("radius").join(nearest, ["pos", "id"]), "moved")
+    inside = _counts_across(dealt, "x", moved)
+    found = moved.join(inside, ["pos", "id"]).select(
+        "pos", "y", "radius", _digamma_column(F.greatest("m", F.lit(1))).alias("total")
+    )
+    along = first.filter("id < 0").select("pos", "y", "radius", "total").unionByName(found)
+
+    # The same counts along the target, for every point of every feature.
+    by_y, y_orders = _deal(along, "y", n)
+
+    def target_counts(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        number = int(part["part"].iloc[0])
+        for pos, own in part.groupby("pos", sort=True):
+            own = own.sort_values(["y", "radius"], kind="stable")
+            y, radius = own["y"].to_numpy(), own["radius"].to_numpy()
+            order = y_orders[int(pos)]
+            below, above = order.borders(number)
+            settled = (y - below >= radius) & (above - y >= radius)
+            inside = _closer_than(y, y[settled], radius[settled])
+            total = own["total"].sum() + digamma(np.maximum(inside, 1)).sum()
+            out.append(rows(pos, np.zeros(1), np.zeros(1), np.array([float(len(y))]), [total]))
+            at = np.flatnonzero(~settled)
+            parts = [sorted({number, *order.reached(v - r, v + r)}) for v, r in zip(y[at], radius[at])]
+            out.append(rows(pos, y[at], y[at], radius[at], 0.0, (number << 40) | at, None, parts))
+        return pd.concat(out)
+
+    counted = materialise(by_y.groupBy("part").applyInPandas(target_counts, POINT_ROWS), "target-counts")
+    late = _counts_across(by_y, "y", counted.filter("id >= 0")).select(
+        "pos", _digamma_column(F.greatest("m", F.lit(1))).alias("total"), F.lit(0.0).alias("n")
+    )
+    sums = counted.filter("id < 0").select("pos", "total", F.col("radius").alias("n"))
+    return sums.unionByName(late).groupBy("pos").agg(F.sum("total").alias("total"), F.sum("n").cast("long").alias("n"))
+
+
+def _noise(digest: Column, start: int) -> Column:
+    """Even noise in [-1, 1) from eight hex digits of the row digest."""
+    return F.conv(F.substring(digest, start, 8), 16, 10).cast("double") / F.lit(2.0**31) - 1
+
+
+def _scales(rows: DataFrame, names: list[str], unit: bool) -> dict[str, tuple[float, float] | None]:
+    """(divisor, size of the noise) of each column; None where all values are equal."""
+    found: dict[str, tuple[float, float] | None] = {}
+    for c in range(0, len(names), 16):
+        chunk = names[c : c + 16]
+        aggregates = []
+        for i, name in enumerate(chunk):
+            x = col(name).cast("double")
+            aggregates += [F.stddev_pop(x).alias(f"s{i}"), F.avg(F.abs(x)).alias(f"a{i}")]
+            aggregates += [(F.min(x) < F.max(x)).alias(f"v{i}")]
+        r = rows.agg(*aggregates).first()
+        for i, name in enumerate(chunk):
+            if not r[f"v{i}"]:
+                found[name] = None
+                continue
+            divisor = r[f"s{i}"] if unit else 1.0
+            found[name] = (divisor, JITTER * max(r[f"s{i}"], r[f"a{i}"]) / divisor)
+    return found
 
 
 def mutual_information(
@@ -156,43 +423,58 @@ def mutual_information(
     numeric: list[str],
     categorical: list[str],
     key: list[str] | None = None,
-    max_rows: int = SAMPLE_ROWS,
+    max_rows: int | None = None,
     k: int = NEIGHBOURS,
     seed: int = 42,
 ) -> DataFrame:
-    """(feature, mi_score) for every feature, in nats. Category columns count as their codes.
+    """(feature, mi_score) for every feature, in nats, over all rows. Category columns count as codes.
 
-    Rows should have no NULLs (``apply_missingness_strategy``). Equal values are told apart by
-    a tiny noise taken from the row's key, so the result does not depend on row order.
+    Rows without a value or target are left out for that feature; a feature with one value scores 0.
+    Equal values are told apart by a tiny noise taken from the row's key, so the result does not
+    depend on row order. With ``max_rows`` a sample that keeps the class shares is used instead.
     """
     names = [*numeric, *categorical]
     schema = "feature string, mi_score double"
+    spark = df.sparkSession
     if not names:
-        return local_table(df.sparkSession, [], schema)
+        return local_table(spark, [], schema)
     classification = task == "classification"
     keys = key or df.columns
-    rows = stratified_sample(df, target if classification else None, max_rows, keys, seed)
-    entries = [
-        F.struct(
-            col(c).cast("double").alias("number") if c in numeric
-            else F.lit(None).cast("double").alias("number"),
-            col(c).cast("string").alias("text") if c in categorical
-            else F.lit(None).cast("string").alias("text"),
-        )
-        for c in names
-    ]
-    long = rows.filter(col(target).isNotNull()).select(
-        row_digest([F.lit(seed), *[col(c) for c in keys]]).alias("digest"),
-        col(target).cast("string").alias("class"),
-        (col(target).cast("double") if not classification else F.lit(None).cast("double")).alias(
-            "number_y"
-        ),
-        F.posexplode(F.array(*entries)).alias("pos", "v"),
-    ).select("digest", "class", "number_y", "pos", "v.number", "v.text")
-
-    def per_feature(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(
-            {"feature": [names[int(part["pos"].iloc[0])]], "mi_score": [_score(part, classification, k)]}
-        )
-
-    return long.groupBy("pos").applyInPandas(per_feature, schema)
+    rows = df.filter(col(target).isNotNull())
+    if max_rows is not None:
+        rows = stratified_sample(rows, target if classification else None, max_rows, keys, seed)
+    digest = row_digest([F.lit(seed), *[col(c) for c in keys]])
+    rows = rows.withColumns({"__digest": digest, "__target": col(target).cast("string" if classification else "double")})
+    if classification:
+        sizes = rows.groupBy("__target").agg(F.count("*").alias("__size")).filter("__size > 1")
+        rows = rows.join(sizes.drop("__size"), "__target", "left_semi")
+    rows = label_encode(rows, categorical) if categorical else rows
+    rows = materialise(rows.select(*[col(c) for c in dict.fromkeys(names)], "__digest", "__target"), "rows")
+    scales = _scales(rows, names, unit=not classification)
+    used = [c for c in names if scales[c]]
+    y_scale = None if classification else _scales(rows, ["__target"], True)["__target"]
+    scores = dict.fromkeys(names, 0.0)
+    if used and (classification or y_scale):
+        entries = []
+        for c in used:
+            divisor, size = scales[c]
+            x = col(c).cast("double") / F.lit(divisor) + F.lit(size) * _noise(F.col("__digest"), 13)
+            entries.append(x)
+        other = F.col("__target").alias("class")
+        if not classification:
+            divisor, size = y_scale
+            other = (F.col("__target") / F.lit(divisor) + F.lit(size) * _noise(F.col("__digest"), 21)).alias("y")
+        points = rows.select(other, F.posexplode(F.array(*entries)).alias("pos", "x")).filter("x IS NOT NULL")
+        n = rows.count() * len(used)
+        sums = (_class_scores if classification else _continuous_scores)(points, n, k)
+        # One row per feature.
+        for r in sums.collect():
+            size = r["n"]
+            if classification and size >= MIN_ROWS:
+                mi = float(digamma(size)) + r["total"] / size
+            elif not classification and size > k:
+                mi = float(digamma(size) + digamma(k)) - r["total"] / size
+            else:
+                mi = 0.0
+            scores[used[r["pos"]]] = max(0.0, mi)
+    return local_table(spark, list(scores.items()), schema)

@@ -86,7 +86,12 @@ def test_pearson_effect(spark):
 
 
 def _psi(n):
-    return float(mi.digamma_table(int(n) + 1)[int(n)])
+    return float(mi.digamma(int(n)))
+
+
+def test_digamma():
+    harmonic = np.concatenate([[0.0], np.cumsum(1.0 / np.arange(1, 2000))])
+    assert mi.digamma(np.arange(1, 2001)) == pytest.approx(harmonic - np.euler_gamma, abs=1e-11)
 
 
 def _brute_discrete(x, y, k=3):
@@ -110,27 +115,38 @@ def _brute_continuous(x, y, k=3):
     return max(0.0, _psi(n) + _psi(k) - total / n)
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_discrete_estimator_equals_brute_force(seed):
-    rng = np.random.default_rng(seed)
-    n = 250
-    y = rng.choice(["a", "b", "c", "d"], n, p=[0.5, 0.3, 0.19, 0.01])
+@pytest.mark.parametrize("rows", [250_000, 70, 9])
+def test_estimators_equal_brute_force(spark, monkeypatch, rows):
+    """Parts that hold everything, some or hardly any of a feature."""
+    monkeypatch.setattr(mi, "ROWS_PER_PART", rows)
+    rng = np.random.default_rng(rows)
+    n = 260
+    y = rng.choice(["a", "b", "c", "d", "e"], n, p=[0.5, 0.3, 0.18, 0.015, 0.005])
     x = rng.normal(0, 1, n) + (y == "a") * 1.5
-    if seed % 2:
-        x = np.round(x) + 1e-9 * rng.random(n)
-    assert mi.mi_discrete_target(x, y) == pytest.approx(_brute_discrete(x, y), abs=1e-9)
-
-
-@pytest.mark.parametrize("seed", range(6))
-def test_continuous_estimator_equals_brute_force(seed):
-    rng = np.random.default_rng(seed)
-    x = rng.normal(0, 1, 220)
-    if seed % 2:
-        x = np.round(2 * x) + 1e-9 * rng.random(220)
-    y = 0.7 * x + rng.normal(0, 0.6, 220)
-    if seed % 3 == 0:
-        y = np.round(3 * y) + 1e-9 * rng.random(220)
-    assert mi.mi_continuous_target(x, y) == pytest.approx(_brute_continuous(x, y), abs=1e-9)
+    # Levels that differ by much less than they lie apart, and a far outlier.
+    steps = np.round(x) + 1e-4 * rng.random(n)
+    far = np.where(np.arange(n) == 17, 1e3, rng.exponential(1, n))
+    z = 0.7 * x + rng.normal(0, 0.6, n)
+    pdf = pd.DataFrame({"id": range(n), "x": x, "steps": steps, "far": far, "z": z, "y": y, "flat": 0.0})
+    df = spark.createDataFrame(pdf)
+    classes = mi.mutual_information(df, "y", "classification", ["x", "steps", "far", "flat"], [], ["id"])
+    got = {r["feature"]: r["mi_score"] for r in classes.collect()}
+    for c in ("x", "steps", "far"):
+        assert got[c] == pytest.approx(_brute_discrete(pdf[c].to_numpy(), y), abs=1e-6)
+    assert got["flat"] == 0.0
+    numbers = mi.mutual_information(df, "z", "regression", ["x", "steps", "far", "flat"], [], ["id"])
+    got = {r["feature"]: r["mi_score"] for r in numbers.collect()}
+    for c in ("x", "steps", "far"):
+        unit = pdf[c].to_numpy() / np.std(pdf[c].to_numpy())
+        assert got[c] == pytest.approx(_brute_continuous(unit, z / np.std(z)), abs=1e-6)
+    assert got["flat"] == 0.0
+
+
+def test_a_sample_only_on_request(spark):
+    df = spark.range(400).selectExpr("id", "id % 2 AS c", "(id % 2) * 10 + id / 1000 AS x")
+    whole = mi.mutual_information(df, "c", "classification", ["x"], [], ["id"]).first()["mi_score"]
+    part = mi.mutual_information(df, "c", "classification", ["x"], [], ["id"], max_rows=100).first()["mi_score"]
+    assert whole == pytest.approx(math.log(2), abs=0.01) and part != whole
 
 
 def test_information_of_known_relations(spark):
