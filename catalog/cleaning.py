@@ -13,17 +13,22 @@ from tabscope.plans.kinds import column_kinds as kinds_of
 
 @query(
     "column_kinds",
-    """SELECT CAST(row_number() OVER () AS INTEGER) AS position, column_name AS "column",
+    """SELECT CAST(list_position((SELECT list(column_name) FROM (DESCRIBE lineitem)), column_name) AS INTEGER) AS position, column_name AS "column",
   CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
        WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp' END AS dtype,
   CASE WHEN column_name = 'l_linenumber' OR column_type = 'VARCHAR' THEN 'categorical'
        WHEN column_type IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'numeric' ELSE 'datetime' END AS kind,
-  column_name = 'l_linenumber' AS encoded
-FROM (DESCRIBE lineitem)""",
+  column_name = 'l_linenumber' AS encoded, n_values
+FROM (DESCRIBE lineitem) JOIN
+  (UNPIVOT (SELECT count(COLUMNS(*)) FROM lineitem) ON COLUMNS(*) INTO NAME column_name VALUE n_values)
+  USING (column_name)""",
 )
 def column_kinds(spark, sf):
-    kinds = kinds_of(table(spark, sf, "lineitem"), encoded=["l_linenumber"])
-    return kinds.withColumn("dtype", F.regexp_replace("dtype", "timestamp.*", "timestamp"))
+    lines = table(spark, sf, "lineitem")
+    kinds = kinds_of(lines, encoded=["l_linenumber"])
+    counts = lines.agg(*[F.count(c).alias(c) for c in lines.columns])
+    present = counts.unpivot([], lines.columns, "column", "n_values")
+    return kinds.withColumn("dtype", F.regexp_replace("dtype", "timestamp.*", "timestamp")).join(present, "column")
 
 
 @query("drop_duplicate_rows", f"WITH {STRESS_EVENTS} SELECT DISTINCT * FROM stress_events")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.inputs import ORDER_QUANTITIES, QUANTITIES, order_quantities, union_all
 from catalog.registry import query
+from tabscope.operators.describe import describe_numeric
 from tabscope.operators import interact
 from tabscope.operators.target import classify_target
 
@@ -59,11 +60,22 @@ TRAJECTORY = signal_sql("trajectory", "qty", "qty_1,qty_7", _MOVE)
 _BASE = f"WITH {ORDER_QUANTITIES}, {_MEDIANS}"
 
 
-@query("column_families", union_all(
-    [f"SELECT 'qty' AS family, {i} AS member, '{c}' AS \"column\"" for i, c in enumerate(QUANTITIES)]
-))
+@query(
+    "column_families",
+    f"WITH {ORDER_QUANTITIES} "
+    + union_all(
+        [
+            f"SELECT 'qty' AS family, {i} AS member, '{c}' AS \"column\", count({c}) AS n, "
+            f"round(avg({c}), 6) AS mean FROM order_quantities"
+            for i, c in enumerate(QUANTITIES)
+        ]
+    ),
+)
 def column_families(spark, sf):
-    return interact.family_table(order_quantities(spark, sf), "large")
+    """The members of each family with what they hold."""
+    df = order_quantities(spark, sf)
+    stats = describe_numeric(df, QUANTITIES).select("column", F.col("count").alias("n"), F.round("mean", 6).alias("mean"))
+    return interact.family_table(df, "large").join(stats, "column")
 
 
 @query("persistence_gradient", f"{_BASE} {PERSISTENCE}")

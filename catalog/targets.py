@@ -23,9 +23,11 @@ FROM (SELECT CAST({column} AS VARCHAR) AS v, count(*) AS n FROM {relation}
 
 
 def _show(df, target):
-    entries = F.sort_array(F.map_entries("class_counts"))
-    text = F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
-    return tg.target_table(df, target).withColumn("classes", F.array_join(text, ",")).drop("class_counts")
+    rows = tg.target_table(df, target)
+    text = F.concat("class", F.lit("="), F.col("class_count").cast("string"))
+    kept = [c for c in rows.columns if c not in ("class", "class_count")]
+    classes = F.array_join(F.sort_array(F.collect_list(text)), ",")
+    return rows.groupBy(*kept).agg(classes.alias("classes"))
 
 
 _REGRESSION = """SELECT 'o_totalprice' AS "column",
@@ -48,6 +50,41 @@ def resolve_target(spark, sf):
     )
 
 
+@query(
+    "target_of_many_classes",
+    """SELECT 'buyer' AS "column", 'classification' AS problem_type,
+  (SELECT count(DISTINCT o_custkey) FROM orders) AS n_classes,
+  (SELECT round(max(n) / min(n), 2) FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey))
+    AS imbalance_ratio, 'explicit' AS detection_method, false AS has_datetime_index,
+  'c' || o_custkey AS class, count(*) AS class_count
+FROM orders GROUP BY o_custkey""",
+)
+def target_of_many_classes(spark, sf):
+    """Every class has its row, however many there are."""
+    buyers = table(spark, sf, "orders").select(
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("buyer"), "o_totalprice"
+    )
+    return tg.target_table(buyers, tg.classify_target(buyers, "buyer"))
+
+
+@query(
+    "text_dates",
+    """SELECT count(*) AS n, true AS all_parse, false AS one_bad FROM orders""",
+)
+def text_dates(spark, sf):
+    """Text dates of which all parse, and the same with one bad value, wherever it stands."""
+    orders = table(spark, sf, "orders")
+    last = orders.agg(F.max("o_orderkey")).first()[0]
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    good = orders.select("o_orderkey", day.alias("order_date"))
+    bad = good.withColumn("order_date", F.when(F.col("o_orderkey") != last, F.col("order_date")).otherwise("soon"))
+    return orders.agg(F.count("*").alias("n")).select(
+        "n",
+        F.lit(tg.has_datetime_column(good)).alias("all_parse"),
+        F.lit(tg.has_datetime_column(bad)).alias("one_bad"),
+    )
+
+
 @query(
     "detect_target",
     f"""{_class_sql('embeddings', 'label', 'name_heuristic', 'false')}

@@ -67,7 +67,9 @@ def profile(
         if found.problem_type == "classification":
             out["class_distribution"] = target_analysis.class_distribution(data, name)
             out["per_class_feature_stats"] = target_analysis.per_class_feature_stats(data, name)
-            out["target_rates"] = categorical.target_rates(data, name, kinds.categorical)
+            out["target_rates"] = categorical.target_rates(
+                data, name, kinds.categorical, counts=p.value_counts
+            )
         else:
             out["target_stats"] = target_analysis.regression_target_stats(data, name)
             out["feature_target_correlation"] = correlate.feature_target_correlation(data, name)

@@ -86,25 +86,30 @@ def categorical_summary(
 
 
 def target_rates(
-    df: DataFrame, target: str, columns: list[str] | None = None, n: int = TOP_VALUES
+    df: DataFrame,
+    target: str,
+    columns: list[str] | None = None,
+    n: int = TOP_VALUES,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """(column, rank, value, count, class, class_count, rate): class shares in % inside the top
-    values of each column; rows without target are left out of the shares."""
+    values of each column; rows without target are left out of the shares. Only cells of top values
+    are shuffled. ``counts`` are the value counts, where they are known."""
     names = infer_kinds(df).categorical if columns is None else list(columns)
-    counts = value_counts(df, names)
+    counts = value_counts(df, names) if counts is None else counts.filter(F.col("column").isin(names))
     # n rows per column of the schema, so the broadcast has a proven bound.
     top = F.broadcast(top_by_count(counts, n, "column"))
     cells = (
         long_form(df.withColumn("__class", col(target).cast("string")), names, "__class")
         .filter("__class IS NOT NULL")
-        .groupBy("column", "value", F.col("__class").alias("class"))
+        .join(top, ["column", "value"])
+        .groupBy("column", "rank", "value", "count", F.col("__class").alias("class"))
         .agg(F.count(F.lit(1)).alias("class_count"))
     )
     inside = Window.partitionBy("column", "value")
     rate = share(F.col("class_count"), F.sum("class_count").over(inside))
     return (
-        cells.join(top, ["column", "value"])
-        .withColumn("rate", F.round(rate * 100, 2))
+        cells.withColumn("rate", F.round(rate * 100, 2))
         .select("column", "rank", "value", "count", "class", "class_count", "rate")
     )
 

@@ -14,8 +14,10 @@ from tabscope.plans.counts import value_counts
 from tabscope.plans.kinds import clean, infer_kinds, normalise
 from tabscope.plans.moments import collect_moments
 from tabscope.plans.quantiles import exact_medians
+from tabscope.plans.scratch import materialise
 
 SAMPLE_ROWS = 50_000
+CODES_PER_PART = 200_000
 
 normalise_missing = normalise
 stringify_nested = normalise
@@ -199,40 +201,27 @@ def fill_categorical_missing(
     return data
 
 
-def _shared_start(low: str | None, high: str | None) -> int:
-    """Length of the start that the smallest and largest text, hence all texts, share."""
-    n = 0
-    for a, b in zip(low or "", high or ""):
-        if a != b:
-            break
-        n += 1
-    return n
-
-
 def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, code): codes 0..k-1 in value order.
 
-    Values are numbered inside groups that begin alike, and the sizes of the groups before are
-    added, so that a column of very many values is not ranked in one task.
+    The values are dealt by range into parts of about ``CODES_PER_PART``, whatever they look like,
+    and written down; they are numbered inside their part and shifted by the parts before it.
     """
-    values = value_counts(df, columns).select("column", "value")
-    ends = values.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    starts = {r["column"]: _shared_start(r["lo"], r["hi"]) for r in ends.collect()}
-    if not starts:
-        return values.withColumn("code", F.lit(0).cast("long"))
-    skip = F.element_at(F.create_map(*[F.lit(v) for kv in starts.items() for v in kv]), F.col("column"))
-    grouped = values.withColumn("start", F.substr("value", skip + 1, F.lit(2)))
-    below = Window.partitionBy("column").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    values = materialise(value_counts(df, columns).select("column", "value"), "values")
+    parts = max(1, -(-values.count() // CODES_PER_PART))
+    dealt = values.repartitionByRange(parts, "column", "value").withColumn("part", F.spark_partition_id())
+    dealt = materialise(dealt, "codes")
+    below = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = (
-        grouped.groupBy("column", "start")
+        dealt.groupBy("column", "part")
         .agg(F.count(F.lit(1)).alias("size"))
         .withColumn("before", F.coalesce(F.sum("size").over(below), F.lit(0)))
-        .select("column", "start", "before")
+        .select("column", "part", "before")
     )
-    inside = Window.partitionBy("column", "start").orderBy("value")
+    inside = Window.partitionBy("column", "part").orderBy("value")
     return (
-        grouped.withColumn("place", F.row_number().over(inside))
-        .join(before, ["column", "start"])
+        dealt.withColumn("place", F.row_number().over(inside))
+        .join(before, ["column", "part"])
         .select("column", "value", (F.col("before") + F.col("place") - 1).cast("long").alias("code"))
     )
 

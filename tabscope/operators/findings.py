@@ -415,7 +415,7 @@ def fact_table(
     ]
     if target is not None and p.target.problem_type == "classification":
         # At most ten values per column, times the classes.
-        rates = keep_rows(categorical.target_rates(p.df, target, p.kinds.categorical))
+        rates = keep_rows(categorical.target_rates(p.df, target, p.kinds.categorical, counts=p.value_counts))
         parts.append(
             _facts(
                 rates, "target_rates", name, ["rate"], F.concat("value", F.lit(" / "), "class")

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tabscope.functions.columns import RARE_SHARE, col, share, vif
 from tabscope.operators.describe import spread_metrics
 from tabscope.operators.profile import Profile
-from tabscope.plans.counts import long_form, top_by_count
-from tabscope.plans.kinds import clean
+from tabscope.plans.counts import long_form, top_by_count, value_counts
+from tabscope.plans.few import without_repeats
 from tabscope.plans.local import local_table
 
 FLAGS = (
@@ -191,7 +191,8 @@ def outliers_iqr(p: Profile) -> DataFrame:
     )
 
 
-def skewness(p: Profile, most: int = 20) -> DataFrame:
+def skewness(p: Profile, most: int | None = None) -> DataFrame:
+    """All skewed columns, or the ``most`` skewed ones."""
     g, low = F.col("skewness"), F.col("min")
     size = F.abs(g)
     zeros = F.coalesce(share(F.col("zeros"), F.col("count")), F.lit(0.0)) * 100
@@ -214,7 +215,7 @@ def skewness(p: Profile, most: int = 20) -> DataFrame:
         .when(g > 1, "Right tail with negative values: cube root")
         .otherwise("Left tail: reflect, then square root")
     )
-    return _flags(
+    flags = _flags(
         p.described.filter("count >= 3"),
         "skewness",
         severity,
@@ -223,7 +224,8 @@ def skewness(p: Profile, most: int = 20) -> DataFrame:
         [F.desc(size), F.asc("position")],
         F.col("column"),
         suggestion,
-    ).filter(F.col("seq") <= most)
+    )
+    return flags if most is None else flags.filter(F.col("seq") <= most)
 
 
 def zero_variance(p: Profile) -> DataFrame:
@@ -366,15 +368,14 @@ def categorical_numeric_redundancy(p: Profile) -> DataFrame:
 
 
 def all_unique_column(p: Profile) -> DataFrame:
-    """The first column with as many values as rows. Estimates rule columns out; the ones left
-    are counted exactly, one after the other."""
+    """The first column with as many values as rows. A value that a task meets twice rules a column
+    out; the values of all columns left are counted in one shuffle."""
     n = p.n_rows
-    rows = []
-    for c, (present, rough) in p.rough_distinct.items() if n else ():
-        if present == n and rough >= 0.7 * n:
-            if clean(p.df, [c]).distinct().count() == n:
-                rows.append((c, n))
-                break
+    full = [c for c, (present, _) in p.rough_distinct.items() if present == n] if n else []
+    left = without_repeats(p.df, full)
+    counts = value_counts(p.df, left).groupBy("column").agg(F.count("*").alias("n")).filter(F.col("n") == n)
+    unique = {r["column"] for r in counts.collect()}
+    rows = [(c, n) for c in left if c in unique][:1]
     first = local_table(p.spark, rows, "column string, n long")
     return _flags(
         first,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscope.functions.columns import col
-from tabscope.plans.counts import value_counts
+from tabscope.plans.few import few_values
 from tabscope.plans.kinds import clean, infer_kinds
 from tabscope.plans.quantiles import exact_medians
 from tabscope.plans.local import local_table
@@ -26,7 +26,6 @@ REGRESSION_OVER = 10
 FALLBACK_UNDER = 10
 PROFILED_VALUES = 30
 SAMPLE_VALUES = 15
-CLASSES_IN_MAP = 1000
 
 
 @dataclass(frozen=True)
@@ -42,17 +41,21 @@ class Target:
 
 
 def has_datetime_column(df: DataFrame) -> bool:
-    """A date or timestamp column, or text named like one whose first five values parse."""
+    """A date or timestamp column, or text named like one of which every value parses."""
     if infer_kinds(df).datetime:
         return True
-    for f in df.schema.fields:
-        named = any(part in f.name.lower() for part in DATE_NAME_PARTS)
-        if named and isinstance(f.dataType, T.StringType):
-            head = df.select(col(f.name).alias("v")).limit(5)
-            bad = head.filter(F.col("v").isNotNull() & F.try_to_timestamp("v").isNull())
-            if bad.isEmpty():
-                return True
-    return False
+    named = [
+        f.name
+        for f in df.schema.fields
+        if isinstance(f.dataType, T.StringType) and any(p in f.name.lower() for p in DATE_NAME_PARTS)
+    ]
+    if not named:
+        return False
+    bad = [
+        F.count_if(col(c).isNotNull() & F.try_to_timestamp(col(c)).isNull()).alias(f"bad{i}")
+        for i, c in enumerate(named)
+    ]
+    return 0 in tuple(df.agg(*bad).first())
 
 
 def class_counts(df: DataFrame, column: str) -> DataFrame:
@@ -71,17 +74,12 @@ def classify_target(df: DataFrame, column: str, method: str = "explicit") -> Tar
     found = Target(column, detection_method=method, has_datetime_index=has_datetime_column(df))
     regression = replace(found, problem_type="regression")
     numeric = column in infer_kinds(df).numeric
-    if numeric:
-        # Far more than ten values need no exact count.
-        rough = clean(df, [column]).agg(F.approx_count_distinct(col(column))).first()[0]
-        if rough > 5 * REGRESSION_OVER:
-            return regression
+    if numeric and not few_values(df, [column], REGRESSION_OVER):
+        return regression
     shape = class_counts(df, column).agg(
         F.count(F.lit(1)).alias("k"),
         F.round(F.max("count") / F.min("count"), 2).alias("ratio"),
     ).first()
-    if numeric and shape["k"] > REGRESSION_OVER:
-        return regression
     return replace(
         found,
         problem_type="classification",
@@ -107,17 +105,8 @@ def _by_name(columns: list[str]) -> str | None:
 
 
 def _last_with_few_values(df: DataFrame, under: int) -> str | None:
-    names = df.columns
-    rough = clean(df, names).agg(
-        *[F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(names)]
-    ).first()
-    # The estimate is near exact for few values; it only rules out columns far above.
-    for i in reversed(range(len(names))):
-        if rough[i] <= 3 * under:
-            values = value_counts(df, [names[i]]).count() if rough[i] >= under // 2 else rough[i]
-            if values < under:
-                return names[i]
-    return None
+    few = few_values(df, df.columns, under - 1)
+    return next((c for c in reversed(df.columns) if c in few), None)
 
 
 def detect_target(df: DataFrame) -> Target:
@@ -143,8 +132,8 @@ def resolve_target(df: DataFrame, target: str | None = None, no_target: bool = F
 
 
 def target_table(df: DataFrame, target: Target) -> DataFrame:
-    """The target as a one-row table. With more classes than fit in a map, the map is empty and
-    ``class_distribution`` has them as rows."""
+    """The target with a row per class (class, class_count); one row without a class where the target
+    is continuous or missing."""
     spark = df.sparkSession
     row = local_table(
         spark,
@@ -161,12 +150,15 @@ def target_table(df: DataFrame, target: Target) -> DataFrame:
         "column string, problem_type string, n_classes long, imbalance_ratio double, "
         "detection_method string, has_datetime_index boolean",
     )
-    counts = {}
-    if target.problem_type == "classification" and target.n_classes <= CLASSES_IN_MAP:
-        counts = {str(r["class"]): r["count"] for r in class_counts(df, target.column).collect()}
-    pairs = [F.lit(v) for kv in counts.items() for v in kv]
-    mapping = F.create_map(*pairs).cast("map<string,bigint>")
-    return row.withColumn("class_counts", mapping)
+    if target.problem_type != "classification":
+        nothing = {"class": F.lit(None).cast("string"), "class_count": F.lit(None).cast("long")}
+        return row.withColumns(nothing)
+    classes = class_counts(df, target.column).select(
+        F.lit(target.column).alias("column"),
+        F.col("class").cast("string").alias("class"),
+        F.col("count").alias("class_count"),
+    )
+    return row.join(classes, "column", "left")
 
 
 def low_cardinality_profiles(
@@ -174,20 +166,13 @@ def low_cardinality_profiles(
 ) -> DataFrame:
     """Numeric columns with few values: the candidates for encoded categories."""
     names = [c for c in infer_kinds(df).numeric if c != target]
-    rough = (
-        clean(df, names)
-        .agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            *[F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(names)],
-        )
-        .first()
-    )
-    # The estimate is near exact for few values; it only rules out columns far above.
-    names = [c for i, c in enumerate(names) if rough[f"d{i}"] <= 2 * max_values + 10]
+    few = few_values(df, names, max_values)
+    names = [c for c in names if c in few]
+    n_rows = df.count()
     dtypes = dict(df.dtypes)
     frame = local_table(
         df.sparkSession,
-        [(i, c, dtypes[c], rough["n_rows"]) for i, c in enumerate(names)],
+        [(i, c, dtypes[c], n_rows) for i, c in enumerate(names)],
         "pos int, column string, dtype string, n_rows long",
     )
     if not names:

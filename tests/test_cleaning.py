@@ -106,3 +106,10 @@ def test_dataset_profile(spark):
     row = cleaning.dataset_profile(df).first()
     assert (row["n_rows"], row["n_columns"], row["duplicate_count"]) == (3, 2, 1)
     assert row["dtypes"] == {"i": "int", "s": "string"}
+
+
+def test_codes_of_values_that_begin_alike_but_one(spark, monkeypatch):
+    monkeypatch.setattr(cleaning, "CODES_PER_PART", 50)
+    df = spark.range(400).selectExpr("CONCAT('u', LPAD(id, 5, '0')) AS s").unionAll(spark.sql("SELECT 'a' AS s"))
+    rows = cleaning.label_codes(df, ["s"]).orderBy("value").collect()
+    assert [r["code"] for r in rows] == list(range(401)) and rows[0]["value"] == "a"

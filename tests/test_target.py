@@ -1,6 +1,7 @@
 import pytest
 
 from tabscope.operators import target as tg
+from tabscope.plans.few import few_values, without_repeats
 from tabscope.operators import target_analysis as ta
 from tests.conftest import by
 
@@ -41,9 +42,30 @@ def test_classify(spark):
     assert text.problem_type == "classification" and text.n_classes == 100
     assert tg.classify_target(df, "n").n_classes == 0
     assert tg.classify_target(df, "b").imbalance_ratio == 9.0
-    row = tg.target_table(df, tg.classify_target(df, "b")).first()
-    assert row["class_counts"] == {"0": 90, "1": 10}
-    assert tg.target_table(df, tg.resolve_target(df, no_target=True)).first()["class_counts"] == {}
+    rows = tg.target_table(df, tg.classify_target(df, "b")).collect()
+    assert {r["class"]: r["class_count"] for r in rows} == {"0": 90, "1": 10}
+    none = tg.target_table(df, tg.resolve_target(df, no_target=True)).collect()
+    assert [(r["class"], r["class_count"]) for r in none] == [(None, None)]
+    assert tg.target_table(df, tg.classify_target(df, "n")).count() == 1
+
+
+def test_all_of_many_classes(spark):
+    df = spark.range(3000).selectExpr("CONCAT('k', id % 1200) AS kind")
+    assert tg.target_table(df, tg.classify_target(df, "kind")).count() == 1200
+
+
+def test_one_bad_date_anywhere(spark):
+    good = spark.range(500).selectExpr("CONCAT('2021-01-', LPAD(id % 28 + 1, 2, '0')) AS start_date", "id")
+    bad = good.selectExpr("IF(id = 400, 'later', start_date) AS start_date")
+    assert tg.has_datetime_column(good) and not tg.has_datetime_column(bad)
+
+
+def test_few_values_are_exact(spark):
+    df = spark.range(5000).repartition(7).selectExpr(
+        "id % 9 AS nine", "id % 10 AS ten", "CAST(NULL AS INT) AS none", "id", "IF(id % 2 = 0, 'x', NULL) AS one"
+    )
+    assert few_values(df, df.columns, 9) == {"nine": 9, "none": 0, "one": 1}
+    assert without_repeats(df, df.columns[:4]) == ["id"]
 
 
 def test_unknown_target(spark):
