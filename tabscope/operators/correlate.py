@@ -12,9 +12,10 @@ from tabscope.plans.counts import value_counts
 from tabscope.plans.kinds import clean, infer_kinds
 from tabscope.plans.moments import basic_stats
 from tabscope.plans.pairs import pair_correlations
+from tabscope.plans.scratch import materialise
 from tabscope.plans.local import local_table
 
-RANK_BUCKETS = 1024
+VALUES_PER_PART = 200_000
 
 
 def correlation_matrix(
@@ -73,30 +74,27 @@ def feature_target_correlation(
     )
 
 
-def _average_ranks(cells: DataFrame, side: str, bounds: DataFrame) -> DataFrame:
+def _average_ranks(cells: DataFrame, side: str) -> DataFrame:
     """(pair, side, rank) with average ranks over the rows of each pair.
 
-    Counts are first summed per value. Running totals are formed inside value ranges and added
-    to the totals of the ranges below, so no pair has to be ranked in one task.
+    Counts are first summed per value. The values are dealt by range into parts of about
+    ``VALUES_PER_PART``, however they are spread; running totals are formed inside the parts and added
+    to those of the parts below, so no pair has to be ranked in one task.
     """
-    values = cells.groupBy("pair", side).agg(F.sum("n").alias("n")).join(F.broadcast(bounds), "pair")
-    low, high = F.col(f"low_{side}"), F.col(f"high_{side}")
-    place = F.try_divide(F.col(side) - low, high - low)
-    values = values.withColumn(
-        "bucket", F.coalesce(F.floor(place * F.lit(float(RANK_BUCKETS))), F.lit(0))
-    ).select("pair", "bucket", side, "n")
-    below = Window.partitionBy("pair").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    values = materialise(cells.groupBy("pair", side).agg(F.sum("n").alias("n")), "rank-values")
+    parts = max(1, -(-values.count() // VALUES_PER_PART))
+    dealt = values.repartitionByRange(parts, "pair", side).withColumn("part", F.spark_partition_id())
+    dealt = materialise(dealt, "rank-parts")
+    below = Window.partitionBy("pair").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        values.groupBy("pair", "bucket")
+        dealt.groupBy("pair", "part")
         .agg(F.sum("n").alias("rows"))
         .withColumn("before", F.coalesce(F.sum("rows").over(below), F.lit(0)))
-        .select("pair", "bucket", "before")
-    )
-    inner = (
-        Window.partitionBy("pair", "bucket").orderBy(side).rowsBetween(Window.unboundedPreceding, -1)
+        .select("pair", "part", "before")
     )
+    inner = Window.partitionBy("pair", "part").orderBy(side).rowsBetween(Window.unboundedPreceding, -1)
     smaller = F.coalesce(F.sum("n").over(inner), F.lit(0)) + F.col("before")
-    return values.join(offsets, ["pair", "bucket"]).select(
+    return dealt.join(offsets, ["pair", "part"]).select(
         "pair", side, (smaller + (F.col("n") + 1) / 2).alias(f"rank_{side}")
     )
 
@@ -107,16 +105,7 @@ def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     pairs = list(combinations(columns, 2))
     if not pairs:
         return local_table(spark, [], "col_a string, col_b string, n long, rho double")
-    numbers = df.select(*[F.expr(f"try_cast(`{c}` AS double)").alias(c) for c in columns])
-    stats = basic_stats(numbers, columns)
-    bounds = local_table(
-        spark,
-        [
-            (i, stats[a]["min"], stats[a]["max"], stats[b]["min"], stats[b]["max"])
-            for i, (a, b) in enumerate(pairs)
-        ],
-        "pair int, low_a double, high_a double, low_b double, high_b double",
-    )
+    numbers = df.select(*[col(c).try_cast("double").alias(c) for c in columns])
     both = [
         F.when(
             col(a).isNotNull() & col(b).isNotNull(),
@@ -131,8 +120,9 @@ def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
         .groupBy("pair", F.col("v.a").alias("a"), F.col("v.b").alias("b"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    ranked = cells.join(_average_ranks(cells, "a", bounds), ["pair", "a"]).join(
-        _average_ranks(cells, "b", bounds), ["pair", "b"]
+    cells = materialise(cells, "rank-cells")
+    ranked = cells.join(_average_ranks(cells, "a"), ["pair", "a"]).join(
+        _average_ranks(cells, "b"), ["pair", "b"]
     )
     # Ranks average to (N+1)/2; centred on a per-pair constant the sums keep their digits.
     size = cells.groupBy("pair").agg(F.sum("n").alias("rows"))

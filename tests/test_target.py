@@ -149,3 +149,13 @@ def test_cohens_d_equals_all_pairs(spark):
         )
         assert got[f] == pytest.approx(best)
     assert got["w"] == 0.0
+
+
+def test_widest_distance_among_two_sided_classes(spark):
+    """Spread grows with the distance from zero on both sides, so many classes are unbeaten."""
+    rows = [(f"c{i}", "f", (i - 200) * 1.0, 0.5 + abs(i - 200) ** 1.2) for i in range(401)]
+    stats = spark.createDataFrame(rows, "class string, feature string, mean double, std double")
+    want = max(
+        abs(a[2] - b[2]) / ((a[3] ** 2 + b[3] ** 2) / 2) ** 0.5 for a in rows for b in rows if a is not b
+    )
+    assert ta.cohens_d_ranking(stats, ["f"]).first()["cohens_d"] == pytest.approx(want)
