@@ -111,9 +111,31 @@ def pearson_effect(spark, sf):
     )
 
 
-@query("effect_p_values")
+# Tails that are finite sums: F with two degrees above, chi-squared with an even number, and Student's
+# t in terms of r, for even and odd degrees.
+_CHI = cramers_sql("mixed_orders", MIXED_CATEGORIES[1:], "l_returnflag").rpartition("\nSELECT feature")[0]
+_R2 = "ln(1 - r * r)"
+EFFECT_P = f"""WITH {LINEITEM_NET}, {MIXED_ORDERS}, {_eta(_BY_CLASS)}, {_CHI},
+f AS (SELECT feature, n - k AS m, (between_ / (k - 1)) / (within / (n - k)) AS f FROM sums WHERE k = 3),
+pairs AS ({pairs_sql('lineitem_net', NET_NUMERIC[:4], ['net_price'])}),
+t AS (SELECT col_a AS feature, abs(r) AS r, (SELECT count(*) FROM lineitem_net) - 2 AS nu FROM pairs)
+SELECT feature, 'eta2' AS effect_size_type, round(f, 4) AS statistic,
+  round(pow(1 + 2 * f / m, -m / 2.0), 6) AS p_value FROM f
+UNION ALL
+SELECT feature, 'cramer_v', round(chi2, 4), round(list_sum([exp(-chi2 / 2 + i * ln(chi2 / 2) - lgamma(i + 1))
+  FOR i IN range(0, CAST((nv - 1) * (nc - 1) / 2 AS BIGINT))]), 6)
+FROM chi WHERE least(nv, nc) >= 2
+UNION ALL
+SELECT feature, 'pearson_r', round(r, 4), round(greatest(0, CASE WHEN nu % 2 = 0 THEN
+  1 - r * list_sum([exp(lgamma(j + 0.5) - lgamma(j + 1) - lgamma(0.5) + j * {_R2}) FOR j IN range(0, nu // 2)])
+  ELSE 1 - 2 / pi() * (asin(r) + r * sqrt(1 - r * r) * list_sum([exp(lgamma(j + 1) + lgamma(1.5)
+    - lgamma(j + 1.5) + j * {_R2}) FOR j IN range(0, (nu - 1) // 2)])) END), 6)
+FROM t"""
+
+
+@query("effect_p_values", EFFECT_P)
 def effect_p_values(spark, sf):
-    """p-values of all three families: SQL has no such distributions; tests hold fixed points."""
+    """p-values of all three families."""
     net, mixed = lineitem_net(spark, sf), mixed_orders(spark, sf)
     by_class = associate.group_moments_by_class(net, "l_returnflag", NET_NUMERIC)
     parts = [
@@ -121,9 +143,8 @@ def effect_p_values(spark, sf):
         associate.cramers_v(mixed, "l_returnflag", MIXED_CATEGORIES[1:]),
         associate.pearson_effect(net, "net_price", NET_NUMERIC[:4]),
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select(
-        "feature", "effect_size_type", "statistic", "p_value"
-    )
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rounded(rows.select("feature", "effect_size_type", "statistic", "p_value"), 6, "p_value")
 
 
 @query(
