@@ -11,7 +11,7 @@ from catalog.inputs import (
     rounded, table, union_all,
 )
 from catalog.registry import query
-from tabscope.operators import correlate
+from tabscope.operators import correlate, plotdata
 from tabscope.plans.pairs import pair_correlations
 
 
@@ -178,3 +178,11 @@ def ordinal_spearman(spark, sf):
 def notable_ordinal_pairs(spark, sf):
     pairs = correlate.ordinal_spearman(_ordinals(spark, sf), _ORDINALS)
     return rounded(correlate.notable_ordinal_pairs(pairs, 0.3), 6, "rho")
+
+
+@query(
+    "plot_ordinal",
+    f"WITH {_ORDINAL_SQL} SELECT col_a, col_b, n, round(rho, 6) AS rho FROM ({_SPEARMAN})",
+)
+def plot_ordinal(spark, sf):
+    return rounded(plotdata.plot_data(_ordinals(spark, sf), "ordinal", encoded=_ORDINALS), 6, "rho")

@@ -276,6 +276,19 @@ def plot_target_density(spark, sf):
     return rounded(rounded(rows, 4, "x"), 10, "y")
 
 
+_C_NUMERIC = ["c_custkey", "c_nationkey", "c_acctbal"]
+
+
+@query(
+    "plot_histogram",
+    f"""WITH {histogram_sql('customer', _C_NUMERIC)}
+SELECT "column", bin, round(low, 4) AS low, round(high, 4) AS high, "count" FROM histogram""",
+)
+def plot_histogram(spark, sf):
+    df = table(spark, sf, "customer").select(*_C_NUMERIC, "c_mktsegment")
+    return rounded(plotdata.plot_data(df, "histogram"), 4, "low", "high")
+
+
 @query(
     "plot_correlation",
     f"""WITH {LINEITEM_NET}, pairs AS ({pairs_sql('lineitem_net', NET_NUMERIC)})

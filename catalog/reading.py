@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from itertools import batched
+from xml.sax.saxutils import escape
+
 from pyspark.sql import functions as F
 
 from catalog.inputs import rounded, table
@@ -155,6 +160,68 @@ def stored_result(spark, sf):
     return artifacts.load_artifact(spark, base, key, "value_counts")
 
 
+ROWS_PER_BOOK = 5000
+
+
+def _workbook(header: list[str], rows: list[tuple]) -> bytes:
+    """The least that makes a workbook: one sheet with texts in place."""
+    lines = []
+    for i, row in enumerate([header, *rows], start=1):
+        cells = []
+        for j, v in enumerate(row):
+            if isinstance(v, str):
+                cells.append(f'<c r="{chr(65 + j)}{i}" t="inlineStr"><is><t>{escape(v)}</t></is></c>')
+            elif v is not None:
+                cells.append(f'<c r="{chr(65 + j)}{i}"><v>{v!r}</v></c>')
+        lines.append(f'<row r="{i}">{"".join(cells)}</row>')
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        sheet = f"<worksheet {space}><sheetData>{''.join(lines)}</sheetData></worksheet>"
+        book.writestr("xl/worksheets/sheet1.xml", sheet)
+    return out.getvalue()
+
+
+@query(
+    "read_excel",
+    "SELECT c_custkey, c_name, CASE WHEN c_nationkey > 3 THEN c_nationkey END AS c_nationkey, "
+    "c_acctbal FROM customer",
+)
+def read_excel(spark, sf):
+    """The customers in workbooks of a few thousand rows, each read in a task of its own."""
+    folder = scratch_folder(spark, "workbooks")
+    rows = table(spark, sf, "customer").select(
+        "c_custkey", "c_name", F.when(F.col("c_nationkey") > 3, F.col("c_nationkey")).alias("c_nationkey"), "c_acctbal"
+    )
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    books = batched(rows.toLocalIterator(), ROWS_PER_BOOK)
+    for i, own in enumerate(books):
+        out = files.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{i}.xlsx"))
+        out.write(bytearray(_workbook(rows.columns, [tuple(r) for r in own])))
+        out.close()
+    return readers.read_excel(spark, folder).withColumn("c_nationkey", F.col("c_nationkey").cast("int"))
+
+
+@query(
+    "content_digest",
+    """SELECT count(*) AS n, true AS same_bytes_same_digest, false AS other_bytes_same_digest FROM orders""",
+)
+def content_digest(spark, sf):
+    """Copies of a file under another path have its digest; a changed file has another."""
+    one, two, three = (scratch_folder(spark, "files") for _ in range(3))
+    orders = table(spark, sf, "orders")
+    for folder in (one, two):
+        orders.write.json(folder)
+    orders.withColumn("o_custkey", F.col("o_custkey") + 1).write.json(three)
+    first, second, third = (artifacts.content_digest(spark, f"{p}/*.json") for p in (one, two, three))
+    return orders.agg(F.count("*").alias("n")).select(
+        "n",
+        F.lit(first == second).alias("same_bytes_same_digest"),
+        F.lit(first == third).alias("other_bytes_same_digest"),
+    )
+
+
 @query(
     "run_key",
     """SELECT 64 AS key_length, true AS same_content_same_key, count(*) = 0 AS other_content_same_key,
