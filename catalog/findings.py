@@ -228,7 +228,7 @@ def assemble_findings_target(spark, sf):
 def fact_table(spark, sf):
     """Every number of the other queries in one table; those have the SQL."""
     df = labelled(spark, sf)
-    return _show(findings.fact_table(Profile(df, classify_target(df, "quality"))))
+    return _show(findings.fact_table(Profile(df, classify_target(df, "quality")), key=["doc_id"]))
 
 
 @query("profile_flags", f"WITH {STRESS_EVENTS} {STRESS_RULES}")

@@ -51,6 +51,9 @@ def profile(
         "modality": describe.modality(bins),
         "correlation_matrix": correlate.correlation_matrix(data, kinds.numeric, p.stats),
         "ranked_pairs": correlate.ranked_pairs(p.pairs),
+        "spread_metrics": describe.spread_metrics(p.described),
+        "zero_inflation": describe.zero_inflation(data, kinds.numeric, found.column),
+        "cardinality_bands": categorical.cardinality_bands(p.categorical),
         "categorical_summary": p.categorical,
         "categorical_values": categorical.top_values(data, counts=p.value_counts),
         "ordinal_spearman": correlate.ordinal_spearman(data, p.encoded),
@@ -63,10 +66,14 @@ def profile(
         signals = keep_rows(interact.interaction_signals(data, found, associations))
         out["feature_associations"] = associations
         out["interaction_signals"] = signals
+        out["association_quadrants"] = associate.association_quadrants(associations)
         out["findings"] = findings.assemble_findings(p, flags, associations, signals)
+        out["fact_table"] = findings.fact_table(p, flags, associations, signals)
         if found.problem_type == "classification":
             out["class_distribution"] = target_analysis.class_distribution(data, name)
-            out["per_class_feature_stats"] = target_analysis.per_class_feature_stats(data, name)
+            stats = target_analysis.per_class_feature_stats(data, name)
+            out["per_class_feature_stats"] = stats
+            out["cohens_d_ranking"] = target_analysis.cohens_d_ranking(stats, data.columns)
             out["target_rates"] = categorical.target_rates(
                 data, name, kinds.categorical, counts=p.value_counts
             )
@@ -75,4 +82,5 @@ def profile(
             out["feature_target_correlation"] = correlate.feature_target_correlation(data, name)
     else:
         out["findings"] = findings.assemble_findings(p, flags)
+        out["fact_table"] = findings.fact_table(p, flags)
     return out

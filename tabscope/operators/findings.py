@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.functions.columns import vif
+from tabscope.functions.columns import skew_label, vif
 from tabscope.operators import associate, categorical, correlate, describe, interact, quality
 from tabscope.operators import target_analysis as ta
 from tabscope.operators.profile import Profile
 from tabscope.plans.local import keep_rows, local_table
+from tabscope.plans.scratch import materialise
 
 FINDINGS = (
     "section_no int, section string, code string, severity string, column string, value double, "
@@ -296,6 +297,12 @@ def assemble_findings(
             )
         )
         parts.append(_target_section(p))
+        if p.target.problem_type == "classification" and p.kinds.without(name).categorical:
+            parts.append(_rates_section(p, associations))
+    if len(p.encoded) > 1:
+        pairs = correlate.notable_ordinal_pairs(correlate.ordinal_spearman(p.df, p.encoded))
+        both = F.concat("col_a", F.lit(" ~ "), "col_b")
+        parts.append(_finding(pairs, "correlation", "ordinal_pair", both, F.col("rho")))
     status = quality.quality_status(flags)
     parts.append(_finding(status, "quality", F.col("status"), value=F.col("flags")))
     parts.append(
@@ -315,12 +322,41 @@ def assemble_findings(
     return _union(parts)
 
 
+def _rates_section(p: Profile, associations: DataFrame) -> DataFrame:
+    """Columns whose values differ most in their class rates, these values, and well-ranked features
+    that are not among them."""
+    name = p.target.column
+    names = p.kinds.without(name).categorical
+    rates = categorical.target_rates(p.df, name, names, counts=p.value_counts)
+    widest = keep_rows(categorical.discriminative_columns(rates, names, name))
+    values = categorical.discriminative_values(rates, widest)
+    said = F.concat("value", F.lit(" / "), "class")
+    others = categorical.borda_not_in_top_spread(associations, widest)
+    return _union(
+        [
+            _finding(widest, "categorical", "rate_spread", F.col("column"), F.col("spread"), detail=F.col("first_class")),
+            _finding(values, "categorical", "value_rate", F.col("column"), F.col("rate"), detail=said),
+            _finding(others, "categorical", "ranked_elsewhere", F.col("feature"), F.col("borda_score")),
+        ]
+    )
+
+
 def _target_section(p: Profile) -> DataFrame:
     name = p.target.column
     if p.target.problem_type == "classification":
         classes = ta.class_distribution(p.df, name)
+        features = [c for c in p.kinds.numeric if c != name]
+        differences = []
+        if features:
+            stats = materialise(ta.per_class_feature_stats(p.df, name), "class-stats")
+            ranked = ta.cohens_d_ranking(stats, p.df.columns)
+            differences = [
+                _finding(stats, "target", "class_mean", F.col("feature"), F.col("mean"), detail=F.col("class")),
+                _finding(ranked, "target", "cohens_d", F.col("feature"), F.col("cohens_d")),
+            ]
         return _union(
             [
+                *differences,
                 _finding(classes, "target", "class_share", F.col("class"), F.col("pct")),
                 _finding(
                     ta.imbalance(classes),
@@ -333,10 +369,14 @@ def _target_section(p: Profile) -> DataFrame:
             ]
         )
     stats = ta.regression_target_stats(p.df, name)
+    close = correlate.feature_target_correlation(p.df, name, p.kinds.numeric).filter("place IS NOT NULL")
     return _union(
         [
-            _finding(stats, "target", f"target_{k}", F.lit(name), F.col(k))
-            for k in ("mean", "median", "std", "skewness")
+            *[
+                _finding(stats, "target", f"target_{k}", F.lit(name), F.col(k))
+                for k in ("mean", "median", "std", "skewness")
+            ],
+            _finding(close, "target", "correlated_feature", F.col("feature"), F.col("r")),
         ]
     )
 
@@ -362,13 +402,29 @@ def fact_table(
     flags: DataFrame | None = None,
     associations: DataFrame | None = None,
     signals: DataFrame | None = None,
+    key: list[str] | None = None,
 ) -> DataFrame:
-    """Every statistic as (section, column, metric, value, text)."""
+    """Every statistic as (section, column, metric, value, text). Missing parts are computed."""
     flags = flags if flags is not None else keep_rows(quality.run_quality_rules(p))
     name = F.col("column")
     target = p.target.column if p.target is not None else None
+    if target is not None and associations is None:
+        associations = keep_rows(associate.feature_associations(p.df, p.target, key=key))
+    if target is not None and signals is None:
+        signals = keep_rows(interact.interaction_signals(p.df, p.target, associations))
+    shapes = p.described.select("column", "skewness", skew_label(F.col("skewness"), F.col("mean"), F.col("median")).alias("label"))
+    values = categorical.top_values(p.df, counts=p.value_counts)
     bins = keep_rows(describe.histogram(p.df, p.kinds.numeric, stats=p.stats))
     parts = [
+        _facts(
+            overview_row(p),
+            "overview",
+            F.lit(None),
+            ["original_rows", "duplicate_count", "duplicate_pct", "n_columns", "n_numeric", "n_categorical", "n_datetime"],
+        ),
+        _facts(shapes, "shape", name, ["skewness"], F.col("label")),
+        _facts(describe.histogram_gaps(bins), "gaps", name, ["low", "high"], F.col("bin")),
+        _facts(categorical.rate_reliability(values), "margins", name, ["margin_pp"], F.concat("value", F.lit(" "), "level")),
         _facts(p.missing, "missing", name, ["missing", "missing_pct"]),
         _facts(
             p.described,
@@ -405,7 +461,7 @@ def fact_table(
             ["cardinality", "entropy_bits", "rare_count", "more_values"],
         ),
         _facts(
-            categorical.top_values(p.df, counts=p.value_counts),
+            values,
             "categorical",
             name,
             ["count", "pct"],
@@ -433,6 +489,11 @@ def fact_table(
         parts.append(
             _facts(ta.class_distribution(p.df, target), "target", F.col("class"), ["count", "pct"])
         )
+        if [c for c in p.kinds.numeric if c != target]:
+            stats = materialise(ta.per_class_feature_stats(p.df, target), "class-stats")
+            parts.append(_facts(stats, "class_statistics", F.col("feature"), ["n", "mean", "std"], F.col("class")))
+            ranked = ta.cohens_d_ranking(stats, p.df.columns)
+            parts.append(_facts(ranked, "class_differences", F.col("feature"), ["cohens_d"]))
     elif target is not None:
         parts.append(
             _facts(
@@ -442,6 +503,8 @@ def fact_table(
                 ["mean", "median", "std", "skewness", "kurtosis", "min", "max"],
             )
         )
+        close = correlate.feature_target_correlation(p.df, target, p.kinds.numeric)
+        parts.append(_facts(close, "target", F.col("feature"), ["r", "place"]))
     if associations is not None:
         parts.append(
             _facts(
