@@ -25,6 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,7 +36,7 @@ from tabscope.plans.scratch import materialise
 DOCS_PER_LANGUAGE = 2000
 MAX_LANGUAGES = 500
 MAX_WORDS = 200_000
-MAX_GRAMS = 400_000
+MAX_GRAMS = 300_000
 LONGEST_GRAM = 5
 CACHED_WORDS = 300_000  # unseen words whose scores a task remembers at a time
 
@@ -92,15 +93,33 @@ def _counted(frame: DataFrame, expand) -> DataFrame:
     return rows.groupBy("lang", "item").agg(F.sum("n").alias("n"))
 
 
-def _log_frequencies(rows: list, languages: list[str], totals: dict) -> tuple[dict[str, int], np.ndarray]:
+def _most_frequent(counted: DataFrame, most: int) -> pa.Table:
+    """(lang, item, n) with the largest counts, ``most`` rows at most; equal counts stay or go together."""
+    # One row for each count that occurs.
+    sizes = {r["n"]: r["rows"] for r in counted.groupBy("n").agg(F.count("*").alias("rows")).collect()}
+    total, least = 0, None
+    for n in sorted(sizes, reverse=True):
+        total += sizes[n]
+        if total > most:
+            break
+        least = n
+    kept = counted.filter(F.lit(False) if least is None else F.col("n") >= least)
+    return kept.select("lang", "item", "n").toArrow()
+
+
+def _log_frequencies(
+    kept: pa.Table, languages: list[str], totals: dict
+) -> tuple[dict[str, int], np.ndarray]:
     """Scores of kept items in every language, with half a count added to each."""
+    items = kept.column("item").combine_chunks().dictionary_encode()
+    index = {item: i for i, item in enumerate(items.dictionary.to_pylist())}
     place = {x: i for i, x in enumerate(languages)}
-    index: dict[str, int] = {}
-    for r in rows:
-        index.setdefault(r["item"], len(index))
+    langs = kept.column("lang").combine_chunks().dictionary_encode()
+    columns = np.array([place[x] for x in langs.dictionary.to_pylist()], int)
     counts = np.full((len(index), len(languages)), 0.5)
-    for r in rows:
-        counts[index[r["item"]], place[r["lang"]]] += r["n"]
+    if len(index):
+        at = (items.indices.to_numpy(), columns[langs.indices.to_numpy()])
+        np.add.at(counts, at, kept.column("n").to_numpy())
     sums = np.array([totals.get(x, 0) for x in languages], float) + 0.5 * (len(index) + 1)
     return index, np.log(counts / sums)
 
@@ -132,15 +151,16 @@ def fit(
     documents = {r["lang"]: r["n"] for r in most_documents.collect()}
     languages = sorted(documents, key=lambda x: (-documents[x], x))
     total_words = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    most = [F.desc("n"), "lang", "item"]
-    index, scores = _log_frequencies(words.orderBy(*most).limit(max_words).collect(), languages, total_words)
+    known = F.col("lang").isin(languages)
+    index, scores = _log_frequencies(_most_frequent(words.filter(known), max_words), languages, total_words)
     gram_index: dict[str, int] = {}
     gram_scores = [np.zeros((0, len(languages)))]
     totals = grams.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()
-    kept = grams.orderBy(*most).limit(max_grams).collect()
+    kept = _most_frequent(grams.filter(known), max_grams)
+    sizes_of = pc.utf8_length(kept.column("item"))
     for size in range(1, LONGEST_GRAM + 1):
         own, found = _log_frequencies(
-            [r for r in kept if r["size"] == size],
+            kept.filter(pc.equal(sizes_of, size)),
             languages,
             {r["lang"]: r["n"] for r in totals if r["size"] == size},
         )
