@@ -78,11 +78,12 @@ class DigestIndex:
 
         Equal (id, digest) rows travel as one row with a count until the end.
         """
-        rows = digests.groupBy(id_column, DIGEST).agg(F.count("*").alias("copies"))
+        rows = materialise(digests.groupBy(id_column, DIGEST).agg(F.count("*").alias("copies")), "rows")
         sizes = digests.groupBy(DIGEST).agg(F.count("*").alias("group_size"))
         # Read by path: a plain shuffle join, whose hot keys adaptive execution can split.
         known = self.spark.read.schema(self.rows().schema).parquet(self.path)
-        # Written, so that the join below starts from two plain shuffles: only then can a hot digest be split.
+        # Both are written, so that the join below starts from two plain shuffles: only then can a hot
+        # digest be split.
         groups = materialise(sizes.join(known, DIGEST), "groups")
         number = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("number")
         return (
