@@ -90,7 +90,9 @@ def test_skewness_advice_and_limit(spark):
     assert "negative" in advice["minus"]
     wide = spark.range(60).selectExpr(*[f"POW(id, {6 + i / 10}) AS c{i}" for i in range(24)])
     got = flags_of(quality.skewness, wide)
-    assert len(got) == 20 and got[0]["column"] == "c23"
+    assert len(got) == 24 and got[0]["column"] == "c23"
+    most = flags_of(lambda p: quality.skewness(p, most=20), wide)
+    assert [f["column"] for f in most] == [f["column"] for f in got[:20]]
 
 
 def test_variance_rules(frame):
