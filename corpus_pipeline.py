@@ -1,6 +1,7 @@
 """From raw documents to packed training sequences, in stages that each write and reread their rows.
 
-1. language_id: documents go whose text is in none of the languages that the labelled rows teach.
+1. language_id: documents go whose text is in none of the languages that the labelled rows teach,
+   by the share of n-grams that the likeliest language has.
 2. exact_dedup: of equal texts (A to Z lower-cased) the row with the largest id stays.
 3. simhash_near_dedup: of each group linked by fingerprints within 3 bits the smallest id stays.
 4. decontaminate: documents go that hold a benchmark item with at most a fifth of its words edited.
@@ -20,7 +21,8 @@ from tabscope.plans.scratch import materialise, scratch_folder
 
 
 def recognise_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language_id.keep_recognised(docs, language_id.fit(docs))
+    model = language_id.with_usual_shares(docs, language_id.fit(docs))
+    return language_id.keep_recognised(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,11 @@ documents of each language, chosen by a hash of their id, of which the ``MAX_WOR
 (language, word) pairs and the ``MAX_GRAMS`` most frequent (language, n-gram) pairs are kept. Of more than
 ``MAX_LANGUAGES`` labels those with most documents count. These bounds also bound what is broadcast. Prediction reads every row and the whole text.
 
+Whether a text is in a learned language at all is not a matter of those shares, which some language
+always wins, but of the n-grams themselves: of the winner's learned n-grams of ``FAMILIAR_GRAM`` characters
+the text must hold at least ``LEAST_KNOWN`` of the share that is usual in that language. What is usual is the
+median over documents of the sample, each held against what the others taught.
+
 A missing text or one without a letter is ``und`` with score 0. A text whose n-grams are all unknown
 gets the language with most training documents. Rows without a language are not learned from.
 Without any labelled row all texts are ``und``.
@@ -38,6 +43,11 @@ MAX_LANGUAGES = 500
 MAX_WORDS = 200_000
 MAX_GRAMS = 300_000
 LONGEST_GRAM = 5
+FAMILIAR_GRAM = 4  # n-grams that tell a learned language from others; a shorter word counts as one
+RARE = 5e-6  # an n-gram with a smaller share of a language's n-grams may come from foreign words in it
+LEAST_KNOWN = 0.7  # of the share of known n-grams that is usual in a language
+LEAST_SHARE = 0.25  # of n-grams that must be known where a language has too few documents to tell
+USUAL_DOCS = 200  # documents of each language that tell the usual share
 CACHED_WORDS = 300_000  # unseen words whose scores a task remembers at a time
 
 UNDETERMINED = "und"
@@ -50,6 +60,8 @@ class Model(NamedTuple):
     word_scores: np.ndarray
     grams: dict[str, int]
     gram_scores: np.ndarray
+    gram_sums: np.ndarray  # by size and language, what a count was divided by before the logarithm
+    usual: list[float] | None = None  # share of known n-grams by language; None stands for all
 
 
 def _words(text: str | None) -> list[str]:
@@ -61,6 +73,10 @@ def _grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+def _familiar_grams(word: str) -> list[str]:
+    return _grams(word, min(FAMILIAR_GRAM, len(word) + 2))
+
+
 def training_sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
     """(lang, text) of the documents of each language whose id has the smallest hash."""
     rank = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -109,8 +125,8 @@ def _most_frequent(counted: DataFrame, most: int) -> pa.Table:
 
 def _log_frequencies(
     kept: pa.Table, languages: list[str], totals: dict
-) -> tuple[dict[str, int], np.ndarray]:
-    """Scores of kept items in every language, with half a count added to each."""
+) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """Scores of kept items in every language, with half a count added to each, and the divisors."""
     items = kept.column("item").combine_chunks().dictionary_encode()
     index = {item: i for i, item in enumerate(items.dictionary.to_pylist())}
     place = {x: i for i, x in enumerate(languages)}
@@ -121,7 +137,7 @@ def _log_frequencies(
         at = (items.indices.to_numpy(), columns[langs.indices.to_numpy()])
         np.add.at(counts, at, kept.column("n").to_numpy())
     sums = np.array([totals.get(x, 0) for x in languages], float) + 0.5 * (len(index) + 1)
-    return index, np.log(counts / sums)
+    return index, np.log(counts / sums), sums
 
 
 def fit(
@@ -152,23 +168,49 @@ def fit(
     languages = sorted(documents, key=lambda x: (-documents[x], x))
     total_words = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     known = F.col("lang").isin(languages)
-    index, scores = _log_frequencies(_most_frequent(words.filter(known), max_words), languages, total_words)
+    index, scores, _ = _log_frequencies(_most_frequent(words.filter(known), max_words), languages, total_words)
     gram_index: dict[str, int] = {}
     gram_scores = [np.zeros((0, len(languages)))]
+    gram_sums = []
     totals = grams.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()
     kept = _most_frequent(grams.filter(known), max_grams)
     sizes_of = pc.utf8_length(kept.column("item"))
     for size in range(1, LONGEST_GRAM + 1):
-        own, found = _log_frequencies(
+        own, found, sums = _log_frequencies(
             kept.filter(pc.equal(sizes_of, size)),
             languages,
             {r["lang"]: r["n"] for r in totals if r["size"] == size},
         )
         gram_index |= {g: i + len(gram_index) for g, i in own.items()}
         gram_scores.append(found)
+        gram_sums.append(sums)
     everything = max(1, sum(documents.values()))
     prior = [float(np.log(documents[x] / everything)) for x in languages]
-    return Model(languages, prior, index, scores, gram_index, np.concatenate(gram_scores))
+    return Model(
+        languages, prior, index, scores, gram_index, np.concatenate(gram_scores), np.array(gram_sums)
+    )
+
+
+def with_usual_shares(docs: DataFrame, model: Model, per_language: int = USUAL_DOCS) -> Model:
+    """The model of these documents with the median share of known n-grams in each language.
+
+    The n-grams of a document are not counted for itself, as if it had not been learned from.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
+        place = {x: i for i, x in enumerate(sent.value.languages)}
+        for batch in batches:
+            langs, texts = (c.to_pylist() for c in batch.columns)
+            shares = [scorer.known_share(t, place[x], learned=True) for x, t in zip(langs, texts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shares, pa.float64())], ["lang", "share"])
+
+    # As many rows as documents are looked at, which come first in the order of the training sample.
+    rows = training_sample(docs, per_language).mapInArrow(work, "lang string, share double")
+    medians = rows.groupBy("lang").agg(F.median("share").alias("share")).collect()
+    found = {r["lang"]: r["share"] for r in medians if r["share"] is not None}
+    return model._replace(usual=[found.get(x, 0.0) for x in model.languages])
 
 
 class Scorer:
@@ -180,6 +222,7 @@ class Scorer:
         self.index = dict(model.words)
         self.scores = np.zeros((self.known + CACHED_WORDS, len(model.languages)))
         self.scores[: self.known] = model.word_scores
+        self.familiar: dict[tuple[str, int], tuple[int, int]] = {}
 
     def unseen(self, word: str) -> np.ndarray:
         find = self.model.grams.get
@@ -207,6 +250,53 @@ class Scorer:
             total = total + self.scores[[self.row(w) for w in part]].sum(axis=0)
         return total
 
+    def _counts(self, grams: list[str], language: int) -> tuple[np.ndarray, np.ndarray]:
+        """How often training saw each n-gram in the language, and how often it must have."""
+        sums = self.model.gram_sums[[len(g) - 1 for g in grams], language]
+        at = [self.model.grams.get(g, -1) for g in grams]
+        if not len(self.model.gram_scores):
+            return np.zeros(len(grams)), np.ones(len(grams))
+        counts = np.rint(np.exp(self.model.gram_scores[at, language]) * sums - 0.5)
+        return np.where(np.array(at) < 0, 0, counts), np.maximum(1, RARE * sums)
+
+    def known_share(self, text: str | None, language: int, learned: bool = False) -> float | None:
+        """The share of the text's n-grams that the language has; None if there are none.
+
+        Of a learned text its own n-grams are taken off the counts first.
+        """
+        words = Counter(_words(text))
+        known = total = 0
+        if learned:
+            own: Counter = Counter()
+            for w, times in words.items():
+                for g in _familiar_grams(w):
+                    own[g] += times
+            if own:
+                times = np.array(list(own.values()))
+                counts, least = self._counts(list(own), language)
+                known, total = int(times[counts - times >= least].sum()), int(times.sum())
+        else:
+            for w, times in words.items():
+                found = self.familiar.get((w, language))
+                if found is None:
+                    if len(self.familiar) >= CACHED_WORDS:
+                        self.familiar.clear()
+                    counts, least = self._counts(_familiar_grams(w), language)
+                    found = self.familiar[w, language] = (int((counts >= least).sum()), len(counts))
+                known += found[0] * times
+                total += found[1] * times
+        return known / total if total else None
+
+    def recognised(self, text: str | None, least_score: float) -> bool:
+        """Whether one language has at least that share of the likelihood and the text's n-grams are its own."""
+        found = self.likelihoods(text)
+        best = int(found.argmax())
+        if 1 / np.exp(found - found[best]).sum() < least_score:
+            return False
+        share = self.known_share(text, best)
+        usual = 1.0 if self.model.usual is None else self.model.usual[best]
+        return share is not None and share >= max(LEAST_SHARE, LEAST_KNOWN * usual)
+
 
 def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
@@ -252,7 +342,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_recognised(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
-    """The rows, with all columns, whose text is in one of the model's languages by at least that share."""
+    """The rows, with all columns, whose text is in one of the model's languages by at least that share
+    and has the n-grams of that language."""
     names = docs.columns
     sent = docs.sparkSession.sparkContext.broadcast(model)
     numbered = docs.select(
@@ -266,8 +357,7 @@ def keep_recognised(docs: DataFrame, model: Model, least_score: float = 0.5) ->
         for batch in batches:
             keep = []
             for text, letters in zip(batch.column(text_at).to_pylist(), batch.column(len(names)).to_pylist()):
-                found = scorer.likelihoods(text) if letters and sent.value.languages else None
-                keep.append(found is not None and 1 / np.exp(found - found.max()).sum() >= least_score)
+                keep.append(bool(letters and sent.value.languages) and scorer.recognised(text, least_score))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return numbered.mapInArrow(work, numbered.schema).drop("letters").toDF(*names)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tabscope.llm import language_id
-from tabscope.llm.language_id import Scorer, fit, has_letter, keep_recognised, predict, training_sample
+from tabscope.llm.language_id import Scorer, fit, has_letter, keep_recognised, predict, training_sample, with_usual_shares
 from tabscope.llm.queries import QUERIES
 
 ENGLISH = "the cat sat on the mat and looked at the garden while rain fell over the town".split()
@@ -92,3 +92,34 @@ def test_empty_tables_long_texts_and_columns_kept(spark, documents):
     kept = keep_recognised(docs, model)
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1]
     assert docs.select(has_letter(docs.text).alias("x")).filter("x").count() == 1
+
+
+def test_texts_in_no_learned_language_go(documents):
+    """Whatever their length and however uneven the labels; clean short texts stay."""
+    docs = documents(*made(), *[(2000 + i, t, "en") for i, t, lang in made() if lang == "en"])
+    model = with_usual_shares(docs, fit(docs))
+    assert len(model.usual) == 2 and min(model.usual) > 0.9
+    foreign = ["Правительство объявило новый закон о пенсиях", "政府は新しい法律を発表した", "η κυβέρνηση ανακοίνωσε", "rząd przedstawił nową ustawę o emeryturach", "я", "xq zvk wjq kpx"]
+    clean = ["the", "the mat.", "GARTEN", "Regen über die Stadt", "the garden, 12 34 !!", "rain fell"]
+    rows = [(i, t * n) for i, (t, n) in enumerate([(f"{t} ", n) for t in foreign for n in (1, 300)])]
+    rows += [(100 + i, t) for i, t in enumerate(clean)]
+    kept = {r.doc_id for r in keep_recognised(documents(*rows), model).collect()}
+    assert kept == set(range(100, 100 + len(clean)))
+
+
+def test_a_left_out_language_goes_and_a_learned_one_stays(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text IS NOT NULL")
+    taught = docs.filter("lang <> 'es' AND doc_id % 2 = 0")
+    model = with_usual_shares(taught, fit(taught))
+    new = docs.filter("doc_id % 2 = 1").select("doc_id", "text", "lang")
+    rows = {r["lang"]: r["count"] for r in new.groupBy("lang").count().collect()}
+    kept = {r["lang"]: r["count"] for r in keep_recognised(new, model).groupBy("lang").count().collect()}
+    assert kept.get("es", 0) <= 0.05 * rows["es"]
+    assert all(kept[x] >= 0.95 * rows[x] for x in ("en", "de", "fr"))
+
+
+def test_a_language_of_one_document_stays(documents):
+    docs = documents(*made(), (7000, "kissa istui matolla ja katsoi puutarhaa", "fi"))
+    model = with_usual_shares(docs, fit(docs))
+    assert model.usual[model.languages.index("fi")] < 0.5
+    assert 7000 in {r.doc_id for r in keep_recognised(docs, model).collect()}
