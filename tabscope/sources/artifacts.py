@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +15,9 @@ from tabscope.functions.columns import col
 from tabscope.plans.local import local_table
 
 TTL_DAYS = 7
-WHOLE_FILE_BYTES = 64 * 1024 * 1024
+WHOLE_FILE_BYTES = 64 * 1024 * 1024  # files beyond it are hashed as lines in their order, not as one row
+PRIMES = (2_147_483_647, 2_147_483_629)  # moduli of the hash of a sequence; products fit in 64 bits
+BASES = (1_103_515_245, 1_812_433_253)
 MANIFEST = "key string, version string, params string, stored_at timestamp"
 
 
@@ -47,18 +52,74 @@ def _order_free(hashes: DataFrame) -> str:
     return f"{row['n']}|{row['total']}|{row['mixed']}"
 
 
+def _powers(base: int, prime: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** (n - 1), modulo the prime."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), prime)) % np.uint64(prime)])
+    return out[:n]
+
+
+def _sequence_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, start, then for each modulus the hash of the lines in their order and the power that
+    shifts what stands before them) from consecutive rows (file, start, h)."""
+    for batch in batches:
+        file, start, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        first = np.flatnonzero(np.r_[True, (file[1:] != file[:-1]) | (start[1:] != start[:-1])]) if len(h) else []
+        rows = []
+        for s, e in zip(first, [*first[1:], len(h)]):
+            row = [int(file[s]), int(start[s])]
+            for base, prime in zip(BASES, PRIMES):
+                terms = h[s:e].view(np.uint64) % np.uint64(prime) * _powers(base, prime, e - s)[::-1] % np.uint64(prime)
+                row += [int(terms.sum() % np.uint64(prime)), pow(base, int(e - s), prime)]
+            rows.append(row)
+        columns = list(zip(*rows)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, pa.int64()) for c in columns], ["file", "start", "a", "a_shift", "b", "b_shift"]
+        )
+
+
+def _file_hashes_by_line(lines: DataFrame) -> DataFrame:
+    """One hash for each file of a text source, of its length and its lines in their order.
+
+    Sequence hashes of parts join into that of the whole, so it does not matter where Spark splits a file.
+    """
+    rows = lines.select(
+        F.xxhash64("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.xxhash64(F.col("value").cast("binary"), "_metadata.file_size").alias("h"),
+    )
+    parts = rows.mapInArrow(
+        _sequence_hashes, "file long, start long, a long, a_shift long, b long, b_shift long"
+    )
+    # A task reads a split from its start on: the parts of one split keep their order by their number.
+    numbered = parts.withColumn("no", F.monotonically_increasing_id())
+    listed = numbered.groupBy("file").agg(
+        F.array_sort(F.collect_list(F.struct("start", "no", "a", "a_shift", "b", "b_shift"))).alias("parts")
+    )
+
+    def joined(name: str, prime: int):
+        def add(total, part):
+            return (total * part[f"{name}_shift"] + part[name]) % F.lit(prime)
+
+        return F.aggregate("parts", F.lit(1).cast("long"), add)
+
+    return listed.select(F.xxhash64(joined("a", PRIMES[0]), joined("b", PRIMES[1])).alias("h"))
+
+
 def content_digest(spark: SparkSession, path: str) -> str:
-    """A digest of the bytes at a path, not of the path.
+    """A digest of the bytes at a path, not of the path or the order of files.
 
-    Files that fit in a row are hashed whole on the executors. Larger ones are hashed line by
-    line as Spark splits them, so no task has to hold a file.
+    Files that fit in a row are hashed whole on the executors. Each larger one is hashed by its length
+    and its lines in their order, as Spark splits it, so no task has to hold a file.
     """
     files = spark.read.format("binaryFile").load(path)
-    largest = files.agg(F.max("length")).first()[0]
-    if largest is None or largest <= WHOLE_FILE_BYTES:
-        return _order_free(files.select(F.xxhash64(F.sha2("content", 256)).alias("h")))
-    lines = spark.read.text(path)
-    return _order_free(lines.select(F.xxhash64("value").alias("h")))
+    whole = files.filter(F.col("length") <= WHOLE_FILE_BYTES)
+    lines = spark.read.option("lineSep", "\n").text(path)
+    large = lines.filter(F.col("_metadata.file_size") > WHOLE_FILE_BYTES)
+    return _order_free(
+        whole.select(F.xxhash64(F.sha2("content", 256)).alias("h")).unionAll(_file_hashes_by_line(large))
+    )
 
 
 def table_digest(df: DataFrame) -> str:

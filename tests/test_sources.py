@@ -126,6 +126,38 @@ def test_large_files_are_hashed_by_line(spark, tmp_path, monkeypatch):
     assert artifacts.content_digest(spark, a) != artifacts.content_digest(spark, b)
 
 
+def test_the_order_of_lines_counts_at_any_size(spark, tmp_path, monkeypatch):
+    small = ["k\n", "a\n", "b\n"]
+    lines = [f"{i}\n" for i in range(30_000)]
+    swapped = [*lines[:7], lines[20_007], *lines[8:20_007], lines[7], *lines[20_008:]]
+    folders = {
+        "given": (small, lines),
+        "copy": (small, lines),
+        "small swapped": ([small[0], small[2], small[1]], lines),
+        "header moved": (small, [*lines[1:], lines[0]]),
+        "large swapped": (small, swapped),
+        "rows of two files": ([small[0], lines[5], small[2]], [*lines[:5], small[1], *lines[6:]]),
+        "no last end": (small, [*lines[:-1], lines[-1].strip()]),
+        "other end": (small, [*lines[:9], "9\r\n", *lines[10:]]),
+    }
+    for name, files in folders.items():
+        (tmp_path / name).mkdir()
+        for i, content in enumerate(files):
+            with open(tmp_path / name / f"{i if name != 'copy' else 9 - i}.csv", "w", newline="") as f:
+                f.write("".join(content))
+    # All files below the limit, on both sides of it, and all beyond it.
+    for limit in (10**6, 1000, 1):
+        monkeypatch.setattr(artifacts, "WHOLE_FILE_BYTES", limit)
+        digests = {name: artifacts.content_digest(spark, str(tmp_path / name)) for name in folders}
+        assert digests.pop("copy") == digests["given"]
+        assert len(set(digests.values())) == len(digests)
+    monkeypatch.setattr(artifacts, "WHOLE_FILE_BYTES", 1000)
+    digest = artifacts.content_digest(spark, str(tmp_path / "given"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    assert artifacts.content_digest(spark, str(tmp_path / "given")) == digest
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_manifest_and_expiry(spark, tmp_path):
     base = str(tmp_path / "runs")
     assert not artifacts.lookup_run(spark, base, "k")
