@@ -11,10 +11,13 @@ from tabscope.llm import (
     chat,
     decontaminate,
     exact_dedup,
+    fill_in_middle,
+    filter_audit,
     language_id,
     licenses,
     lm_scoring,
     packing,
+    quality_ledger,
     sharding,
     simhash,
     token_counts,
@@ -208,3 +211,153 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     )
     index.add(digests, "documents")
     return index.verdicts(digests, "documents")
+
+
+@query(
+    "op11_fill_in_middle",
+    rf"""
+    WITH given AS (
+      SELECT doc_id, coalesce(text, '') AS text, sha256('{fill_in_middle.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h
+      FROM documents),
+    units AS (
+      SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS units,
+        ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+        ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+      FROM given),
+    cuts AS (
+      SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a,
+        greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+          OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+      FROM units),
+    parts AS (
+      SELECT *, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m,
+        array_to_string(units[b + 1:n], '') AS s
+      FROM cuts)
+    SELECT doc_id, n::BIGINT AS n, form,
+      CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+      CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+      sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+        WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256,
+      sha256(text) AS restored_sha256
+    FROM parts
+    """,
+)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents cut at two lines; the text is restored from the output and its form alone."""
+    written = fill_in_middle.fill_in_middle(table(spark, sf, "documents"))
+    again = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return written.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(again.cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+@query(
+    "op12_filter_audit",
+    r"""
+    WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+    words AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM texts),
+    known AS (
+      SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1),
+    bits AS (
+      SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+        + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::INT
+        + 8 * regexp_matches(text, '[#$%&*|]')::INT
+        + 16 * coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY text), false)::INT AS failed
+      FROM words w LEFT JOIN known k ON w.doc_id = k.doc_id),
+    counts AS (
+      SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM bits GROUP BY 1, 2),
+    letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+    orders AS (
+      SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+      FROM letters a, letters b, letters c, letters d, letters e
+      WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+    steps AS (
+      SELECT o.filter_order, s.step, l.letter, l.bit,
+        (SELECT coalesce(sum(x.bit), 0) FROM letters x
+         WHERE contains(substr(o.filter_order, 1, s.step - 1), x.letter))::INT AS before
+      FROM orders o, (SELECT unnest(range(1, 6)) AS step) s, letters l
+      WHERE substr(o.filter_order, s.step, 1) = l.letter),
+    results AS (
+      SELECT part, filter_order, step, letter,
+        coalesce(sum(n) FILTER (failed & (before | bit) = 0), 0) AS kept,
+        coalesce(sum(n) FILTER (failed & before = 0 AND failed & bit <> 0), 0) AS removed,
+        coalesce(sum(n) FILTER (failed & before <> 0 AND failed & bit <> 0), 0) AS redundant,
+        coalesce(sum(n) FILTER (failed = bit), 0) AS unique_fails,
+        coalesce(sum(good) FILTER (failed & before = 0 AND failed & bit <> 0), 0) AS good_lost,
+        coalesce(sum(toxic) FILTER (failed & before = 0 AND failed & bit <> 0), 0) AS toxic_lost
+      FROM counts, steps GROUP BY 1, 2, 3, 4)
+    SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+      redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+      toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+    FROM results
+    """,
+)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    """Five filters over all documents by source, in all 120 orders."""
+    return filter_audit.audit_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def _ledger_sql() -> str:
+    """Measurements by regular expressions, windows one by one; the rules' conditions are the same text."""
+    bits = " + ".join(f"({r.fails})::BIGINT * {1 << i}" for i, r in enumerate(quality_ledger.RULES))
+    base = quality_ledger.mask_of(quality_ledger.BASE, quality_ledger.RULES)
+    fatal = quality_ledger.mask_of(quality_ledger.POLICY.fatal, quality_ledger.RULES)
+    window = quality_ledger.WINDOW
+    return rf"""
+    WITH texts AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+    words AS (
+      SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+        [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines
+      FROM texts),
+    windows AS (
+      SELECT row, i, count(*) OVER (PARTITION BY row, said) AS times FROM (
+        SELECT row, i, array_to_string(words[i:i + {window - 1}], ' ') AS said
+        FROM (SELECT row, words, unnest(range(1, len(words) - {window - 2})) AS i FROM words))),
+    repeats AS (
+      SELECT row, count(DISTINCT i + j) AS n_repeat_words
+      FROM windows, (SELECT unnest(range(0, {window})) AS j) WHERE times > 1 GROUP BY row),
+    measures AS (
+      SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+        length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_capitals,
+        len([x FOR x IN words IF regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]')])::BIGINT AS n_lettered,
+        len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+        coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+      FROM words LEFT JOIN repeats USING (row)),
+    ledger AS (SELECT *, {bits} AS failed FROM measures)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+      failed & {base} <> 0 AS base_failed, failed & {fatal} = 0 AS kept, n_capitals, n_lettered, n_lines, failed,
+      '{quality_ledger.RULES_VERSION}' AS rules_version, '{quality_ledger.POLICY.version}' AS policy
+    FROM ledger
+    """
+
+
+@query("op13_quality_ledger", _ledger_sql())
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents in the ledger, under the usual policy."""
+    measures = quality_ledger.measured(table(spark, sf, "documents"))
+    ledger = materialise(quality_ledger.with_bits(measures), "quality-ledger")
+    return ledger.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        quality_ledger.failed_any(quality_ledger.BASE).alias("base_failed"),
+        quality_ledger.keeps(quality_ledger.POLICY).alias("kept"),
+        "n_capitals",
+        "n_lettered",
+        "n_lines",
+        "failed",
+        "rules_version",
+        F.lit(quality_ledger.POLICY.version).alias("policy"),
+    )
