@@ -6,9 +6,9 @@ no class is one task. A task works on the sorted values of its part:
 * For classes, a point's nearest neighbours of its own class are next to it in the order of that class.
   The three values of each class on either side of a part come along with it. How many points lie within
   that distance is read off the part, or asked of the part that holds the end of the interval.
-* For a continuous target, a point is settled once its third distance is no larger than the way to the
-  nearest value outside its part. Other points ask the parts that their distance reaches into. Counts along the target
-  come from a second dealing, by target value.
+* For a continuous target, the third distance is found in cells of the plane (``plans.cells``). The counts
+  along both coordinates are differences of ranks: of a second dealing, by value, only the two parts
+  that hold the ends of an interval are looked at.
 
 Equal values are told apart by a tiny noise from the row's key, so a frequent value can be cut as well.
 """
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tabscope.functions.columns import col
 from tabscope.operators.cleaning import label_encode, row_digest, stratified_sample
+from tabscope.plans.cells import deal_cells, neighbour_distances
 from tabscope.plans.local import local_table
 from tabscope.plans.scratch import materialise
 
@@ -85,9 +86,18 @@ class Order:
             return -1, int(self.before[i + 1])
         return self.parts[i], int(self.before[i])
 
-    def reached(self, low: float, high: float) -> list[int]:
-        """Parts with values strictly between."""
-        return self.parts[bisect_right(self.high, low) : bisect_left(self.low, high)]
+    def ends(self, v: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the first and the last part that may hold values closer to each v than its radius."""
+        low, high, last = np.array(self.low), np.array(self.high), len(self.low) - 1
+        first = np.clip(np.searchsorted(high, v - radius, side="right"), 0, last)
+        end = np.clip(np.searchsorted(low, v + radius, side="left") - 1, 0, last)
+        # v - radius and v + radius are rounded; settle the parts next to the ends by distance.
+        for _ in range(2):
+            first -= (first > 0) & (v - high[np.maximum(first - 1, 0)] < radius)
+            first += (first < last) & (v - high[first] >= radius)
+            end += (end < last) & (low[np.minimum(end + 1, last)] - v < radius)
+            end -= (end > 0) & (low[end] - v >= radius)
+        return first, end
 
 
 def _deal(points: DataFrame, value: str, n: int) -> tuple[DataFrame, dict[int, Order]]:
@@ -220,31 +230,6 @@ def _class_scores(points: DataFrame, n: int, k: int) -> DataFrame:
     return settled.unionByName(within).groupBy("pos").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
-def _nearest(
-    a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, right: np.ndarray, left: np.ndarray,
-    k: int, bound: np.ndarray,
-) -> np.ndarray:
-    """The k least distances (the larger of both coordinates) below the bound, from points (at_a, at_b) to
-    (a, b), ``a`` sorted. The walk starts at indices ``right`` and ``left`` and ends where ``a`` alone is
-    too far."""
-    best = np.full((k, len(at_a)), np.inf)
-    for step, start in ((1, right), (-1, left)):
-        active, other = np.arange(len(at_a)), start.copy()
-        while len(active):
-            ok = (other >= 0) & (other < len(a))
-            active, other = active[ok], other[ok]
-            gap = np.abs(a[other] - at_a[active])
-            ok = gap < np.minimum(best[k - 1, active], bound[active])
-            active, other, gap = active[ok], other[ok], gap[ok]
-            d = np.maximum(gap, np.abs(b[other] - at_b[active]))
-            for place in range(k):
-                old = best[place, active]
-                best[place, active] = np.minimum(old, d)
-                d = np.maximum(old, d)
-            other = other + step
-    return best
-
-
 def _closer_than(ordered: np.ndarray, x: np.ndarray, radius: np.ndarray) -> np.ndarray:
     """How many of the ordered values lie closer to each x than its radius."""
     start = np.searchsorted(ordered, x - radius, side="right")
@@ -259,136 +244,75 @@ def _closer_than(ordered: np.ndarray, x: np.ndarray, radius: np.ndarray) -> np.n
     return np.maximum(stop - start, 0)
 
 
-def _spacing(values: np.ndarray) -> float:
-    """How far apart values are that have some sixty others between them; next to nothing for levels."""
-    step = min(64, len(values) - 1)
-    ordered = np.sort(values)
-    return float(np.median(ordered[step:] - ordered[:-step])) if step > 0 else 0.0
-
-
-def _axes(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, bool]:
-    """The order along the coordinate in which the points lie further apart, and whether that is y."""
-    turned = _spacing(y) > _spacing(x)
-    return np.argsort(y if turned else x, kind="stable"), turned
-
+MARGIN_ROWS = "pos int, id long, part int, v double, radius double, inside long, total double, n long"
 
-POINT_ROWS = "pos int, id long, x double, y double, radius double, total double, best array<double>, parts array<int>"
 
+def _margin_sums(values: DataFrame, n: int) -> DataFrame:
+    """(pos, total): sums over (pos, v, radius) of digamma of the values closer than the radius, itself included.
 
-def _counts_across(dealt: DataFrame, value: str, open_points: DataFrame) -> DataFrame:
-    """(pos, id, m): values closer than the radius, over all ``parts`` of each open point."""
-    questions = open_points.select("pos", "id", F.col(value).alias("v"), "radius", F.explode("parts").alias("part"))
-
-    def count(part: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for pos, own in asked.groupby("pos"):
-            ordered = np.sort(part[value].to_numpy()[part["pos"].to_numpy() == pos])
-            found = _closer_than(ordered, own["v"].to_numpy(), own["radius"].to_numpy())
-            out.append(pd.DataFrame({"pos": own["pos"], "id": own["id"], "m": found}))
-        return pd.concat(out)
-
-    counted = _asked(dealt, questions, count, "pos int, id long, m long")
-    return counted.groupBy("pos", "id").agg(F.sum("m").alias("m"))
-
-
-def _continuous_scores(points: DataFrame, n: int, k: int) -> DataFrame:
-    """(pos, total, n): sums of digamma of both marginal counts over (pos, x, y) points."""
-    dealt, orders = _deal(points, "x", n)
+    A count is a difference of two ranks, so at most the two parts that hold the ends of the interval are
+    asked, however many lie between.
+    """
+    dealt, orders = _deal(values, "v", n)
 
-    def rows(pos, x, y, radius, total, name=-1, best=None, parts=None) -> pd.DataFrame:
-        """Settled points have id -1, their total and no parts to ask."""
-        empty = [[]] * len(x)
+    def rows(pos, name, part, v, radius, inside, total, n) -> pd.DataFrame:
         return pd.DataFrame(
-            {
-                "pos": pos, "id": name, "x": x, "y": y, "radius": radius, "total": total,
-                "best": empty if best is None else best, "parts": empty if parts is None else parts,
-            }
+            {"pos": pos, "id": name, "part": part, "v": v, "radius": radius, "inside": inside, "total": total, "n": n}
         )
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         out = []
         number = int(part["part"].iloc[0])
         for pos, own in part.groupby("pos", sort=True):
-            own = own.sort_values(["x", "y"], kind="stable")
-            x, y = own["x"].to_numpy(), own["y"].to_numpy()
-            by, turned = _axes(x, y)
-            a, b = (y[by], x[by]) if turned else (x[by], y[by])
-            i = np.arange(len(x))
-            best = np.empty((k, len(x)))
-            best[:, by] = _nearest(a, b, a, b, i + 1, i - 1, k, np.full(len(x), np.inf))
-            radius = best[k - 1]
+            own = own.sort_values(["v", "radius"], kind="stable")
+            v, radius = own["v"].to_numpy(), own["radius"].to_numpy()
             order = orders[int(pos)]
-            below, above = order.borders(number)
-            settled = (x - below >= radius) & (above - x >= radius)
-            # A point is closer to itself than its radius; it is not counted, but digamma takes one more.
-            inside = _closer_than(x, x[settled], radius[settled])
-            out.append(rows(pos, x[settled], y[settled], radius[settled], digamma(np.maximum(inside, 1))))
+            here = bisect_left(order.parts, number)
+            first, last = order.ends(v, radius)
+            first, last = np.minimum(first, here), np.maximum(last, here)
+            inside = _closer_than(v, v, radius)
+            settled = (first == here) & (last == here)
+            total = digamma(np.maximum(inside[settled], 1)).sum()
+            out.append(rows([pos], -1, -1, 0.0, 0.0, 0, [total], int(settled.sum())))
             at = np.flatnonzero(~settled)
-            parts = [order.reached(v - r, v + r) for v, r in zip(x[at], radius[at])]
-            parts = [sorted({number, *p}) for p in parts]
-            out.append(
-                rows(pos, x[at], y[at], radius[at], 0.0, (number << 40) | at, best[:, at].T.tolist(), parts)
-            )
+            f, l = first[at], last[at]
+            # Whole parts between the ends and this one.
+            between = np.where(f < here, order.before[here] - order.before[np.minimum(f + 1, here)], 0)
+            between = between + np.where(l > here, order.before[l] - order.before[here + 1], 0)
+            name = (number << 40) | at
+            out.append(rows(pos, name, -1, v[at], radius[at], inside[at] + between, 0.0, 1))
+            for end in (f, l):
+                away = end != here
+                asked = np.array(order.parts, np.int64)[end[away]]
+                out.append(rows(pos, name[away], asked, v[at][away], radius[at][away], 0, 0.0, 0))
         return pd.concat(out)
 
-    def nearer(part: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
+    def count(part: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = asked.copy()
         for pos, own in asked.groupby("pos"):
-            mine = part["pos"].to_numpy() == pos
-            x, y = part["x"].to_numpy()[mine], part["y"].to_numpy()[mine]
-            by, turned = _axes(x, y)
-            a, b = (y[by], x[by]) if turned else (x[by], y[by])
-            at_a, at_b = (own["y"], own["x"]) if turned else (own["x"], own["y"])
-            right = np.searchsorted(a, at_a.to_numpy())
-            found = _nearest(a, b, at_a.to_numpy(), at_b.to_numpy(), right, right - 1, k, own["radius"].to_numpy())
-            out.append(pd.DataFrame({"pos": own["pos"], "id": own["id"], "best": found.T.tolist()}))
-        return pd.concat(out)
+            ordered = np.sort(part["v"].to_numpy()[part["pos"].to_numpy() == pos])
+            out.loc[own.index, "inside"] = _closer_than(ordered, own["v"].to_numpy(), own["radius"].to_numpy())
+        return out
 
-    first = materialise(dealt.groupBy("part").applyInPandas(solve, POINT_ROWS), "neighbours")
-    waiting = first.filter("id >= 0")
-    questions = waiting.select("pos", "id", "x", "y", "radius", F.explode("parts").alias("part")).filter(
-        F.shiftright("id", 40) != F.col("part")
-    )
-    more = _asked(dealt, questions, nearer, "pos int, id long, best array<double>")
-    nearest = (
-        waiting.select("pos", "id", "best")
-        .unionByName(more)
-        .groupBy("pos", "id")
-        .agg(F.element_at(F.array_sort(F.flatten(F.collect_list("best"))), k).alias("radius"))
-    )
-    moved = materialise(waiting.drop("radius").join(nearest, ["pos", "id"]), "moved")
-    inside = _counts_across(dealt, "x", moved)
-    found = moved.join(inside, ["pos", "id"]).select(
-        "pos", "y", "radius", _digamma_column(F.greatest("m", F.lit(1))).alias("total")
-    )
-    along = first.filter("id < 0").select("pos", "y", "radius", "total").unionByName(found)
+    pieces = materialise(dealt.groupBy("part").applyInPandas(solve, MARGIN_ROWS), "margins")
+    waiting = pieces.filter("id >= 0")
+    answered = _asked(dealt, waiting.filter("part >= 0"), count, MARGIN_ROWS)
+    late = waiting.filter("part < 0").unionByName(answered).groupBy("pos", "id").agg(F.sum("inside").alias("m"))
+    late = late.select("pos", _digamma_column(F.greatest("m", F.lit(1))).alias("total"))
+    return pieces.filter("id < 0").select("pos", "total").unionByName(late).groupBy("pos").agg(F.sum("total").alias("total"))
 
-    # The same counts along the target, for every point of every feature.
-    by_y, y_orders = _deal(along, "y", n)
 
-    def target_counts(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        number = int(part["part"].iloc[0])
-        for pos, own in part.groupby("pos", sort=True):
-            own = own.sort_values(["y", "radius"], kind="stable")
-            y, radius = own["y"].to_numpy(), own["radius"].to_numpy()
-            order = y_orders[int(pos)]
-            below, above = order.borders(number)
-            settled = (y - below >= radius) & (above - y >= radius)
-            inside = _closer_than(y, y[settled], radius[settled])
-            total = own["total"].sum() + digamma(np.maximum(inside, 1)).sum()
-            out.append(rows(pos, np.zeros(1), np.zeros(1), np.array([float(len(y))]), [total]))
-            at = np.flatnonzero(~settled)
-            parts = [sorted({number, *order.reached(v - r, v + r)}) for v, r in zip(y[at], radius[at])]
-            out.append(rows(pos, y[at], y[at], radius[at], 0.0, (number << 40) | at, None, parts))
-        return pd.concat(out)
-
-    counted = materialise(by_y.groupBy("part").applyInPandas(target_counts, POINT_ROWS), "target-counts")
-    late = _counts_across(by_y, "y", counted.filter("id >= 0")).select(
-        "pos", _digamma_column(F.greatest("m", F.lit(1))).alias("total"), F.lit(0.0).alias("n")
-    )
-    sums = counted.filter("id < 0").select("pos", "total", F.col("radius").alias("n"))
-    return sums.unionByName(late).groupBy("pos").agg(F.sum("total").alias("total"), F.sum("n").cast("long").alias("n"))
+def _continuous_scores(points: DataFrame, n: int, features: int, k: int) -> DataFrame:
+    """(pos, total, n): sums of digamma of both marginal counts over (pos, x, y) points."""
+    dealt, grids = deal_cells(points, n, features)
+    found = materialise(neighbour_distances(dealt, grids, k), "radii")
+    # Both margins at once, each as a feature of its own.
+    both = F.array(F.struct((2 * F.col("pos")).alias("pos"), F.col("x").alias("v")),
+                   F.struct((2 * F.col("pos") + 1).alias("pos"), F.col("y").alias("v")))
+    margins = found.select("radius", F.explode(both).alias("m")).select("m.pos", "m.v", "radius")
+    totals = _margin_sums(margins, 2 * n)
+    totals = totals.groupBy(F.expr("int(pos div 2)").alias("pos")).agg(F.sum("total").alias("total"))
+    return totals.join(found.groupBy("pos").agg(F.count("*").alias("n")), "pos")
 
 
 def _noise(digest: Column, start: int) -> Column:
@@ -466,7 +390,7 @@ def mutual_information(
             other = (F.col("__target") / F.lit(divisor) + F.lit(size) * _noise(F.col("__digest"), 21)).alias("y")
         points = rows.select(other, F.posexplode(F.array(*entries)).alias("pos", "x")).filter("x IS NOT NULL")
         n = rows.count() * len(used)
-        sums = (_class_scores if classification else _continuous_scores)(points, n, k)
+        sums = _class_scores(points, n, k) if classification else _continuous_scores(points, n, len(used), k)
         # One row per feature.
         for r in sums.collect():
             size = r["n"]

@@ -8,6 +8,7 @@ from tabscope.functions import tails
 from tabscope.operators import associate
 from tabscope.operators import mutual_info as mi
 from tabscope.operators.target import Target, classify_target
+from tabscope.plans import cells
 from tests.conftest import by
 
 
@@ -119,6 +120,7 @@ def _brute_continuous(x, y, k=3):
 def test_estimators_equal_brute_force(spark, monkeypatch, rows):
     """Parts that hold everything, some or hardly any of a feature."""
     monkeypatch.setattr(mi, "ROWS_PER_PART", rows)
+    monkeypatch.setattr(cells, "ROWS_PER_CELL", rows)
     rng = np.random.default_rng(rows)
     n = 260
     y = rng.choice(["a", "b", "c", "d", "e"], n, p=[0.5, 0.3, 0.18, 0.015, 0.005])
