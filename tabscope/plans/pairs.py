@@ -1,129 +1,86 @@
-"""Pearson correlation of column pairs over the rows where both are present."""
+"""Pearson correlation of column pairs over the rows where both are present, by tiles of the product matrix.
+
+Columns are cut into blocks. A tile is a pair of blocks: it reads only their columns, and each task
+multiplies the two blocks of its rows, batch by batch, into sums of one tile's size, which are added up by
+pair in one shuffle. So the memory of a task and what it sends do not grow with the width of the table, and
+one way serves two columns as well as thousands. The sums of a pair stay rows of a table from start to end.
+"""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabscope.functions.columns import col
 from tabscope.plans.kinds import clean, infer_kinds
-from tabscope.plans.moments import basic_stats
 from tabscope.plans.local import local_table
+from tabscope.plans.moments import basic_stats
+from tabscope.plans.scratch import materialise
 
-SUMS_PER_PASS = 64
-PAIRS_BY_EXPRESSION = 300
+COLUMNS_PER_BLOCK = 256  # six sums for each of its pairs: 3 MB a tile
+ROWS_PER_PRODUCT = 8192
+ROUNDING = 1e-14  # what rounding alone can leave of a constant column's spread
 
 SCHEMA = "col_a string, col_b string, n long, r double"
-
-
-def _correlation(n, sx, sy, sxx, syy, sxy, constant: bool) -> float | None:
-    """r from sums of centred values; None when a side has no spread over the shared rows."""
-    if constant or not n or n < 2:
-        return None
-    vx, vy = sxx - sx * sx / n, syy - sy * sy / n
-    # What rounding alone can leave of a constant column's spread.
-    if vx <= 1e-14 * (sxx + 1e-300) or vy <= 1e-14 * (syy + 1e-300):
-        return None
-    r = (sxy - sx * sy / n) / (math.sqrt(vx) * math.sqrt(vy))
-    return max(-1.0, min(1.0, r))
-
-
-def _by_expression(df: DataFrame, pairs: list[tuple[str, str]], stats: dict) -> list[tuple]:
-    """Plain sums, one wide aggregate per chunk. Columns without NULLs share their own sums."""
-
-    def d(name):
-        return col(name).cast("double") - F.lit(stats[name]["mean"] or 0.0)
-
-    full = {c for c, s in stats.items() if s["count"] == s["n_rows"]}
-    sums: dict[tuple, object] = {}
-    for a, b in pairs:
-        x, y = d(a), d(b)
-        sums[("xy", a, b)] = F.sum(x * y)
-        if a in full and b in full:
-            for c, v in ((a, x), (b, y)):
-                sums[("x", c, None)] = F.sum(v)
-                sums[("xx", c, None)] = F.sum(v * v)
-        else:
-            sums[("n", a, b)] = F.count(x + y)
-            for c, other in ((a, b), (b, a)):
-                both = F.when(col(other).isNotNull(), d(c))
-                sums[("x", c, other)] = F.sum(both)
-                sums[("xx", c, other)] = F.sum(both * both)
-    keys = list(sums)
-    value = {}
-    for start in range(0, len(keys), SUMS_PER_PASS):
-        chunk = keys[start : start + SUMS_PER_PASS]
-        names = list(dict.fromkeys(c for k in chunk for c in k[1:] if c is not None))
-        row = clean(df, names).agg(*[sums[k].alias(f"s{i}") for i, k in enumerate(chunk)]).first()
-        value.update({k: row[i] for i, k in enumerate(chunk)})
-    out = []
-    for a, b in pairs:
-        shared = a in full and b in full
-        ka, kb = (None, None) if shared else (b, a)
-        n = stats[a]["n_rows"] if shared else value[("n", a, b)]
-        constant = any(stats[c]["min"] == stats[c]["max"] for c in (a, b))
-        r = _correlation(
-            n,
-            value[("x", a, ka)],
-            value[("x", b, kb)],
-            value[("xx", a, ka)],
-            value[("xx", b, kb)],
-            value[("xy", a, b)],
-            constant,
-        )
-        out.append((a, b, n, r))
-    return out
-
-
-def _by_gram(df: DataFrame, names: list[str], stats: dict) -> list[tuple]:
-    """All pairs of a wide table: one matrix product per Arrow batch, summed over tasks."""
-    shift = np.array([stats[c]["mean"] or 0.0 for c in names])
-    span = np.array([max(abs(stats[c]["max"] or 0.0), abs(stats[c]["min"] or 0.0)) for c in names])
+_SUMS = ["n", "sa", "sb", "aa", "bb", "ab"]
+_TILE = "i int, j int, " + ", ".join(f"{s} double" for s in _SUMS)
+
+
+def _products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For all pairs of columns: rows with both, sums, sums of squares and of products over these."""
+    here, there = ~np.isnan(x), ~np.isnan(y)
+    if here.all() and there.all():
+        shape = (x.shape[1], y.shape[1])
+        a, b = np.broadcast_to(x.sum(0)[:, None], shape), np.broadcast_to(y.sum(0), shape)
+        aa, bb = np.broadcast_to((x * x).sum(0)[:, None], shape), np.broadcast_to((y * y).sum(0), shape)
+        return np.stack([np.full(shape, float(len(x))), a, b, aa, bb, x.T @ y])
+    x, y, here, there = np.nan_to_num(x), np.nan_to_num(y), here.astype(float), there.astype(float)
+    return np.stack([here.T @ there, x.T @ there, here.T @ y, (x * x).T @ there, here.T @ (y * y), x.T @ y])
+
+
+def _tile(df: DataFrame, names: list[str], cells: list[tuple[int, int]], stats: dict) -> DataFrame:
+    """(i, j, sums) of the wanted cells, column numbers in ``names``, one row for each and task."""
+    rows = sorted({i for i, _ in cells})
+    columns = sorted({j for _, j in cells})
+    used = sorted({*rows, *columns})
+    left, right = [used.index(i) for i in rows], [used.index(j) for j in columns]
+    at = (np.searchsorted(rows, [i for i, _ in cells]), np.searchsorted(columns, [j for _, j in cells]))
+    # Centred and scaled to about one, sums keep their digits.
+    shift = np.array([stats[names[i]]["mean"] or 0.0 for i in used])
+    span = np.array([max(abs(stats[names[i]]["max"] or 0.0), abs(stats[names[i]]["min"] or 0.0)) for i in used])
     scale = np.where(span > 0, span, 1.0)
-    left, right = np.triu_indices(len(names), k=1)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(_SUMS), len(rows), len(columns)))
         for batch in batches:
-            x = (batch.to_numpy(dtype="float64", na_value=np.nan) - shift) / scale
-            here = (~np.isnan(x)).astype("float64")
-            x = np.nan_to_num(x)
-            squares = x * x
-            moments = np.stack(
-                [here.T @ here, x.T @ here, here.T @ x, squares.T @ here, here.T @ squares, x.T @ x]
-            )
-            total = moments if total is None else total + moments
-        if total is not None:
-            cells = total[:, left, right]
-            yield pd.DataFrame(
-                {"i": left, "j": right, **{f"m{k}": cells[k] for k in range(len(cells))}}
-            )
-
-    data = clean(df, names).select(
-        *[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)]
-    )
-    rows = (
-        data.mapInPandas(
-            partial,
-            "i int, j int, m0 double, m1 double, m2 double, m3 double, m4 double, m5 double",
-        )
-        .groupBy("i", "j")
-        .agg(*[F.sum(f"m{k}").alias(f"m{k}") for k in range(6)])
-        .collect()
-    )
-    out = []
-    for row in sorted(rows, key=lambda v: (v["i"], v["j"])):
-        a, b = names[row["i"]], names[row["j"]]
-        constant = any(stats[c]["min"] == stats[c]["max"] for c in (a, b))
-        r = _correlation(*[row[f"m{k}"] for k in range(6)], constant)
-        out.append((a, b, int(row["m0"]), r))
-    return out
+            for start in range(0, batch.num_rows, ROWS_PER_PRODUCT):
+                part = batch.slice(start, ROWS_PER_PRODUCT)
+                values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in part.columns])
+                values = (values - shift) / scale
+                total += _products(values[:, left], values[:, right])
+        found = [pa.array([i for i, _ in cells], pa.int32()), pa.array([j for _, j in cells], pa.int32())]
+        sums = [pa.array(s[at]) for s in total]
+        yield pa.RecordBatch.from_arrays([*found, *sums], ["i", "j", *_SUMS])
+
+    chosen = [names[i] for i in used]
+    data = clean(df, chosen).select(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(chosen)])
+    return data.mapInArrow(work, _TILE)
+
+
+def _correlation(constant: Column) -> Column:
+    """r from sums of centred values; NULL when a side has no spread over the shared rows."""
+    n, sa, sb, aa, bb, ab = (F.col(s) for s in _SUMS)
+    n = F.when(n > 0, n)
+    va, vb = aa - sa * sa / n, bb - sb * sb / n
+    spread = (va > ROUNDING * (aa + 1e-300)) & (vb > ROUNDING * (bb + 1e-300))
+    r = F.try_divide(ab - sa * sb / n, F.sqrt(va) * F.sqrt(vb))
+    return F.when(~constant & (n >= 2) & spread, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def pair_correlations(
@@ -134,7 +91,8 @@ def pair_correlations(
 ) -> DataFrame:
     """(col_a, col_b, n, r) for all pairs in column order, or for the given pairs.
 
-    r is NULL when a column is constant over the shared rows. The sums are one row per pair.
+    r is NULL when a column is constant over the shared rows. The result is written down once, since
+    it is usually read more than once.
     """
     names = infer_kinds(df).numeric if columns is None else list(columns)
     wanted = list(combinations(names, 2)) if pairs is None else list(pairs)
@@ -142,8 +100,23 @@ def pair_correlations(
         return local_table(df.sparkSession, [], SCHEMA)
     used = list(dict.fromkeys(c for p in wanted for c in p))
     stats = stats or basic_stats(df, used)
-    if pairs is None and len(wanted) > PAIRS_BY_EXPRESSION:
-        rows = _by_gram(df, names, stats)
-    else:
-        rows = _by_expression(df, wanted, stats)
-    return local_table(df.sparkSession, rows, SCHEMA)
+    place = {c: i for i, c in enumerate(used)}
+    tiles: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for a, b in wanted:
+        i, j = place[a], place[b]
+        tiles.setdefault((i // COLUMNS_PER_BLOCK, j // COLUMNS_PER_BLOCK), []).append((i, j))
+    parts = [_tile(df, used, cells, stats) for cells in tiles.values()]
+    # A pair belongs to one tile; tasks are what is summed over. An empty table has no task.
+    sums = reduce(DataFrame.unionAll, parts).groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in _SUMS])
+    names_of = local_table(
+        df.sparkSession,
+        [(place[a], place[b], a, b, any(stats[c]["min"] == stats[c]["max"] for c in (a, b))) for a, b in wanted],
+        "i int, j int, col_a string, col_b string, constant boolean",
+    )
+    rows = names_of.join(sums, ["i", "j"], "left").select(
+        "col_a",
+        "col_b",
+        F.coalesce(F.col("n").cast("long"), F.lit(0)).cast("long").alias("n"),
+        _correlation(F.col("constant")).alias("r"),
+    )
+    return materialise(rows, "pairs")

@@ -4,7 +4,8 @@ import pytest
 
 from tabscope.operators import categorical, correlate
 from tabscope.plans.counts import value_counts
-from tabscope.plans.pairs import _by_gram, pair_correlations
+from tabscope.plans import pairs
+from tabscope.plans.pairs import pair_correlations
 from tabscope.plans.moments import basic_stats
 from tests.conftest import by
 
@@ -81,32 +82,54 @@ def test_values_of_other_types(spark):
     assert {r["value"] for r in value_counts(df, ["b", "d", "i"]).collect()} == {"true", "1.5", "3"}
 
 
-def test_pairwise_complete_correlation(spark):
+@pytest.mark.parametrize("block", [256, 2, 1])
+def test_pairwise_complete_correlation(spark, monkeypatch, block):
+    """One tile, or many with blocks of a few columns."""
     import numpy as np
     import pandas as pd
 
+    monkeypatch.setattr(pairs, "COLUMNS_PER_BLOCK", block)
     rng = np.random.default_rng(2)
-    pdf = pd.DataFrame(rng.normal(0, 1, (300, 4)), columns=list("abcd"))
+    pdf = pd.DataFrame(rng.normal(0, 1, (300, 5)), columns=list("abcde"))
     pdf["b"] += pdf["a"]
     pdf["k"] = 3.0
+    pdf["none"] = np.nan
     pdf.loc[::3, "a"] = None
     pdf.loc[1::4, "c"] = None
+    pdf.loc[:150, "d"] = None
+    pdf.loc[149:, "e"] = None
     df = spark.createDataFrame(pdf)
     want = pdf.corr()
-    for rows in (pair_correlations(df).collect(), _rows(_by_gram(df, list(pdf), basic_stats(df)))):
-        for r in rows:
-            expected = want.loc[r["col_a"], r["col_b"]]
-            if np.isnan(expected):
-                assert r["r"] is None
-            else:
-                assert r["r"] == pytest.approx(expected, abs=1e-12)
+    rows = pair_correlations(df).collect()
+    assert len(rows) == 21
+    for r in rows:
+        expected = want.loc[r["col_a"], r["col_b"]]
+        assert r["n"] == (pdf[r["col_a"]].notna() & pdf[r["col_b"]].notna()).sum()
+        if np.isnan(expected):
+            assert r["r"] is None
+        else:
+            assert r["r"] == pytest.approx(expected, abs=1e-12)
     matrix = {(r["col_a"], r["col_b"]): r["r"] for r in correlate.correlation_matrix(df).collect()}
     assert matrix[("a", "a")] == 1.0 and matrix[("k", "k")] is None
     assert matrix[("b", "a")] == matrix[("a", "b")] == round(want.loc["a", "b"], 4)
 
 
-def _rows(tuples):
-    return [dict(zip(("col_a", "col_b", "n", "r"), t)) for t in tuples]
+def test_given_pairs_far_values_and_empty_tables(spark):
+    df = spark.range(1000).selectExpr("id AS x", "1e12D + id % 7 AS far", "-id AS down", "id % 7 AS near")
+    got = {(r["col_a"], r["col_b"]): r for r in pair_correlations(df, pairs=[("x", "down"), ("far", "near")]).collect()}
+    assert set(got) == {("x", "down"), ("far", "near")}
+    assert got["x", "down"]["r"] == -1.0 and got["far", "near"]["r"] == pytest.approx(1.0, abs=1e-6)
+    none = pair_correlations(df.limit(0)).collect()
+    assert [(r["n"], r["r"]) for r in none] == [(0, None)] * 6
+
+
+def test_a_tile_reads_only_its_columns(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pairs, "COLUMNS_PER_BLOCK", 2)
+    spark.range(10).selectExpr(*[f"id + {i} AS c{i}" for i in range(6)]).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    tile = pairs._tile(df, df.columns, [(0, 4), (1, 5)], basic_stats(df))
+    plan = tile._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<c0:bigint,c1:bigint,c4:bigint,c5:bigint>" in plan and tile.count() >= 2
 
 
 def test_column_constant_inside_shared_rows(spark):
