@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import io
 import zipfile
-from itertools import batched
 from xml.sax.saxutils import escape
 
+import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import functions as F
 
 from catalog.inputs import rounded, table
@@ -172,7 +173,8 @@ def _workbook(header: list[str], rows: list[tuple]) -> bytes:
             if isinstance(v, str):
                 cells.append(f'<c r="{chr(65 + j)}{i}" t="inlineStr"><is><t>{escape(v)}</t></is></c>')
             elif v is not None:
-                cells.append(f'<c r="{chr(65 + j)}{i}"><v>{v!r}</v></c>')
+                whole = isinstance(v, float) and v.is_integer()  # pandas turns numbers with gaps into floats
+                cells.append(f'<c r="{chr(65 + j)}{i}"><v>{int(v) if whole else v!r}</v></c>')
         lines.append(f'<row r="{i}">{"".join(cells)}</row>')
     space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     out = io.BytesIO()
@@ -182,24 +184,36 @@ def _workbook(header: list[str], rows: list[tuple]) -> bytes:
     return out.getvalue()
 
 
+def _write_books(rows, folder: str) -> None:
+    """The rows in workbooks of a few thousand each, dealt by a hash and written by the tasks that hold them."""
+    names = rows.columns
+    books = max(1, rows.count() // ROWS_PER_BOOK)
+
+    def write(key, own):
+        files, path = FileSystem.from_uri(folder)
+        cells = [tuple(None if pd.isna(v) else v for v in r) for r in own[names].itertuples(index=False)]
+        with files.open_output_stream(f"{path}/{key[0]}.xlsx") as out:
+            out.write(_workbook(names, cells))
+        return pd.DataFrame({"rows": [len(cells)]})
+
+    files, path = FileSystem.from_uri(folder)
+    files.create_dir(path)
+    dealt = rows.withColumn("book", F.pmod(F.xxhash64(*names), F.lit(books)))
+    dealt.groupBy("book").applyInPandas(write, "rows long").write.format("noop").mode("overwrite").save()
+
+
 @query(
     "read_excel",
     "SELECT c_custkey, c_name, CASE WHEN c_nationkey > 3 THEN c_nationkey END AS c_nationkey, "
     "c_acctbal FROM customer",
 )
 def read_excel(spark, sf):
-    """The customers in workbooks of a few thousand rows, each read in a task of its own."""
+    """The customers in workbooks that tasks write and read."""
     folder = scratch_folder(spark, "workbooks")
     rows = table(spark, sf, "customer").select(
         "c_custkey", "c_name", F.when(F.col("c_nationkey") > 3, F.col("c_nationkey")).alias("c_nationkey"), "c_acctbal"
     )
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    books = batched(rows.toLocalIterator(), ROWS_PER_BOOK)
-    for i, own in enumerate(books):
-        out = files.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{i}.xlsx"))
-        out.write(bytearray(_workbook(rows.columns, [tuple(r) for r in own])))
-        out.close()
+    _write_books(rows, folder)
     return readers.read_excel(spark, folder).withColumn("c_nationkey", F.col("c_nationkey").cast("int"))
 
 

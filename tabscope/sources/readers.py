@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-import re
+import json
 import zipfile
 from collections.abc import Callable, Iterator
 from io import BytesIO
 from pathlib import PurePosixPath
-from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabscope.functions.columns import col
 from tabscope.plans.kinds import normalise
-from tabscope.plans.scratch import materialise
 from tabscope.plans.local import local_table
+from tabscope.plans.scratch import materialise
+from tabscope.sources import workbooks
 
 # Cell texts that stand for a missing value.
 NA_TOKENS = [
@@ -106,63 +107,67 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _cell_texts(content: bytes) -> list[list[str | None]]:
-    """Rows of the first sheet of a workbook."""
-    main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-    with zipfile.ZipFile(BytesIO(content)) as book:
-        shared: list[str] = []
-        if "xl/sharedStrings.xml" in book.namelist():
-            root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
-            shared = ["".join(t.text or "" for t in si.iter(f"{main}t")) for si in root]
-        sheets = sorted(n for n in book.namelist() if re.match(r"xl/worksheets/sheet\d+\.xml", n))
-        sheet = ElementTree.fromstring(book.read(sheets[0]))
-    rows = []
-    for row in sheet.iter(f"{main}row"):
-        cells: dict[int, str | None] = {}
-        for place, cell in enumerate(row):
-            letters = re.match(r"[A-Z]+", cell.get("r", ""))
-            if letters:
-                place = 0
-                for ch in letters.group():
-                    place = place * 26 + ord(ch) - 64
-                place -= 1
-            value = cell.find(f"{main}v")
-            if cell.get("t") == "inlineStr":
-                cells[place] = "".join(t.text or "" for t in cell.iter(f"{main}t"))
-            elif value is not None and cell.get("t") == "s":
-                cells[place] = shared[int(value.text)]
-            elif value is not None and cell.get("t") == "b":
-                cells[place] = "true" if value.text == "1" else "false"
-            elif value is not None:
-                cells[place] = value.text
-        rows.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])
-    return rows
+def _books_through_spark(files: DataFrame, sheet: str | None) -> DataFrame:
+    """Books that only Spark can open: each comes as bytes, and its sheet is read from them as a stream."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, zipfile.ZipFile]]:
+        for batch in batches:
+            for path, content in zip(*batch.columns):
+                yield path.as_py(), zipfile.ZipFile(BytesIO(content.as_py()))
+
+    def heads_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, book in opened(batches):
+            head = workbooks.read_head(path, book, sheet)
+            if head is not None:
+                yield pa.RecordBatch.from_pylist([{"path": path, "names": head.names}])
+
+    content = files.select("path", "content")
+    # One row for each different header.
+    heads = content.mapInArrow(heads_of, "path string, names array<string>").groupBy("names")
+    known = heads.agg(F.min("path").alias("path")).orderBy("path").collect()
+    columns = list(dict.fromkeys(name for r in known for name in r["names"]))
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, book in opened(batches):
+            head = workbooks.read_head(path, book, sheet)
+            if head is not None:
+                yield from workbooks.batches_of(book, head, columns, 1, None)
+
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    return content.mapInArrow(rows_of, schema) if columns else _nothing(files.sparkSession)
+
+
+def _nothing(spark: SparkSession) -> DataFrame:
+    return local_table(spark, [], "empty string").drop("empty")
 
 
 def read_excel(
-    spark: SparkSession, path: str, na_tokens: str | list[str] | None = None
+    spark: SparkSession, path: str, na_tokens: str | list[str] | None = None, sheet: str | None = None
 ) -> DataFrame:
-    """A workbook or a folder of workbooks with the same header; each is read in one task."""
+    """A workbook or a folder of workbooks: the first sheet of each, or that of the name.
+
+    Sheets of files that tasks can open themselves are split by rows. Of other file systems Spark brings
+    each book to one task.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
+    paths = files.select("path")
+    first = paths.first()
+    if first is None:
+        return _nothing(spark)
+    if workbooks.local_path(first["path"]) is None:
+        return infer_text_types(_books_through_spark(files, sheet), na_tokens)
 
-    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch["content"]:
-                header, *rows = _cell_texts(bytes(content)) or [[]]
-                width = len(header)
-                cells = [(r + [None] * width)[:width] for r in rows]
-                yield pd.DataFrame({"header": [header] * len(cells), "cells": cells})
-
-    table = files.select("content").mapInPandas(rows_of, "header array<string>, cells array<string>")
-    first = table.select("header").first()
-    if first is None:
-        return local_table(spark, [], "empty string").drop("empty")
-    names = list(first["header"])
-    # Columns are matched by name, so files may order them differently.
-    columns = [
-        F.get("cells", F.array_position("header", F.lit(c)).cast("int") - 1).alias(c) for c in names
-    ]
-    return infer_text_types(table.select(*columns), na_tokens)
+            heads = [workbooks.head_of_file(p, sheet) for p in batch.column(0).to_pylist()]
+            texts = [json.dumps(h) for h in heads if h is not None]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["head"])
+
+    # A row for each book: where its names are and how far it goes.
+    heads = sorted((json.loads(r["head"]) for r in paths.mapInArrow(look, "head string").toLocalIterator()))
+    spark.dataSource.register(workbooks.WorkbookSource)
+    rows = spark.read.format("workbook").option("heads", json.dumps(heads)).load()
+    return infer_text_types(rows, na_tokens) if rows.columns else _nothing(spark)
 
 
 Reader = Callable[[SparkSession, str], DataFrame]
