@@ -29,7 +29,7 @@ def text_digests(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     keep = [c for c in docs.columns if c not in (text, DIGEST)] if keep is None else keep
     # Places, not names, tell the columns apart inside the task.
     numbered = docs.select(
-        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(text).alias("digest")
+        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("digest")
     )
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,11 +108,13 @@ def keep_one_of_each(docs: DataFrame, index: DigestIndex, batch: str) -> DataFra
     digests = materialise(text_digests(docs, keep=["doc_id"]), "digests")
     index.add(digests, batch)
     stay = index.verdicts(digests, batch).filter("kept")
+    # Numbers instead of names: a document may have a column of any name, those used here included.
     names = docs.columns
-    tagged = text_digests(docs.withColumn("__whole", F.col("text")))
-    both = [F.col(f"t.`{c}`") if c != "text" else F.col("t.__whole").alias("text") for c in names]
-    same = F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col(f"t.{DIGEST}") == F.col(f"s.{DIGEST}"))
-    joined = tagged.alias("t").join(stay.select("doc_id", DIGEST).alias("s"), same)
-    return joined.select(*both, F.col(f"t.{DIGEST}").alias("__digest")).dropDuplicates(
-        ["doc_id", "__digest"]
-    ).select(*[F.col(f"`{c}`") for c in names])
+    numbers = [f"c{i}" for i in range(len(names))]
+    numbered = docs.select(
+        *[F.col(f"`{c}`").alias(n) for c, n in zip(names, numbers)], F.col("doc_id").alias("id"), F.col("text").alias("text")
+    )
+    tagged = text_digests(numbered, keep=[*numbers, "id"])
+    found = stay.select(F.col("doc_id").alias("stay_id"), F.col(DIGEST).alias("stay_digest"))
+    same = F.col("id").eqNullSafe(F.col("stay_id")) & (F.col(DIGEST) == F.col("stay_digest"))
+    return tagged.join(found, same).dropDuplicates(["id", DIGEST]).select(*numbers).toDF(*names)

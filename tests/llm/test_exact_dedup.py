@@ -58,6 +58,17 @@ def test_extra_columns_and_empty_tables(spark, documents, index):
     assert keep_one_of_each(documents(), index, "none").collect() == []
 
 
+@pytest.mark.parametrize("name", ["text_sha256", "__digest", "__whole", "digest", "id", "c0", "stay_id", "keep_id", "group_size", "batch", "copies", "number"])
+def test_any_other_column_comes_back_as_it_was(spark, index, name):
+    rows = [(1, "A b", f"own {name} 1"), (2, "a B", f"own {name} 2"), (3, None, None)]
+    for order in (f"doc_id bigint, text string, `{name}` string", f"`{name}` string, text string, doc_id bigint"):
+        at = order.replace("`", "").replace(" bigint", "").replace(" string", "").split(", ")
+        given = [tuple({"doc_id": i, "text": t, name: x}[c] for c in at) for i, t, x in rows]
+        kept = keep_one_of_each(spark.createDataFrame(given, order), index, "batch")
+        assert kept.columns == at
+        assert sorted(map(tuple, kept.select("doc_id", "text", f"`{name}`").collect())) == rows[1:]
+
+
 def test_index_side_of_the_anti_join_is_not_shuffled(documents, index):
     digests = text_digests(documents((1, "a")), keep=["doc_id"])
     index.add(digests, "b")
