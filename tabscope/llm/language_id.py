@@ -7,8 +7,9 @@ that language after normalising the likelihoods (0 to 1). Ties go to the languag
 documents, then to the smaller label.
 
 The classifier is fitted on a bounded sample of labelled rows: at most ``DOCS_PER_LANGUAGE`` whole
-documents of each language, chosen by a hash of their id, of which the ``MAX_WORDS`` most frequent
-(language, word) pairs and the ``MAX_GRAMS`` most frequent (language, n-gram) pairs are kept. Of more than
+documents of each language, chosen by a hash of their id, of which ``MAX_WORDS`` (language, word) pairs and
+``MAX_GRAMS`` (language, n-gram) pairs are kept: of each language its most frequent ones, ties by the item. The
+languages share a bound evenly, and what one does not use goes to the others. Of more than
 ``MAX_LANGUAGES`` labels those with most documents count. These bounds also bound what is broadcast. Prediction reads every row and the whole text.
 
 Whether a text is in a learned language at all is not a matter of those shares, which some language
@@ -69,7 +70,8 @@ def _words(text: str | None) -> list[str]:
 
 
 def _grams(word: str, n: int) -> list[str]:
-    padded = f" {word} "
+    """A word's n-grams, its ends marked by blanks; a blank alone says nothing and is none."""
+    padded = f" {word} " if n > 1 else word
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
@@ -109,18 +111,39 @@ def _counted(frame: DataFrame, expand) -> DataFrame:
     return rows.groupBy("lang", "item").agg(F.sum("n").alias("n"))
 
 
+def _shares(sizes: dict[str, int], most: int) -> dict[str, int]:
+    """How many items each language may keep: even shares, the smaller languages' rest for the larger."""
+    found, left = {}, most
+    for i, lang in enumerate(sorted(sizes, key=lambda x: (sizes[x], x))):
+        found[lang] = min(sizes[lang], left // (len(sizes) - i))
+        left -= found[lang]
+    return found
+
+
 def _most_frequent(counted: DataFrame, most: int) -> pa.Table:
-    """(lang, item, n) with the largest counts, ``most`` rows at most; equal counts stay or go together."""
-    # One row for each count that occurs.
-    sizes = {r["n"]: r["rows"] for r in counted.groupBy("n").agg(F.count("*").alias("rows")).collect()}
-    total, least = 0, None
-    for n in sorted(sizes, reverse=True):
-        total += sizes[n]
-        if total > most:
-            break
-        least = n
-    kept = counted.filter(F.lit(False) if least is None else F.col("n") >= least)
-    return kept.select("lang", "item", "n").toArrow()
+    """(lang, item, n): of each language the items with the largest counts, ties by item, ``most`` rows in all."""
+    # One row for each language and count that occurs.
+    rows = counted.groupBy("lang", "n").agg(F.count("*").alias("rows")).collect()
+    by_count: dict[str, dict[int, int]] = {}
+    for r in rows:
+        by_count.setdefault(r["lang"], {})[r["n"]] = r["rows"]
+    limits = []
+    for lang, share in _shares({x: sum(c.values()) for x, c in by_count.items()}, most).items():
+        left, least = share, None
+        for n in sorted(by_count[lang], reverse=True):
+            least = n
+            if by_count[lang][n] >= left:
+                break
+            left -= by_count[lang][n]
+        limits.append((lang, least, left))
+    schema = "lang string, least long, left long"
+    limited = counted.join(F.broadcast(counted.sparkSession.createDataFrame(limits, schema)), "lang")
+    above = limited.filter("n > least").select("lang", "item", "n")
+    # The items that share the last count: as many as the language has room for.
+    order = Window.partitionBy("lang").orderBy("item")
+    ties = limited.filter("n = least").withColumn("place", F.row_number().over(order))
+    ties = ties.filter((F.col("place") <= F.col("left")) & (F.col("place") <= max(1, most)))
+    return above.unionAll(ties.select("lang", "item", "n")).toArrow()
 
 
 def _log_frequencies(
@@ -196,11 +219,11 @@ def with_usual_shares(docs: DataFrame, model: Model, per_language: int = USUAL_D
 
     The n-grams of a document are not counted for itself, as if it had not been learned from.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = _sent(docs, model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
-        place = {x: i for i, x in enumerate(sent.value.languages)}
+        scorer = Scorer(Model(*sent.value))
+        place = {x: i for i, x in enumerate(scorer.model.languages)}
         for batch in batches:
             langs, texts = (c.to_pylist() for c in batch.columns)
             shares = [scorer.known_share(t, place[x], learned=True) for x, t in zip(langs, texts)]
@@ -213,6 +236,12 @@ def with_usual_shares(docs: DataFrame, model: Model, per_language: int = USUAL_D
     return model._replace(usual=[found.get(x, 0.0) for x in model.languages])
 
 
+def _sent(docs: DataFrame, model: Model):
+    """The model as plain lists, dicts and arrays: a broadcast names the classes of what it holds, and
+    executors need not have this package."""
+    return docs.sparkSession.sparkContext.broadcast(tuple(model))
+
+
 class Scorer:
     """Sums of word scores by language, inside a task."""
 
@@ -305,11 +334,11 @@ def has_letter(text: Column) -> Column:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score for every row; only the text is looked at."""
     rows = docs.select("doc_id", "text", has_letter(F.col("text")).alias("letters"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = _sent(docs, model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
-        languages = sent.value.languages
+        scorer = Scorer(Model(*sent.value))
+        languages = scorer.model.languages
         for batch in batches:
             names, scores = [], []
             for text, letters in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -345,7 +374,7 @@ def keep_recognised(docs: DataFrame, model: Model, least_score: float = 0.5) ->
     """The rows, with all columns, whose text is in one of the model's languages by at least that share
     and has the n-grams of that language."""
     names = docs.columns
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = _sent(docs, model)
     numbered = docs.select(
         *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)],
         has_letter(F.col("text")).alias("letters"),
@@ -353,11 +382,11 @@ def keep_recognised(docs: DataFrame, model: Model, least_score: float = 0.5) ->
     text_at = names.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
+        scorer = Scorer(Model(*sent.value))
         for batch in batches:
             keep = []
             for text, letters in zip(batch.column(text_at).to_pylist(), batch.column(len(names)).to_pylist()):
-                keep.append(bool(letters and sent.value.languages) and scorer.recognised(text, least_score))
+                keep.append(bool(letters and scorer.model.languages) and scorer.recognised(text, least_score))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return numbered.mapInArrow(work, numbered.schema).drop("letters").toDF(*names)

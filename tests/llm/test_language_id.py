@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -65,7 +68,55 @@ def test_scores_follow_the_definition(documents):
     threes = {"x": Counter({" ab": 2, "ab ": 2, " cd": 1, "cd ": 1}), "y": Counter({" ab": 1, "ab ": 1, " ef": 2, "ef ": 2})}
     want = [np.log((threes[x][" ab"] + 0.5) / (6 + 0.5 * 7)) for x in ("y", "x")]
     assert scorer.unseen("abz") == pytest.approx(want)
-    assert scorer.unseen("水") == pytest.approx(model.gram_scores[model.grams[" "]])
+    assert " " not in model.grams and scorer.unseen("水") == pytest.approx([0, 0])
+
+
+def test_a_script_never_learned_gets_the_language_of_most_documents(documents):
+    docs = [(i, "die katze sass auf der matte", "de") for i in range(30)] + [(100 + i, "a cat is on it", "en") for i in range(9)]
+    model = fit(documents(*docs))
+    got = predict(documents((1, "政府は新しい法律を発表した " * 50), (2, "правительство " * 90)), model).collect()
+    assert {r.lang_pred for r in got} == {"de"} and all(r.score == pytest.approx(30 / 39) for r in got)
+
+
+@pytest.mark.parametrize("most", [1, 4, 7, 100, 10_000])
+def test_every_language_keeps_its_most_frequent_items(documents, most):
+    """Words that all occur once, and a rare language beside a large one."""
+    large = [(i, " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}x{chr(97 + j)}" for j in range(8)), "big") for i in range(60)]
+    docs = documents(*large, (900, "uno due uno", "rare"), (901, "uno tre", "rare"))
+    model = fit(docs, max_words=most)
+    of = lambda lang: sorted(w for w, i in model.words.items() if (len(w) == 5) == (lang == "big"))
+    share = min(3, most // 2)
+    assert of("rare") == sorted(["uno", "due", "tre"][:share])
+    everything = sorted(w for _, t, _ in large for w in t.split())
+    assert of("big") == everything[: most - share]
+
+
+def test_shares_of_a_bound():
+    assert language_id._shares({"a": 10, "b": 2, "c": 10}, 12) == {"b": 2, "a": 5, "c": 5}
+    assert language_id._shares({"a": 1, "b": 1}, 1) == {"a": 0, "b": 1}
+    assert language_id._shares({}, 5) == {}
+
+
+def test_executors_need_not_have_the_package(tmp_path):
+    """Only the driver's search path has it; workers start elsewhere."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    script = tmp_path / "driver.py"
+    script.write_text(
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+        "rows = [(i, 'the cat sat' if i % 2 else 'die katze sass', 'en' if i % 2 else 'de', 's', 9) for i in range(40)]\n"
+        "docs = s.createDataFrame(rows, 'doc_id long, text string, lang string, source string, n_chars long')\n"
+        "try:\n"
+        "    s.range(1).rdd.map(lambda _: __import__('tabscope')).collect(); print('importable')\n"
+        "except Exception: pass\n"
+        "from tabscope.llm import language_id as li\n"
+        "print(li.identify(docs).filter('lang_pred in (\"en\", \"de\")').count())\n"
+        "print(li.keep_recognised(docs, li.with_usual_shares(docs, li.fit(docs))).count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert out.stdout.split() == ["40", "40"], out.stderr[-2000:]
 
 
 def test_sample_is_bounded(documents):
