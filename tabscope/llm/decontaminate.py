@@ -7,8 +7,8 @@ text); a hit marks the stretch in which the item would lie, and Myers' bit-paral
 words as symbols and the item as a long bit vector, decides. Items go in blocks of bounded size, each
 block passing over all documents, so what is sent to the tasks does not grow with the benchmark.
 
-Words are runs of letters and digits, lower-cased. Items of fewer than ``LEAST_WORDS`` words are not
-searched: so short a text is no evidence. A missing text has no words. Items with equal words each
+Words are runs of letters and digits, lower-cased. Items of fewer than ``least_words`` words are not
+searched, 5 unless told otherwise: so short a text is no evidence. A missing text has no words. Items with equal words each
 match on their own. Repeated document rows each report their matches.
 """
 
@@ -82,13 +82,13 @@ def passage(item: list[str], stretch: list[str]) -> tuple[int, int, int]:
 class Finder:
     """The pieces of some items in one automaton."""
 
-    def __init__(self, items: list[tuple], share: float):
+    def __init__(self, items: list[tuple], share: float, least_words: int = LEAST_WORDS):
         self.items, self.budgets = {}, {}
         self.automaton = ahocorasick.Automaton()
         hits: dict[str, list[tuple]] = {}
         for key, text in items:
             words = words_of(text)
-            if len(words) < LEAST_WORDS:
+            if len(words) < max(1, least_words):
                 continue
             budget = int(share * len(words) + 1e-9)
             self.items[key], self.budgets[key] = words, budget
@@ -153,6 +153,7 @@ def find_passages(
     share: float = EDIT_SHARE,
     most_items: int = ITEMS_PER_BLOCK,
     most_bytes: int = BYTES_PER_BLOCK,
+    least_words: int = LEAST_WORDS,
 ) -> DataFrame:
     """(doc_id, item_id, distance, item_words, first_word, n_words) for every document row and item
     that it holds, at its best passage (the first of equals); words count from 0."""
@@ -170,7 +171,7 @@ def find_passages(
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            finder = Finder(list(enumerate(t for _, t in sent.value)), share)
+            finder = Finder(list(enumerate(t for _, t in sent.value)), share, least_words)
             for batch in batches:
                 found = []
                 for i, text in enumerate(batch.column(1).to_pylist()):
@@ -186,7 +187,9 @@ def find_passages(
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
+def drop_contaminated(
+    docs: DataFrame, items: DataFrame, share: float = EDIT_SHARE, least_words: int = LEAST_WORDS
+) -> DataFrame:
     """The rows, with all their columns, in which no item is found."""
     names = docs.columns
     text_at = names.index("text")
@@ -195,7 +198,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, share: float = EDIT_SHA
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            finder = Finder(list(enumerate(t for _, t in sent.value)), share)
+            finder = Finder(list(enumerate(t for _, t in sent.value)), share, least_words)
             for batch in batches:
                 texts = batch.column(text_at).to_pylist()
                 yield batch.filter(pa.array([next(finder.matches(t), None) is None for t in texts], pa.bool_()))

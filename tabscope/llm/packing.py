@@ -81,8 +81,11 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
 class LocalSearch:
     """Bins of a block under moves and exchanges that raise the sum of squared fills."""
 
-    def __init__(self, sizes: np.ndarray, bins: list[list[int]], capacity: int):
+    def __init__(
+        self, sizes: np.ndarray, bins: list[list[int]], capacity: int, tries: int = TRIES, paired: int = PAIRED
+    ):
         self.sizes, self.bins, self.capacity = sizes.astype(np.int64), bins, capacity
+        self.tries, self.paired = tries, paired
         self.fill = np.array([int(self.sizes[b].sum()) for b in bins], np.int64)
         self.where = np.zeros(len(sizes), np.int64)
         for b, members in enumerate(bins):
@@ -100,7 +103,7 @@ class LocalSearch:
         first, second = [], []
         for b in np.flatnonzero(self.fill < self.capacity):
             members = np.array(self.bins[b])
-            if 2 <= len(members) <= PAIRED:
+            if 2 <= len(members) <= self.paired:
                 i, j = np.triu_indices(len(members), 1)
                 first.append(members[i])
                 second.append(members[j])
@@ -153,7 +156,7 @@ class LocalSearch:
         least = -(-int(self.sizes.sum()) // self.capacity)
         settled = self.fill >= self.capacity
         failed = 0
-        while int((self.fill > 0).sum()) > least and failed < TRIES:
+        while int((self.fill > 0).sum()) > least and failed < self.tries:
             open_bins = np.flatnonzero((self.fill > 0) & ~settled)
             if not len(open_bins):
                 break
@@ -167,13 +170,19 @@ class LocalSearch:
         return [b for b in self.bins if b]
 
 
-def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
+def pack(sizes: np.ndarray, capacity: int = CAPACITY, tries: int = TRIES, paired: int = PAIRED) -> list[list[int]]:
     """Piece numbers by bin."""
-    return LocalSearch(sizes, best_fit(sizes, capacity), capacity).run()
+    return LocalSearch(sizes, best_fit(sizes, capacity), capacity, tries, paired).run()
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
-    """The pieces with sequence_id and offset. Ids are unique, in no order."""
+def pack_pieces(
+    pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, tries: int = TRIES, paired: int = PAIRED
+) -> DataFrame:
+    """The pieces with sequence_id and offset. Ids are unique, in no order.
+
+    The search of a block ends at the least number of bins that its tokens need, or where ``tries``
+    donors in a row could not be emptied; bins of more than ``paired`` pieces offer no two for one.
+    """
     n = pieces.count()
     names = pieces.columns
     length_at = names.index("length")
@@ -190,7 +199,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK)
             full = np.flatnonzero(sizes >= capacity)
             rest = np.flatnonzero(sizes < capacity)
             bins = [[i] for i in full.tolist()]
-            bins += [rest[b].tolist() for b in pack(sizes[rest], capacity)] if len(rest) else []
+            bins += [rest[b].tolist() for b in pack(sizes[rest], capacity, tries, paired)] if len(rest) else []
             for members in bins:
                 place = 0
                 for i in members:

@@ -129,3 +129,13 @@ def test_hits_across_blocks_keep_their_places():
     finder = Finder([(0, "a b c d e f g h i j")], 0.2)
     assert list(finder.matches("x x a b c d e f g h i j y")) == [(0, 0, 2, 10)]
     assert list(finder.matches("x a b c d e f g X i j a b c d e f g h i j")) == [(0, 0, 11, 10)]
+
+
+def test_how_short_an_item_may_be(documents, spark):
+    items = spark.createDataFrame([(1, "one two three"), (2, "one two three four five"), (3, "")], "item_id long, text string")
+    docs = documents((1, "zero one two three four"), (2, "zero one two three four five six"))
+    usual = {(r.doc_id, r.item_id) for r in find_passages(docs, items).collect()}
+    short = {(r.doc_id, r.item_id) for r in find_passages(docs, items, least_words=1).collect()}
+    assert usual == {(1, 2), (2, 2)} and short == {(1, 1), (2, 1), (1, 2), (2, 2)}
+    assert drop_contaminated(docs, items.filter("item_id = 1")).count() == 2
+    assert drop_contaminated(docs, items.filter("item_id = 1"), least_words=3).count() == 0
