@@ -8,12 +8,14 @@ Control strings inside texts and roles are escaped by one more backslash between
 unescaped by taking one away; backslashes and line breaks of a role are written as ``\\\\`` and ``\\n``.
 
 Prefix sums of turn tokens choose the spans: position p lies in cell p div C, where C is the budget
-less the system turn and the history. Turns that lie within one cell form a window of at most C tokens;
-a turn that crosses a border has a window of its own, so spans are aligned with turns and no turn is
-cut. Each window starts with the system turn, if the conversation has one, followed by the turns before
-the span that fit into ``history`` tokens. Repeated turns are context: only assistant turns of the span
-itself are targets, so every assistant text is under the loss mask exactly once. A window may exceed
-the budget only through a turn, or a system turn, that is itself too long.
+less the system turn and the history, but at least a quarter of the budget, if the system turn leaves that.
+Turns that lie within one cell form a span of at most C tokens; a turn that crosses a border has a span of
+its own, so spans are aligned with turns and no turn is cut. Each window starts with the system turn, if the
+conversation has one, followed by the turns before the span that fit into ``history`` tokens and into what
+system turn and span leave of the budget. Repeated turns are context: only assistant turns of the span
+itself are targets, so every assistant text is under the loss mask exactly once. A window exceeds
+the budget only where one turn and the system turn alone do; such a window repeats no history. With a
+system turn that exceeds it by itself, spans are a quarter of the budget.
 
 Prefix sums run over blocks of turns and are shifted by the blocks before them, and history is found by
 an equi-join of cells, so a conversation of any length is spread over tasks. Only the digests of a
@@ -108,20 +110,27 @@ def budgeted_windows(turns: DataFrame, budget: int = BUDGET, history: int = HIST
     )
     placed = rows.join(system, F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
     held = F.coalesce("system_tokens", F.lit(0))
-    # At least a quarter of the budget advances, however long the system turn is.
-    step = F.greatest(F.lit(budget - history) - held, F.lit(max(1, budget // 4))).cast("long")
+    quarter = F.lit(max(1, budget // 4))
+    step = F.greatest(F.lit(budget - history) - held, quarter)
+    # Beyond the budget by itself, a system turn does not narrow the spans any further.
+    step = F.when(held < budget, F.least(step, budget - held)).otherwise(quarter).cast("long")
     placed = placed.withColumn("step", step).withColumn("is_system", (F.col("no") == 0) & (F.col("role") == "system"))
     first, last = F.expr("at div step"), F.expr("(at + tokens - 1) div step")
     placed = placed.withColumn("cell", F.struct(first.alias("a"), last.alias("b")))
     # Of the turns that start in a cell, only the last can cross its border.
     number = F.expr("2 * cell.a + int(cell.a < cell.b)").cast("long").alias("window")
-    spans = placed.groupBy("conv_id", "cell").agg(F.min("at").alias("from"), F.min("no").alias("from_no"))
+    left = F.lit(budget) - F.max(held) - F.sum("tokens")
+    spans = placed.groupBy("conv_id", "cell").agg(
+        F.min("at").alias("from"),
+        F.min("no").alias("from_no"),
+        F.greatest(F.lit(0), F.least(F.lit(history), left)).alias("room"),
+    )
     spans = spans.select("*", number)
     own = placed.select(
         "conv_id", number, "no", "role", "body", "tokens", F.lit(False).alias("repeated")
     )
-    # Turns that end at most ``history`` tokens before a span begins: those of the same or the last cell
-    # of ``history`` tokens, counted by where they end.
+    # Turns that begin at most ``room`` tokens before a span does, and so end less than ``history`` before:
+    # those of the same or the last cell of ``history`` tokens, counted by where they end.
     wide = max(1, history)
     ends = placed.filter("NOT is_system").select(
         F.col("conv_id").alias("c"),
@@ -129,13 +138,13 @@ def budgeted_windows(turns: DataFrame, budget: int = BUDGET, history: int = HIST
         F.expr(f"(at + tokens) div {wide}").alias("end_cell"),
     )
     near = F.explode(F.expr(f"array(`from` div {wide}, `from` div {wide} - 1)")).alias("at_cell")
-    later = spans.filter("from_no > 0").select("conv_id", "window", "from", "from_no", near)
+    later = spans.filter("from_no > 0").select("conv_id", "window", "from", "from_no", "room", near)
     repeated = later.join(
         ends,
         F.col("conv_id").eqNullSafe(F.col("c"))
         & (F.col("at_cell") == F.col("end_cell"))
         & (F.col("no") < F.col("from_no"))
-        & (F.col("at") >= F.col("from") - history),
+        & (F.col("at") >= F.col("from") - F.col("room")),
     ).select("conv_id", "window", "no", "role", "body", "tokens", F.lit(True).alias("repeated"))
     kept_system = (
         spans.filter("from_no > 0")
@@ -197,8 +206,8 @@ def read_loss(formatted: Column, loss: Column) -> Column:
 
 
 def conversation_digests(windows: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars and n_windows, read back
-    from the formatted windows."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_windows and max_tokens (of
+    the longest window), read back from the formatted windows."""
     turns = read_turns(F.col("formatted"))
     turns = F.slice(turns, F.col("n_repeated") + 1, F.size(turns))
     said = F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
@@ -209,16 +218,18 @@ def conversation_digests(windows: DataFrame) -> DataFrame:
         F.array_join(said, "").alias("said"),
         F.array_join(read_loss(F.col("formatted"), F.col("loss")), "").alias("loss"),
         F.length("formatted").cast("long").alias("chars"),
+        "n_tokens",
     )
     part = F.struct("window", "said", "loss")
     rows = read.groupBy("conv_id").agg(
         F.sum("n_turns").cast("long").alias("n_turns"),
         F.sum("chars").alias("formatted_chars"),
         F.count("*").alias("n_windows"),
+        F.max("n_tokens").alias("max_tokens"),
         F.array_sort(F.collect_list(part)).alias("parts"),
     )
     rows = rows.select(
-        "conv_id", "n_turns", "formatted_chars", "n_windows",
+        "conv_id", "n_turns", "formatted_chars", "n_windows", "max_tokens",
         F.array_join("parts.said", "").alias("said"), F.array_join("parts.loss", "").alias("loss"),
     )
     return rows.select(
@@ -229,4 +240,5 @@ def conversation_digests(windows: DataFrame) -> DataFrame:
         F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         "formatted_chars",
         "n_windows",
+        "max_tokens",
     )

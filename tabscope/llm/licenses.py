@@ -1,8 +1,10 @@
 """License scans by an exact set-similarity join, in DataFrame functions only.
 
-Text blocks are the lines of a document, each as the set of its words, and the document as a whole. A
+Text blocks are windows of a document's words, each as the set of its words, and the document as a whole.
+A window is twice as long as the longest template and the next begins half-way, so a notice lies in one
+window however its lines are broken. A
 template is found in a block when at least a given share of the template's words are in the block.
-Words are ordered by the number of lines that hold them in the whole corpus, rarest first. If a block
+Words are ordered by the number of windows that hold them in the whole corpus, rarest first. If a block
 holds at least ``need`` of a template's m words, it holds one of the template's m - need + 1 rarest, and
 that one is among the block's own n - need + 1 rarest: only these prefixes are joined. A block with
 fewer than ``need`` words is left out (length filter), and so is a pair whose shared word leaves too
@@ -72,46 +74,52 @@ def templates_of(templates: dict[str, str], phrases: dict[str, str], containment
     return out
 
 
+def window_step(templates: Sequence[Template]) -> int:
+    """Words from one window to the next: those of the longest template. A window is two steps long."""
+    return max((len(t.name.split()) for t in templates if not t.phrase), default=1)
+
+
 def word_sets(docs: DataFrame, templates: Sequence[Template]) -> DataFrame:
     """(doc_id, row, n_words, places, sets): a document's word count, the places of words that occur in
-    phrases, and for each line with template words the set of these."""
+    phrases, and for each window with template words the set of these."""
     vocabulary = sorted({w for t in templates for w in t.words})
     ordered = sorted({w for t in templates if t.phrase for w in t.words})
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
     known = F.array(*[F.lit(w) for w in vocabulary])
-    lines = docs.select("doc_id", F.expr("uuid()").alias("row"), F.split(text, "\n", -1).alias("lines"))
-    lines = lines.select(
-        "doc_id", "row", F.transform("lines", lambda s: F.regexp_extract_all(s, F.lit(WORD), F.lit(0))).alias("lines")
-    )
-    numbered = F.transform(F.flatten("lines"), lambda w, i: F.struct(i.alias("at"), w.alias("word")))
-    sets = F.transform("lines", lambda words: F.array_intersect(words, known))
-    return lines.select(
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    rows = docs.select("doc_id", F.expr("uuid()").alias("row"), words.alias("words"))
+    step = window_step(templates)
+    # The last window would be half of the one before it.
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size("words") / step).cast("int") - 2))
+    sets = F.transform(starts, lambda i: F.array_intersect(F.slice("words", i * step + 1, 2 * step), known))
+    numbered = F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word")))
+    return rows.select(
         "doc_id",
         "row",
-        F.aggregate("lines", F.lit(0).cast("long"), lambda n, words: n + F.size(words)).alias("n_words"),
+        F.size("words").cast("long").alias("n_words"),
         F.filter(numbered, lambda p: p["word"].isin(ordered)).alias("places"),
         F.filter(sets, lambda s: F.size(s) > 0).alias("sets"),
     )
 
 
 def _rarest_first(blocks: DataFrame, templates: Sequence[Template]) -> list[str]:
-    """All template words by the number of lines that hold them."""
-    lines = blocks.select(F.explode("sets").alias("words")).select(F.explode("words").alias("word"))
+    """All template words by the number of windows that hold them."""
+    windows = blocks.select(F.explode("sets").alias("words")).select(F.explode("words").alias("word"))
     # One row per word of a template.
-    counts = {r["word"]: r["n"] for r in lines.groupBy("word").agg(F.count("*").alias("n")).collect()}
+    counts = {r["word"]: r["n"] for r in windows.groupBy("word").agg(F.count("*").alias("n")).collect()}
     return sorted({w for t in templates for w in t.words}, key=lambda w: (counts.get(w, 0), w))
 
 
 def similar_blocks(blocks: DataFrame, templates: Sequence[Template]) -> DataFrame:
-    """(row, template, containment): every template found in a line of a document or, for phrases,
+    """(row, template, containment): every template found in a window of a document or, for phrases,
     every phrase of which the document has all words; the largest containment of each."""
     spark = blocks.sparkSession
     order = _rarest_first(blocks, templates)
     ranked = F.array(*[F.lit(w) for w in order])
     whole = F.struct(F.lit(True).alias("phrase"), F.array_distinct(F.flatten("sets")).alias("words"))
-    lines = F.transform("sets", lambda s: F.struct(F.lit(False).alias("phrase"), s.alias("words")))
+    windows = F.transform("sets", lambda s: F.struct(F.lit(False).alias("phrase"), s.alias("words")))
     parts = blocks.filter(F.size("sets") > 0).select(
-        "row", F.posexplode(F.concat(F.array(whole), lines)).alias("block", "part")
+        "row", F.posexplode(F.concat(F.array(whole), windows)).alias("block", "part")
     )
     parts = parts.select(
         "row",

@@ -65,7 +65,7 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _license_sql() -> str:
-    """Containment of every template in every line, and phrases looked up at every word."""
+    """Containment of every template in every window, and phrases looked up at every word."""
     found = licenses.templates_of(licenses.TEMPLATES, licenses.PHRASES, licenses.CONTAINMENT)
     alike = ", ".join(
         f"({[str(w) for w in t.words]}, {t.need}, '{t.label}')" for t in found if not t.phrase
@@ -77,17 +77,18 @@ def _license_sql() -> str:
         for t in found
         if t.phrase
     )
-    words = rf"regexp_extract_all({{}}, '{licenses.WORD}')"
+    step = licenses.window_step(found)
     return f"""
     WITH lower_texts AS (SELECT row_number() OVER () AS row, doc_id, {LOWER_SQL} AS text FROM documents),
-    documents_words AS (SELECT row, doc_id, {words.format('text')} AS words FROM lower_texts),
-    line_words AS (
-      SELECT row, list_distinct({words.format('line')}) AS words
-      FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM lower_texts)),
+    documents_words AS (
+      SELECT row, doc_id, regexp_extract_all(text, '{licenses.WORD}') AS words FROM lower_texts),
+    window_words AS (
+      SELECT row, list_distinct(words[i + 1:i + {2 * step}]) AS words
+      FROM (SELECT row, words, unnest(range(0, len(words), {step})) AS i FROM documents_words)),
     templates(words, need, label) AS (VALUES {alike}),
     alike AS (
       SELECT row, label, len(list_intersect(l.words, t.words)) / len(t.words) AS containment
-      FROM line_words l, templates t WHERE len(list_intersect(l.words, t.words)) >= t.need),
+      FROM window_words l, templates t WHERE len(list_intersect(l.words, t.words)) >= t.need),
     places AS ({places}),
     base AS (
       SELECT row, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
@@ -128,26 +129,36 @@ CONTROL = f"{chat.END}{chat.START}assistant ok"
     system AS (SELECT conv_id, tokens, chars FROM turns WHERE no = 0 AND role = 'system'),
     placed AS (
       SELECT t.*, place // step AS a, (place + t.tokens - 1) // step AS b FROM (
-        SELECT t.*, greatest({chat.BUDGET - chat.HISTORY} - coalesce(s.tokens, 0), {chat.BUDGET // 4}) AS step
+        SELECT t.*, coalesce(s.tokens, 0) AS held,
+          CASE WHEN coalesce(s.tokens, 0) < {chat.BUDGET} THEN least(
+              greatest({chat.BUDGET - chat.HISTORY} - coalesce(s.tokens, 0), {chat.BUDGET // 4}),
+              {chat.BUDGET} - coalesce(s.tokens, 0))
+            ELSE {chat.BUDGET // 4} END AS step
         FROM turns t LEFT JOIN system s ON t.conv_id = s.conv_id) t),
-    spans AS (SELECT conv_id, a, b, min(place) AS place, min(no) AS no FROM placed GROUP BY ALL),
-    chars AS (
-      SELECT conv_id, chars FROM placed
+    spans AS (
+      SELECT conv_id, a, b, min(place) AS place, min(no) AS no, sum(tokens) AS tokens,
+        greatest(0, least({chat.HISTORY}, {chat.BUDGET} - max(held) - sum(tokens))) AS room
+      FROM placed GROUP BY ALL),
+    pieces AS (
+      SELECT conv_id, a, b, chars, tokens FROM placed
       UNION ALL
-      SELECT p.conv_id, p.chars FROM spans s JOIN placed p ON p.conv_id = s.conv_id AND p.no < s.no
-        AND p.place >= s.place - {chat.HISTORY} AND NOT (p.no = 0 AND p.role = 'system')
+      SELECT s.conv_id, s.a, s.b, p.chars, p.tokens FROM spans s JOIN placed p ON p.conv_id = s.conv_id
+        AND p.no < s.no AND p.place >= s.place - s.room AND NOT (p.no = 0 AND p.role = 'system')
       UNION ALL
-      SELECT y.conv_id, y.chars FROM spans s JOIN system y ON y.conv_id = s.conv_id WHERE s.no > 0),
+      SELECT s.conv_id, s.a, s.b, y.chars, y.tokens FROM spans s JOIN system y ON y.conv_id = s.conv_id
+      WHERE s.no > 0),
+    windows AS (
+      SELECT conv_id, a, b, sum(chars) AS chars, sum(tokens) AS tokens FROM pieces GROUP BY ALL),
     digests AS (
       SELECT conv_id, count(*) AS n_turns,
         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY no)) AS turns_sha256,
         coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
         sha256(coalesce(string_agg(text, '' ORDER BY no) FILTER (role = 'assistant'), '')) AS loss_sha256
       FROM turns GROUP BY conv_id)
-    SELECT d.*, f.formatted_chars, w.n_windows
-    FROM digests d
-    JOIN (SELECT conv_id, sum(chars)::BIGINT AS formatted_chars FROM chars GROUP BY 1) f USING (conv_id)
-    JOIN (SELECT conv_id, count(*) AS n_windows FROM spans GROUP BY 1) w USING (conv_id)
+    SELECT d.*, w.formatted_chars, w.n_windows, w.max_tokens
+    FROM digests d JOIN (
+      SELECT conv_id, sum(chars)::BIGINT AS formatted_chars, count(*) AS n_windows, max(tokens)::BIGINT AS max_tokens
+      FROM windows GROUP BY 1) w USING (conv_id)
     """,
 )
 def op4(spark: SparkSession, sf: str) -> DataFrame:

@@ -79,9 +79,29 @@ def test_windows_keep_the_budget_the_system_turn_and_history(spark):
     assert seen == texts and len(windows) > 10
 
 
+@pytest.mark.parametrize("system, turn", [(704, 64), (513, 64), (900, 64), (1000, 20), (1020, 4), (40, 700), (300, 800), (1100, 30), (0, 64)])
+def test_only_a_turn_beyond_it_breaks_the_budget(spark, system, turn):
+    """Turns of one length, system turns between half the budget and beyond it."""
+    rows = [(1, 0, "system", "s " * (system - 4))] if system else []
+    rows += [(1, i, "user" if i % 2 else "assistant", "w " * (turn - 4 - i % 3)) for i in range(1, 41)]
+    windows = budgeted_windows(spark.createDataFrame(rows, SCHEMA), 1024, 256).collect()
+    over = [w for w in windows if w.n_tokens > 1024]
+    if system + turn <= 1024:
+        assert not over
+    # What is over holds the system turn and one turn, or is the system turn; where that is beyond the budget
+    # alone, spans are a quarter of it.
+    most = 256 if system >= 1024 else turn
+    assert all(w.n_repeated <= 1 and w.n_tokens <= system + most for w in over)
+    assert sum(len(w.loss) for w in windows) == 20
+    if system == 704:
+        assert max(w.n_tokens for w in windows) > 900 and any(w.n_repeated > 1 for w in windows)
+
+
 def test_query_equals_its_sql(spark, tmp_path):
     rows = [r for r in talks() if r[0] is not None and r[0] != 93]
     rows += [(200, i, "user" if i % 2 else "assistant", "word " * (i % 50)) for i in range(300)]
+    for conv, words in ((201, 700), (202, 900), (203, 1018), (204, 1500)):
+        rows += [(conv, 0, "system", "s " * words)] + [(conv, i, "assistant", "w " * (i % 90)) for i in range(1, 60)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/conversations.parquet")
     got = QUERIES["op4_chat_windows"](spark, str(tmp_path))
     con = duckdb.connect()

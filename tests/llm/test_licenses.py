@@ -31,6 +31,10 @@ def corpus():
     return rows
 
 
+def windows(words, step):
+    return [set(words[i : i + 2 * step]) for i in range(0, len(words), step)]
+
+
 def brute(rows):
     found = licenses.templates_of(licenses.TEMPLATES, licenses.PHRASES, licenses.CONTAINMENT)
     out = []
@@ -46,8 +50,8 @@ def brute(rows):
                     score = 1.0
                 starts += at
                 continue
-            for line in text.split("\n"):
-                shared = len(set(re.findall(licenses.WORD, line)) & set(t.words))
+            for window in windows(words, licenses.window_step(found)):
+                shared = len(window & set(t.words))
                 if shared >= licenses.CONTAINMENT * len(t.words) - 1e-9:
                     labels.add(t.label)
                     score = max(score, shared / len(t.words))
@@ -71,6 +75,28 @@ def test_the_usual_notices_are_labelled(documents):
     assert {r.score for r in rows} == {1.0}
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a\ncopy of this software and associated documentation files",
+    "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that",
+    "gpl": " * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public\n * License as published by",
+    "gpl-3.0": "This work is licensed under the\nGNU General\nPublic License,\nversion 3.",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy",
+    "apache-2.0": "Licensed\nunder\nthe\nApache\nLicense,\nVersion\n2.0",
+}
+
+
+@pytest.mark.parametrize("before", [0, 1, 21, 22, 23, 35, 44, 45, 400])
+def test_notices_broken_over_lines_are_labelled(spark, folder, before):
+    rows = list(enumerate("filler\n" * before + text + "\nmore " * 30 for text in WRAPPED.values()))
+    path = folder(*rows)
+    got = QUERIES["op3_license_scan"](spark, path).orderBy("doc_id").collect()
+    for label, r in zip(WRAPPED, got):
+        assert label in r.labels.split(",") and r.score == 1.0
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/documents.parquet/*.parquet')")
+    assert sorted(con.execute(SQL["op3_license_scan"]).fetchall()) == sorted(map(tuple, got))
+
+
 @pytest.mark.parametrize("containment", [0.3, 0.5, 1.0])
 def test_any_threshold(documents, containment):
     rows = corpus()
@@ -78,8 +104,9 @@ def test_any_threshold(documents, containment):
     want = {}
     for doc, text in rows:
         text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
-        lines = [set(re.findall(licenses.WORD, line)) for line in text.split("\n")]
-        shares = [len(line & set(t.split())) / len(set(t.split())) for line in lines for t in licenses.TEMPLATES]
+        step = max(len(t.split()) for t in licenses.TEMPLATES)
+        blocks = windows(re.findall(licenses.WORD, text), step)
+        shares = [len(b & set(t.split())) / len(set(t.split())) for b in blocks for t in licenses.TEMPLATES]
         want[doc] = max([s for s in shares if s >= containment - 1e-9], default=0.0)
     for r in got:
         assert r.score == pytest.approx(1.0 if r.n_base else want[r.doc_id])
