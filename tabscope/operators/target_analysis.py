@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscope.functions.columns import col, imbalance_band, position_in, share
 from tabscope.operators.describe import describe_numeric
 from tabscope.plans.kinds import clean, infer_kinds
 from tabscope.plans.local import local_table
+from tabscope.plans.scratch import materialise
+from tabscope.plans.widest import widest_pairs
 
 FEATURES_PER_PASS = 24
 
-SALTS = 64
-
 
 def class_distribution(df: DataFrame, target: str) -> DataFrame:
     """(class, count, pct): the percentage counts rows without target in the denominator."""
@@ -73,63 +73,11 @@ def cohens_d_ranking(stats: DataFrame, order: list[str], top: int = 10) -> DataF
     """(place, feature, cohens_d): largest distance between two classes, from
     ``per_class_feature_stats``.
 
-    Classes that cannot reach the distance of some pair already known are left out first: the known
-    pairs join every class with the one of smallest and of largest mean. The widest pair then joins a
-    class that no other beats in having both a smaller mean and a smaller std with one that no other
-    beats in a larger mean and a smaller std; only those are paired. Classes are compared inside
-    salted groups before the rest meet, so a feature's classes do not pass through one task.
+    The widest pair is found by branch and bound over cells of classes (``plans.widest``), whatever their
+    number and however spread and mean go together.
     """
-    usable = stats.filter(F.col("mean").isNotNull() & F.col("std").isNotNull()).withColumns(
-        {"flat": F.col("std") == 0, "salt": F.pmod(F.xxhash64("class"), F.lit(SALTS))}
-    )
-
-    def apart(m1, s1, m2, s2) -> Column:
-        pooled = F.sqrt((s1 * s1 + s2 * s2) / 2)
-        return F.coalesce(F.try_divide(F.abs(m1 - m2), pooled), F.lit(0.0))
-
-    own = F.struct("mean", "std")
-    # One row per feature of the schema.
-    ends = usable.groupBy("feature").agg(
-        F.min_by(own, "mean").alias("lo"), F.max_by(own, "mean").alias("hi"), F.min("std").alias("least")
-    )
-    mean, std = F.col("mean"), F.col("std")
-    placed = usable.join(F.broadcast(ends), "feature")
-    known = placed.groupBy("feature").agg(
-        F.max(
-            F.greatest(*[apart(mean, std, F.col(f"{e}.mean"), F.col(f"{e}.std")) for e in ("lo", "hi")])
-        ).alias("known")
-    )
-    reach = F.greatest(mean - F.col("lo.mean"), F.col("hi.mean") - mean)
-    bound = F.try_divide(reach, F.sqrt((std * std + F.col("least") * F.col("least")) / 2))
-    # Rounding must not cut the widest pair itself.
-    usable = placed.join(F.broadcast(known), "feature").filter(
-        bound.isNull() | (bound >= F.col("known") * (1 - 1e-9))
-    )
-
-    def unbeaten(rows: DataFrame, *group: str) -> DataFrame:
-        # Two classes without spread have distance 0 by definition, so they compete apart.
-        earlier = Window.partitionBy("feature", "flat", *group)
-        before = (Window.unboundedPreceding, -1)
-        by_low = earlier.orderBy("std", "mean", "class").rowsBetween(*before)
-        by_high = earlier.orderBy("std", F.desc("mean"), "class").rowsBetween(*before)
-        best_low, best_high = F.min("mean").over(by_low), F.max("mean").over(by_high)
-        marked = rows.withColumns(
-            {
-                "is_low": best_low.isNull() | (F.col("mean") < best_low),
-                "is_high": best_high.isNull() | (F.col("mean") > best_high),
-            }
-        )
-        return marked.filter("is_low OR is_high")
-
-    marked = unbeaten(unbeaten(usable, "salt"))
-    low = marked.filter("is_low").select(
-        "feature", F.col("mean").alias("m1"), F.col("std").alias("s1")
-    )
-    high = marked.filter("is_high").select(
-        "feature", F.col("mean").alias("m2"), F.col("std").alias("s2")
-    )
-    distance = apart(F.col("m1"), F.col("s1"), F.col("m2"), F.col("s2"))
-    widest = low.join(high, "feature").groupBy("feature").agg(F.max(distance).alias("d"))
+    stats = materialise(stats.select("feature", "mean", "std"), "class-stats")
+    widest = widest_pairs(stats)
     features = stats.select("feature").distinct()
     # One row per feature of the schema.
     best = Window.orderBy(F.desc("cohens_d"), position_in(order, F.col("feature")))

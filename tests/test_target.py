@@ -2,6 +2,7 @@ import pytest
 
 from tabscope.operators import target as tg
 from tabscope.plans.few import few_values, without_repeats
+from tabscope.plans.widest import widest_pairs
 from tabscope.operators import target_analysis as ta
 from tests.conftest import by
 
@@ -159,3 +160,48 @@ def test_widest_distance_among_two_sided_classes(spark):
         abs(a[2] - b[2]) / ((a[3] ** 2 + b[3] ** 2) / 2) ** 0.5 for a in rows for b in rows if a is not b
     )
     assert ta.cohens_d_ranking(stats, ["f"]).first()["cohens_d"] == pytest.approx(want)
+
+
+def _widest(rows):
+    """All pairs in blocks."""
+    import numpy as np
+
+    m, s = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    best = 0.0
+    for i in range(len(m)):
+        pooled = np.sqrt((s * s + s[i] * s[i]) / 2)
+        d = np.divide(np.abs(m - m[i]), pooled, out=np.zeros_like(m), where=pooled > 0)
+        best = max(best, d.max())
+    return best
+
+
+@pytest.mark.parametrize("kind", ["two-sided", "cloud", "heavy", "ties", "flat", "one"])
+def test_branch_and_bound_equals_all_pairs(spark, kind):
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    n = 3000
+    m = np.arange(n) - n / 2
+    rows = {
+        "two-sided": list(zip(m, 0.5 + np.abs(m) ** 1.01)),
+        "cloud": list(zip(r.normal(size=n), 0.1 + r.random(n))),
+        "heavy": list(zip(r.standard_cauchy(n) ** 3, np.exp(6 * r.normal(size=n)))),
+        "ties": list(zip(r.integers(0, 3, n) * 1.0, r.integers(0, 3, n) * 1.0)),
+        "flat": [(float(i), 0.0) for i in range(n)],
+        "one": [(1.5, 2.0)],
+    }[kind]
+    df = spark.createDataFrame([("f", float(a), float(b)) for a, b in rows] + [("g", 1.0, None)], "feature string, mean double, std double")
+    got = {x["feature"]: x for x in widest_pairs(df).collect()}
+    assert set(got) <= {"f"} and (got["f"]["d"] if got else 0.0) == pytest.approx(_widest(rows), rel=1e-12)
+    if got and n == len(rows):
+        assert got["f"]["compared"] < n * n / 10
+
+
+def test_compared_pairs_stay_few_for_many_two_sided_classes(spark):
+    """Spread grows in proportion to the mean on both sides: all classes are unbeaten."""
+    half = 50_000
+    df = spark.range(-half, half).selectExpr("'f' AS feature", "double(id) AS mean", "double(10 + abs(id)) AS std")
+    row = widest_pairs(df).first()
+    want = max((i + i) / (10 + i) for i in (half - 1, half)) * 1.0
+    assert row["d"] == pytest.approx(want, rel=1e-3) and row["d"] >= want * (1 - 1e-4)
+    assert row["compared"] < 4_000_000  # of 10 000 000 000
