@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +20,8 @@ from tabscope.plans.scratch import materialise
 from tabscope.plans.local import local_table
 
 VALUES_PER_PART = 200_000
+RANKED_VALUES = 2_000_000  # different values, over all columns, whose ranks are sent to the tasks: 32 MB
+PAIRS_PER_PASS = 128
 
 
 def correlation_matrix(
@@ -99,13 +105,8 @@ def _average_ranks(cells: DataFrame, side: str) -> DataFrame:
     )
 
 
-def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(col_a, col_b, n, rho) with ranks taken inside the rows that both columns share."""
-    spark = df.sparkSession
-    pairs = list(combinations(columns, 2))
-    if not pairs:
-        return local_table(spark, [], "col_a string, col_b string, n long, rho double")
-    numbers = df.select(*[col(c).try_cast("double").alias(c) for c in columns])
+def _by_pair(numbers: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(col_a, col_b, n, rho) with a ranking for each pair, over the rows that both columns share."""
     both = [
         F.when(
             col(a).isNotNull() & col(b).isNotNull(),
@@ -114,7 +115,7 @@ def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
         for a, b in pairs
     ]
     cells = (
-        clean(numbers, columns)
+        numbers
         .select(F.posexplode(F.array(*both)).alias("pair", "v"))
         .filter("v IS NOT NULL")
         .groupBy("pair", F.col("v.a").alias("a"), F.col("v.b").alias("b"))
@@ -144,6 +145,80 @@ def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def _with_ranks(numbers: DataFrame, columns: list[str]) -> DataFrame | None:
+    """The columns as average ranks, each ranked once over all rows that have it; None where there are more
+    than ``RANKED_VALUES`` different values to send to the tasks."""
+    values = F.array(*[col(c) for c in columns])
+    long = numbers.select(F.posexplode(values).alias("pair", "a")).filter("a IS NOT NULL")
+    # Counted in the tasks first: a value of a column crosses the shuffle once a task.
+    counted = materialise(long.groupBy("pair", "a").agg(F.count("*").alias("n")), "column-values")
+    if counted.count() > RANKED_VALUES:
+        return None
+    found = _average_ranks(counted, "a").toArrow().to_pandas()
+    ranks: list[tuple[np.ndarray, np.ndarray]] = []
+    for i in range(len(columns)):
+        own = found[found["pair"] == i].sort_values("a")
+        ranks.append((own["a"].to_numpy(float), own["rank_a"].to_numpy(float)))
+    sent = numbers.sparkSession.sparkContext.broadcast(ranks)
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for (known, rank), given in zip(sent.value, batch.columns):
+                x = given.to_numpy(zero_copy_only=False)
+                there = ~np.isnan(x)
+                found = np.full(len(x), np.nan)
+                found[there] = rank[np.searchsorted(known, x[there])]
+                out.append(pa.array(found, from_pandas=True))
+            yield pa.RecordBatch.from_arrays(out, batch.schema.names)
+
+    named = numbers.select(*[col(c).alias(f"x{i}") for i, c in enumerate(columns)])
+    return named.mapInArrow(ranked, named.schema).toDF(*columns)
+
+
+def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(col_a, col_b, n, rho) with ranks taken inside the rows that both columns share.
+
+    Columns that are missing in the same rows share their rows with each other, so each is ranked once for
+    all its pairs with them, and these are correlated as ranks. Only pairs of columns that are missing in
+    different rows are ranked for themselves, and those with too many values to send to the tasks.
+    """
+    spark = df.sparkSession
+    schema = "col_a string, col_b string, n long, rho double"
+    pairs = list(combinations(columns, 2))
+    if not pairs:
+        return local_table(spark, [], schema)
+    numbers = clean(df.select(*[col(c).try_cast("double").alias(c) for c in columns]), columns)
+    here = numbers.select(*[col(c).isNotNull().cast("double").alias(c) for c in columns])
+    shared = here.agg(*[F.sum(col(c)).alias(c) for c in columns]).first()
+    both = {(r["col_a"], r["col_b"]): r["rows"] for r in _rows_with_both(here, pairs)}
+    present = {c: int(shared[c] or 0) for c in columns}
+    # As many rows with both as with either: the same rows.
+    alike = [p for p in pairs if both[p] == present[p[0]] == present[p[1]] and both[p]]
+    out = []
+    if alike:
+        used = [c for c in columns if any(c in p for p in alike)]
+        ranks = _with_ranks(numbers, used)
+        if ranks is None:
+            alike = []
+        else:
+            out.append(pair_correlations(ranks, pairs=alike).select("col_a", "col_b", "n", F.col("r").alias("rho")))
+    rest = [p for p in pairs if p not in set(alike) and both[p]]
+    if rest:
+        out.append(_by_pair(numbers, rest))
+    return reduce(DataFrame.unionByName, out) if out else local_table(spark, [], schema)
+
+
+def _rows_with_both(here: DataFrame, pairs: list[tuple[str, str]]) -> list:
+    """Rows in which both columns are there, a row a pair of columns; plain sums, in a few passes."""
+    found = []
+    for start in range(0, len(pairs), PAIRS_PER_PASS):
+        chunk = pairs[start : start + PAIRS_PER_PASS]
+        row = here.agg(*[F.sum(col(a) * col(b)).alias(f"s{i}") for i, (a, b) in enumerate(chunk)]).first()
+        found += [{"col_a": a, "col_b": b, "rows": int(row[i] or 0)} for i, (a, b) in enumerate(chunk)]
+    return found
+
+
 def ordinal_spearman(
     df: DataFrame, encoded: list[str], subtypes: dict[str, str] | None = None
 ) -> DataFrame:

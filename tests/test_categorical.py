@@ -180,3 +180,43 @@ def test_feature_target_correlation(spark):
     df = spark.range(50).selectExpr("id AS size", "id % 7 AS rooms", "id * 1000.0D AS price", "1 AS flat")
     got = by(correlate.feature_target_correlation(df, "price"), "feature")
     assert got["size"]["r"] == 1.0 and got["size"]["place"] == 1 and got["flat"]["r"] == 0.0
+
+
+@pytest.mark.parametrize("bound", [2_000_000, 3])
+def test_columns_missing_in_the_same_rows_share_a_ranking(spark, monkeypatch, bound):
+    """Three kinds of missing rows; only pairs across them are ranked for themselves."""
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(correlate, "RANKED_VALUES", bound)
+    asked = []
+    real = correlate._by_pair
+    monkeypatch.setattr(correlate, "_by_pair", lambda numbers, pairs: (asked.extend(pairs), real(numbers, pairs))[1])
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({c: rng.integers(0, 5, 200) * 1.0 for c in "abcdefg"})
+    pdf["b"] += pdf["a"]
+    pdf["k"] = 1.0
+    pdf.loc[::3, ["c", "d"]] = None
+    pdf.loc[1::3, "e"] = None
+    pdf.loc[:150, "f"] = None
+    pdf.loc[150:, "g"] = None
+    df = spark.createDataFrame(pdf)
+    got = {(r["col_a"], r["col_b"]): r for r in correlate.spearman_pairs(df, list("abcdefgk")).collect()}
+    want = pdf.corr("spearman")
+    assert ("f", "g") not in got and len(got) == 27
+    for (a, b), r in got.items():
+        assert r["n"] == (pdf[a].notna() & pdf[b].notna()).sum()
+        assert (r["rho"] is None) == np.isnan(want.loc[a, b]) and (r["rho"] is None or r["rho"] == pytest.approx(want.loc[a, b], abs=1e-12))
+    alike = {("a", "b"), ("c", "d"), ("a", "k"), ("b", "k")}
+    assert (alike & set(asked) == set()) == (bound > 3)
+
+
+def test_thirty_complete_columns_shuffle_their_values_once(spark, monkeypatch):
+    seen = []
+    real = correlate.materialise
+    monkeypatch.setattr(correlate, "materialise", lambda df, name: (seen.append((name, df)), real(df, name))[1])
+    monkeypatch.setattr(correlate, "_by_pair", None)
+    df = spark.range(300).selectExpr(*[f"(id * {i + 3}) % 7 AS c{i}" for i in range(30)])
+    assert correlate.spearman_pairs(df, df.columns).count() == 435
+    cells = {name: df for name, df in seen}["column-values"]
+    assert cells.count() <= 30 * 7 and cells.agg({"n": "sum"}).first()[0] == 30 * 300
