@@ -24,6 +24,47 @@ def test_tails():
         assert tails.chi2_tail(x, 4) == pytest.approx(math.exp(-x / 2) * (1 + x / 2), rel=1e-12)
 
 
+@pytest.mark.parametrize("n", [1e2, 1e5, 1e6, 1e7, 1e10, 1e12, 1e14])
+def test_tails_at_large_degrees_of_freedom(n):
+    """Nine digits: closed forms of F, the first term beside the normal limit for t, symmetry."""
+    for f in (0.1, 1.0, 3.0, 12.0):
+        assert tails.f_tail(f, 2, n) == pytest.approx(math.exp(-n / 2 * math.log1p(2 * f / n)), rel=1e-9)
+        # I_x(a, 2) = x^a (1 + a (1 - x)) with a = n / 2.
+        want = math.exp(-n / 2 * math.log1p(4 * f / n)) * (1 + n / 2 * 4 * f / (n + 4 * f))
+        assert tails.f_tail(f, 4, n) == pytest.approx(want, rel=2e-9)
+    for t in (0.5, 2.0, 4.0):
+        normal = math.erfc(t / math.sqrt(2))
+        first = (t**3 + t) / (2 * n) * math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+        assert tails.t_two_sided(t, n) == pytest.approx(normal + first, rel=1e-9 + max(1, t**8) / n**2)
+    if n <= 1e10:
+        assert tails.f_tail(1.0, n, n) == pytest.approx(0.5, abs=1e-9)
+        half = tails.f_tail(1 + 1 / math.sqrt(n), n, n) + tails.f_tail(1 / (1 + 1 / math.sqrt(n)), n, n)
+        assert half == pytest.approx(1.0, abs=1e-9)
+
+
+def test_tails_equal_finite_sums():
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 50
+    for df in (2, 20, 400, 20_000):
+        for share in (0.7, 0.99, 1.0, 1.02, 1.3):
+            rate = Decimal(df * share) / 2
+            term = total = (-rate).exp()
+            for k in range(1, df // 2):
+                term = term * rate / k
+                total += term
+            assert tails.chi2_tail(df * share, df) == pytest.approx(float(total), rel=1e-9, abs=1e-300)
+    for a, b in ((12, 15), (50, 10), (300, 700), (5000, 4000), (3, 900)):
+        for d in (-0.05, -0.01, 0.0, 0.01, 0.05):
+            x = Decimal(a / (a + b) + d)
+            if 0 < x < 1:
+                term = total = Decimal(math.comb(a + b - 1, a)) * x**a * (1 - x) ** (b - 1)
+                for k in range(a + 1, a + b):
+                    term = term * (a + b - k) / k * x / (1 - x)
+                    total += term
+                assert tails.beta_regularised(a, b, float(x)) == pytest.approx(float(total), rel=1e-9, abs=1e-15)
+
+
 def eta(df, target, numeric):
     return by(associate.eta_squared(associate.group_moments_by_class(df, target, numeric)), "feature")
 
