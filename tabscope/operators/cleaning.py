@@ -255,9 +255,14 @@ def median_fill(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def row_digest(columns: list[Column]) -> Column:
-    """md5 of the given values, NULL told apart from empty text."""
-    parts = [F.coalesce(c.cast("string"), F.lit("\\N")) for c in columns]
-    return F.md5(F.concat_ws("|", *parts).cast("binary"))
+    """md5 of the given values. NULL differs from any text, and values from their neighbours: in texts, bars
+    and backslashes are written with a backslash before them."""
+
+    def part(c: Column) -> Column:
+        plain = F.replace(F.replace(c.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+        return F.coalesce(plain, F.lit("\\N"))
+
+    return F.md5(F.concat_ws("|", *[part(c) for c in columns]).cast("binary"))
 
 
 def _digest_share(digest: Column) -> Column:

@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tabscope.operators import cleaning
+from tabscope.operators.cleaning import row_digest
 from tabscope.plans.kinds import column_kinds, infer_kinds, normalise
 from tests.conftest import by
 
@@ -113,3 +115,12 @@ def test_codes_of_values_that_begin_alike_but_one(spark, monkeypatch):
     df = spark.range(400).selectExpr("CONCAT('u', LPAD(id, 5, '0')) AS s").unionAll(spark.sql("SELECT 'a' AS s"))
     rows = cleaning.label_codes(df, ["s"]).orderBy("value").collect()
     assert [r["code"] for r in rows] == list(range(401)) and rows[0]["value"] == "a"
+
+
+def test_digests_tell_rows_apart(spark):
+    rows = [("a|b", "c"), ("a", "b|c"), ("\\N", "x"), (None, "x"), ("a\\", "|b"), ("a\\|", "b"), ("", "x")]
+    df = spark.createDataFrame(rows, "s string, t string")
+    found = df.select(row_digest([F.col("s"), F.col("t")]).alias("d")).distinct().count()
+    assert found == len(rows)
+    plain = spark.sql("SELECT 42 AS seed, 7 AS k").select(row_digest([F.col("seed"), F.col("k")]).alias("d")).first()["d"]
+    assert plain == __import__("hashlib").md5(b"42|7").hexdigest()
