@@ -299,7 +299,7 @@ def _associations(spark, sf):
 
 @query("feature_associations_classes")
 def feature_associations_classes(spark, sf):
-    """Sampled above the cap of the estimator; effect sizes on all rows."""
+    """The estimator and the effect sizes on all rows."""
     return _associations(spark, sf)
 
 

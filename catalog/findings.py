@@ -218,7 +218,7 @@ def assemble_findings(spark, sf):
 
 @query("assemble_findings_target")
 def assemble_findings_target(spark, sf):
-    """With a target: associations and signals are computed on demand (sampled estimator)."""
+    """With a target: associations and signals are computed on demand."""
     df = labelled(spark, sf)
     p = Profile(df, classify_target(df, "quality"))
     return _show(findings.assemble_findings(p, key=["doc_id"]))

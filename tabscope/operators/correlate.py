@@ -25,14 +25,14 @@ PAIRS_PER_PASS = 128
 
 
 def correlation_matrix(
-    df: DataFrame, columns: list[str] | None = None, stats: dict | None = None
+    df: DataFrame, columns: list[str] | None = None, stats: dict | None = None, pairs: DataFrame | None = None
 ) -> DataFrame:
-    """(col_a, col_b, r) for all ordered pairs, 4 dp; NULL where a column is constant."""
+    """(col_a, col_b, r) for all ordered pairs, 4 dp; NULL where a column is constant. ``pairs`` is the
+    result of ``pair_correlations`` where that is at hand."""
     names = infer_kinds(df).numeric if columns is None else list(columns)
     stats = stats or basic_stats(df, names)
-    pairs = pair_correlations(df, names, stats=stats).select(
-        "col_a", "col_b", F.round("r", 4).alias("r")
-    )
+    pairs = pair_correlations(df, names, stats=stats) if pairs is None else pairs
+    pairs = pairs.select("col_a", "col_b", F.round("r", 4).alias("r"))
     ones = [(c, c, 1.0 if stats[c]["min"] != stats[c]["max"] else None) for c in names]
     diagonal = local_table(df.sparkSession, ones, "col_a string, col_b string, r double")
     mirrored = pairs.select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "r")

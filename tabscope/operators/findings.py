@@ -7,12 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.functions.columns import skew_label, vif
-from tabscope.operators import associate, categorical, correlate, describe, interact, quality
+from tabscope.functions.columns import vif
+from tabscope.operators import associate, categorical, correlate, describe, quality
 from tabscope.operators import target_analysis as ta
 from tabscope.operators.profile import Profile
 from tabscope.plans.local import keep_rows, local_table
-from tabscope.plans.scratch import materialise
 
 FINDINGS = (
     "section_no int, section string, code string, severity string, column string, value double, "
@@ -65,7 +64,7 @@ def _finding(
 
 def overview_row(p: Profile, subtypes: dict[str, str] | None = None) -> DataFrame:
     """One row: size, kinds of columns, encoded columns by subtype, and duplicates."""
-    kinds = p.kinds
+    kinds, subtypes = p.kinds, subtypes or p.subtypes
     nominal = [c for c in p.encoded if (subtypes or {}).get(c, "nominal") == "nominal"]
     ordinal = [c for c in p.encoded if (subtypes or {}).get(c) == "ordinal"]
     row = local_table(
@@ -238,12 +237,12 @@ def assemble_findings(
     if flags is None:
         # One row per finding of a rule, read by several sections below.
         flags = keep_rows(quality.run_quality_rules(p))
-    target = p.target
-    has_target = target is not None and target.column is not None
-    if has_target and associations is None:
-        associations = keep_rows(associate.feature_associations(p.df, target, key=key))
-    if has_target and signals is None:
-        signals = keep_rows(interact.interaction_signals(p.df, target, associations))
+    p.key = p.key or key
+    name = p.target_name
+    has_target = name is not None
+    if has_target:
+        associations = p.associations if associations is None else associations
+        signals = p.signals if signals is None else signals
     parts = []
     overview = overview_row(p)
     for metric in ("original_rows", "n_columns", "n_numeric", "n_categorical", "duplicate_count"):
@@ -267,7 +266,6 @@ def assemble_findings(
             detail=F.col("strength"),
         )
     )
-    name = target.column if has_target else None
     parts.append(_finding(sizes, "statistics", "numeric_columns", value=F.col("numeric")))
     diagnostics = describe.distribution_diagnostics(p.described, None, flags, name)
     parts.append(
@@ -297,10 +295,10 @@ def assemble_findings(
             )
         )
         parts.append(_target_section(p))
-        if p.target.problem_type == "classification" and p.kinds.without(name).categorical:
+        if p.has_classes and p.kinds.without(name).categorical:
             parts.append(_rates_section(p, associations))
     if len(p.encoded) > 1:
-        pairs = correlate.notable_ordinal_pairs(correlate.ordinal_spearman(p.df, p.encoded))
+        pairs = correlate.notable_ordinal_pairs(p.ordinals)
         both = F.concat("col_a", F.lit(" ~ "), "col_b")
         parts.append(_finding(pairs, "correlation", "ordinal_pair", both, F.col("rho")))
     status = quality.quality_status(flags)
@@ -325,11 +323,8 @@ def assemble_findings(
 def _rates_section(p: Profile, associations: DataFrame) -> DataFrame:
     """Columns whose values differ most in their class rates, these values, and well-ranked features
     that are not among them."""
-    name = p.target.column
-    names = p.kinds.without(name).categorical
-    rates = categorical.target_rates(p.df, name, names, counts=p.value_counts)
-    widest = keep_rows(categorical.discriminative_columns(rates, names, name))
-    values = categorical.discriminative_values(rates, widest)
+    widest = p.widest_rates
+    values = categorical.discriminative_values(p.rates, widest)
     said = F.concat("value", F.lit(" / "), "class")
     others = categorical.borda_not_in_top_spread(associations, widest)
     return _union(
@@ -342,24 +337,20 @@ def _rates_section(p: Profile, associations: DataFrame) -> DataFrame:
 
 
 def _target_section(p: Profile) -> DataFrame:
-    name = p.target.column
-    if p.target.problem_type == "classification":
-        classes = ta.class_distribution(p.df, name)
-        features = [c for c in p.kinds.numeric if c != name]
+    name = p.target_name
+    if p.has_classes:
         differences = []
-        if features:
-            stats = materialise(ta.per_class_feature_stats(p.df, name), "class-stats")
-            ranked = ta.cohens_d_ranking(stats, p.df.columns)
+        if [c for c in p.kinds.numeric if c != name]:
             differences = [
-                _finding(stats, "target", "class_mean", F.col("feature"), F.col("mean"), detail=F.col("class")),
-                _finding(ranked, "target", "cohens_d", F.col("feature"), F.col("cohens_d")),
+                _finding(p.class_stats, "target", "class_mean", F.col("feature"), F.col("mean"), detail=F.col("class")),
+                _finding(p.class_differences, "target", "cohens_d", F.col("feature"), F.col("cohens_d")),
             ]
         return _union(
             [
                 *differences,
-                _finding(classes, "target", "class_share", F.col("class"), F.col("pct")),
+                _finding(p.classes, "target", "class_share", F.col("class"), F.col("pct")),
                 _finding(
-                    ta.imbalance(classes),
+                    ta.imbalance(p.classes),
                     "target",
                     "imbalance",
                     F.lit(name),
@@ -368,12 +359,11 @@ def _target_section(p: Profile) -> DataFrame:
                 ),
             ]
         )
-    stats = ta.regression_target_stats(p.df, name)
-    close = correlate.feature_target_correlation(p.df, name, p.kinds.numeric).filter("place IS NOT NULL")
+    close = p.target_correlation.filter("place IS NOT NULL")
     return _union(
         [
             *[
-                _finding(stats, "target", f"target_{k}", F.lit(name), F.col(k))
+                _finding(p.target_stats, "target", f"target_{k}", F.lit(name), F.col(k))
                 for k in ("mean", "median", "std", "skewness")
             ],
             _finding(close, "target", "correlated_feature", F.col("feature"), F.col("r")),
@@ -407,14 +397,13 @@ def fact_table(
     """Every statistic as (section, column, metric, value, text). Missing parts are computed."""
     flags = flags if flags is not None else keep_rows(quality.run_quality_rules(p))
     name = F.col("column")
-    target = p.target.column if p.target is not None else None
-    if target is not None and associations is None:
-        associations = keep_rows(associate.feature_associations(p.df, p.target, key=key))
-    if target is not None and signals is None:
-        signals = keep_rows(interact.interaction_signals(p.df, p.target, associations))
-    shapes = p.described.select("column", "skewness", skew_label(F.col("skewness"), F.col("mean"), F.col("median")).alias("label"))
-    values = categorical.top_values(p.df, counts=p.value_counts)
-    bins = keep_rows(describe.histogram(p.df, p.kinds.numeric, stats=p.stats))
+    target, p.key = p.target_name, p.key or key
+    if target is not None:
+        associations = p.associations if associations is None else associations
+        signals = p.signals if signals is None else signals
+    shapes = describe.skew_labels(p.described)
+    values, bins = p.top_values, p.bins
+    diagnostics = describe.distribution_diagnostics(p.described, p.categories, flags, target)
     parts = [
         _facts(
             overview_row(p),
@@ -422,7 +411,9 @@ def fact_table(
             F.lit(None),
             ["original_rows", "duplicate_count", "duplicate_pct", "n_columns", "n_numeric", "n_categorical", "n_datetime"],
         ),
-        _facts(shapes, "shape", name, ["skewness"], F.col("label")),
+        _facts(shapes, "shape", name, ["skewness"], F.col("skew_direction")),
+        _facts(diagnostics, "diagnostics", name, ["value"], F.col("diagnostic")),
+        _facts(p.categories, "categorical", name, ["count", "unique", "freq"], F.col("top")),
         _facts(describe.histogram_gaps(bins), "gaps", name, ["low", "high"], F.col("bin")),
         _facts(categorical.rate_reliability(values), "margins", name, ["margin_pp"], F.concat("value", F.lit(" "), "level")),
         _facts(p.missing, "missing", name, ["missing", "missing_pct"]),
@@ -441,7 +432,7 @@ def fact_table(
         _facts(bins, "histogram", name, ["count"], F.col("bin")),
         _facts(describe.modality(bins), "histogram", name, ["peaks"], F.col("modality")),
         _facts(
-            describe.zero_inflation(p.df, p.kinds.numeric, target),
+            p.zeros,
             "histogram",
             name,
             ["zero_count", "zero_pct"],
@@ -469,42 +460,37 @@ def fact_table(
         ),
         _facts(flags, "quality", name, ["value"], F.concat("severity", F.lit(" "), "rule")),
     ]
-    if target is not None and p.target.problem_type == "classification":
-        # At most ten values per column, times the classes.
-        rates = keep_rows(categorical.target_rates(p.df, target, p.kinds.categorical, counts=p.value_counts))
-        parts.append(
-            _facts(
-                rates, "target_rates", name, ["rate"], F.concat("value", F.lit(" / "), "class")
-            )
-        )
-        parts.append(
-            _facts(
-                categorical.anomalous_rates(rates),
-                "anomalous_rates",
-                name,
-                ["ratio"],
-                F.concat("value", F.lit(" / "), "class"),
-            )
-        )
-        parts.append(
-            _facts(ta.class_distribution(p.df, target), "target", F.col("class"), ["count", "pct"])
-        )
+    if len(p.encoded) > 1:
+        both = F.concat("col_a", F.lit(" ~ "), "col_b")
+        parts.append(_facts(p.ordinals, "correlation", both, ["rho"], F.lit("ordinal")))
+    said = F.concat("value", F.lit(" / "), "class")
+    if p.has_classes:
+        widest = p.widest_rates
+        parts += [
+            _facts(p.rates, "target_rates", name, ["rate"], said),
+            _facts(categorical.anomalous_rates(p.rates), "anomalous_rates", name, ["ratio"], said),
+            _facts(widest, "rate_spread", name, ["spread", "max_rate"], F.col("first_class")),
+            _facts(categorical.discriminative_values(p.rates, widest), "rate_spread", name, ["rate"], said),
+            _facts(p.classes, "target", F.col("class"), ["count", "pct"]),
+            _facts(ta.imbalance(p.classes), "target", F.lit(target), ["n_classes", "imbalance_ratio"], F.col("band")),
+        ]
         if [c for c in p.kinds.numeric if c != target]:
-            stats = materialise(ta.per_class_feature_stats(p.df, target), "class-stats")
+            stats = p.class_stats
             parts.append(_facts(stats, "class_statistics", F.col("feature"), ["n", "mean", "std"], F.col("class")))
-            ranked = ta.cohens_d_ranking(stats, p.df.columns)
-            parts.append(_facts(ranked, "class_differences", F.col("feature"), ["cohens_d"]))
+            parts.append(_facts(p.class_differences, "class_differences", F.col("feature"), ["cohens_d"]))
     elif target is not None:
         parts.append(
             _facts(
-                ta.regression_target_stats(p.df, target),
+                p.target_stats,
                 "target",
                 name,
                 ["mean", "median", "std", "skewness", "kurtosis", "min", "max"],
             )
         )
-        close = correlate.feature_target_correlation(p.df, target, p.kinds.numeric)
-        parts.append(_facts(close, "target", F.col("feature"), ["r", "place"]))
+        parts.append(_facts(p.target_correlation, "target", F.col("feature"), ["r", "place"]))
+    if target is not None:
+        quadrants = associate.association_quadrants(associations)
+        parts.append(_facts(quadrants, "quadrants", F.col("feature"), ["effect_size"], F.col("quadrant")))
     if associations is not None:
         parts.append(
             _facts(
