@@ -12,12 +12,14 @@ from pyspark.sql import types as T
 from tabscope.functions.columns import MISSING_LEVEL, RETAINED_SHARE, col, share
 from tabscope.plans.counts import value_counts
 from tabscope.plans.kinds import clean, infer_kinds, normalise
+from tabscope.plans.local import local_table
 from tabscope.plans.moments import collect_moments
 from tabscope.plans.quantiles import exact_medians
 from tabscope.plans.scratch import materialise
 
 SAMPLE_ROWS = 50_000
 CODES_PER_PART = 200_000
+HELD_HASHES = 1_000_000  # hashes that rows share, sent to all tasks: 16 MB
 
 normalise_missing = normalise
 stringify_nested = normalise
@@ -33,21 +35,46 @@ def row_counts(df: DataFrame) -> DataFrame:
     return data.groupBy(*[col(c) for c in data.columns]).agg(F.count(F.lit(1)).alias("copies"))
 
 
+def _row_hashes(data: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a row, one of them after the places of its NULLs, which a hash passes over."""
+    columns = [col(c) for c in data.columns]
+    empty = [F.when(c.isNull(), F.lit(1 << i % 62)).otherwise(0).cast("long") for i, c in enumerate(columns)]
+    places = [reduce(Column.__add__, empty[i : i + 62]) for i in range(0, len(empty), 62)]
+    return [F.xxhash64(*columns).alias("h1"), F.xxhash64(*places, *columns).alias("h2")]
+
+
+def _distinct_rows(data: DataFrame, n_rows: int) -> int:
+    """How many different rows there are. Only hashes are shuffled, and in full only rows whose hashes meet.
+
+    Rows of different hashes differ; rows of equal hashes are compared as they are, so the result is exact.
+    Where more than ``HELD_HASHES`` hashes are met more than once, most rows are copies, and all are compared.
+    """
+    hashed = data.select(*_row_hashes(data)).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    met = materialise(hashed.filter("n > 1"), "met-hashes")
+    size = met.agg(F.count(F.lit(1)).alias("hashes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    if not size["hashes"]:
+        return n_rows
+    if size["hashes"] > HELD_HASHES:
+        return row_counts(data).count()
+    names = [f"c{i}" for i in range(len(data.columns))]
+    rows = data.select(*[col(c).alias(n) for c, n in zip(data.columns, names)], *_row_hashes(data))
+    again = rows.join(F.broadcast(met.select("h1", "h2")), ["h1", "h2"], "left_semi")
+    return n_rows - size["rows"] + again.select(*names).distinct().count()
+
+
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:
     return normalise(df).dropDuplicates()
 
 
 def duplicate_summary(df: DataFrame) -> DataFrame:
     """One row: n_rows, distinct_rows, duplicate_count, duplicate_share (of the original rows)."""
-    n, d = F.col("n_rows"), F.col("duplicate_count")
-    return (
-        row_counts(df)
-        .agg(
-            F.coalesce(F.sum("copies"), F.lit(0)).alias("n_rows"),
-            F.count(F.lit(1)).alias("distinct_rows"),
-        )
-        .withColumn("duplicate_count", n - F.col("distinct_rows"))
-        .withColumn("duplicate_share", F.coalesce(share(d, n), F.lit(0.0)))
+    data = normalise(df)
+    n = data.count()
+    distinct = _distinct_rows(data, n) if data.columns else min(n, 1)
+    return local_table(
+        df.sparkSession,
+        [(n, distinct, n - distinct, (n - distinct) / n if n else 0.0)],
+        "n_rows long, distinct_rows long, duplicate_count long, duplicate_share double",
     )
 
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +126,59 @@ def test_digests_tell_rows_apart(spark):
     assert found == len(rows)
     plain = spark.sql("SELECT 42 AS seed, 7 AS k").select(row_digest([F.col("seed"), F.col("k")]).alias("d")).first()["d"]
     assert plain == __import__("hashlib").md5(b"42|7").hexdigest()
+
+
+def _with_copies(spark, wide=False):
+    more = [f"concat('column {i} of ', id % 500, ' ', repeat('x', 30)) AS w{i}" for i in range(24)] if wide else []
+    return spark.range(1000).selectExpr(
+        "IF(id % 4 = 0, NULL, id % 500) AS a", "IF(id % 4 = 1, NULL, id % 500) AS b", "double(id % 500) AS d",
+        "named_struct('x', id % 500) AS s", *more,
+    )
+
+
+@pytest.mark.parametrize("hashes", ["real", "few", "one"])
+@pytest.mark.parametrize("held", [10**6, 3])
+def test_duplicates_are_exact_whatever_the_hashes(spark, monkeypatch, hashes, held):
+    """Hashes that meet by force: a handful of values, or one for all rows."""
+    monkeypatch.setattr(cleaning, "HELD_HASHES", held)
+    real = cleaning._row_hashes
+    if hashes != "real":
+        part = (lambda data: F.lit(0)) if hashes == "one" else (lambda data: F.pmod(F.xxhash64(*data.columns), F.lit(7)))
+        monkeypatch.setattr(cleaning, "_row_hashes", lambda data: [part(data).alias("h1"), F.lit(1).alias("h2")])
+    df = _with_copies(spark)
+    row = cleaning.duplicate_summary(df).first()
+    assert (row["n_rows"], row["distinct_rows"], row["duplicate_count"]) == (1000, 500, 500)
+    both = spark.createDataFrame([(1, None), (None, 1), (1, 1), (1, 1), (None, None), (0, None)], "a int, b int")
+    assert cleaning.duplicate_summary(both).first()["distinct_rows"] == 5
+    monkeypatch.setattr(cleaning, "_row_hashes", real)
+    met = both.select(*real(both)).groupBy("h1", "h2").count().filter("count > 1").count()
+    assert met == 1
+
+
+def test_duplicates_of_odd_tables(spark):
+    one = spark.range(1).selectExpr("id AS h1", "id AS h2", "id AS n", "id AS c0")
+    assert tuple(cleaning.duplicate_summary(one.unionAll(one)).first()) == (2, 1, 1, 0.5)
+    assert tuple(cleaning.duplicate_summary(one.limit(0)).first()) == (0, 0, 0, 0.0)
+    zeros = spark.sql("SELECT 0.0D AS x UNION ALL SELECT -0.0D UNION ALL SELECT double('NaN') UNION ALL SELECT NULL")
+    assert cleaning.duplicate_summary(zeros).first()["distinct_rows"] == 2
+
+
+def _shuffled(spark, action) -> int:
+    """Bytes that an action wrote to the shuffle."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def total():
+        time.sleep(0.5)  # the store follows the listeners
+        found = store.executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    before = total()
+    action()
+    return total() - before
+
+
+def test_a_wide_table_shuffles_its_hashes_only(spark):
+    df = _with_copies(spark, wide=True).withColumn("id", F.monotonically_increasing_id())
+    new = _shuffled(spark, lambda: cleaning.duplicate_summary(df).collect())
+    old = _shuffled(spark, lambda: cleaning.row_counts(df).count())
+    assert 0 < new < old / 4 and cleaning.duplicate_summary(df).first()["duplicate_count"] == 0
