@@ -303,14 +303,46 @@ def feature_associations_classes(spark, sf):
     return _associations(spark, sf)
 
 
-@query("feature_associations_regression")
+_O_NUMERIC, _O_CATEGORIES = ["o_orderkey", "o_custkey"], ["o_orderstatus", "o_orderpriority"]
+_O_ORDER = [*_O_NUMERIC, *_O_CATEGORIES]
+_O_GROUPS = union_all(
+    [f"SELECT '{c}' AS feature, {c} AS grp, CAST(o_totalprice AS DOUBLE) AS x FROM orders" for c in _O_CATEGORIES]
+)
+_O_SCORES = union_all(
+    [
+        f"SELECT * FROM {mi_regression_sql('orders', 'o_orderkey', 'o_totalprice', c, v)}"
+        for c, v in [(c, c) for c in _O_NUMERIC]
+        + [(c, f"(dense_rank() OVER (ORDER BY {c}) - 1)") for c in _O_CATEGORIES]
+    ]
+)
+
+
+@query(
+    "feature_associations_regression",
+    f"""WITH {PSI}, {_eta(_O_GROUPS)},
+pairs AS ({pairs_sql('orders', _O_NUMERIC, ['o_totalprice'])}),
+effects AS (
+  SELECT feature, effect_size, effect_size_type, statistic FROM eta
+  UNION ALL SELECT col_a, round(abs(r), 6), 'pearson_r', round(abs(r), 4) FROM pairs),
+scored AS (SELECT *, list_position({_O_ORDER}, feature) AS position FROM effects JOIN ({_O_SCORES}) USING (feature)),
+placed AS (SELECT *, row_number() OVER (ORDER BY round(mi_score, 9) DESC, position) AS mi_rank,
+             row_number() OVER (ORDER BY effect_size DESC, position) AS effect_size_rank FROM scored)
+SELECT row_number() OVER (ORDER BY mi_rank + effect_size_rank, effect_size DESC, position) AS place, feature,
+  CASE WHEN position <= 2 THEN 'numerical' ELSE 'categorical' END AS feature_type,
+  round(mi_score, 4) AS mi_score, mi_rank, effect_size, effect_size_type,
+  CASE WHEN effect_size < CASE WHEN effect_size_type = 'eta2' THEN 0.01 ELSE 0.1 END THEN 'weak'
+       WHEN effect_size < CASE WHEN effect_size_type = 'eta2' THEN 0.06 ELSE 0.3 END THEN 'moderate'
+       ELSE 'strong' END AS effect_size_label,
+  effect_size_rank, mi_rank + effect_size_rank AS borda_score, abs(statistic) AS f_stat_or_chi2,
+  4 AS total_features FROM placed""",
+)
 def feature_associations_regression(spark, sf):
-    df = table(spark, sf, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"
-    )
-    return associate.feature_associations(
-        df, classify_target(df, "o_totalprice"), key=["o_orderkey"]
+    """All of the ranking but its p-values, against all pairs of orders."""
+    df = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    rows = associate.feature_associations(df, classify_target(df, "o_totalprice"), key=["o_orderkey"]).drop(
+        "p_value", "missingness_strategy", "mi_sample_size", "mi_sample_note"
     )
+    return rounded(rows, 4, "mi_score")
 
 
 _L_NUMERIC = ["doc_id", "toxic", "n_chars"]
