@@ -34,8 +34,11 @@ from tabscope.plans.scratch import materialise
 
 BLOCK_BYTES = 8_000_000  # text of a block; a longer document is a block of its own
 RANGE_BYTES = 16_000_000  # text for which one more range of keys is opened
+RANGES_PER_BATCH = 4096  # of one block, sent on together
 DELETED = 10  # one training document in so many is set aside to learn the weights
 
+PLAIN_BYTES, _PLAIN = 128, 1 << 63  # so few bytes are not worth compressing; marks them in the length
+
 MAIN, ASIDE, OUTSIDE = 0, 1, 2  # folds: counted, set aside, not for training
 WORD, PAIR = 0, 1
 
@@ -44,14 +47,18 @@ _START = np.uint64(xxhash.xxh3_64_intdigest(b" "))  # no word has a blank
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """An array as compressed bytes: first its length, then byte planes."""
+    """An array as bytes: first its length, then its byte planes, compressed unless they are few."""
     raw = np.ascontiguousarray(values)
+    if raw.nbytes <= PLAIN_BYTES:
+        return (len(raw) | _PLAIN).to_bytes(8, "little") + raw.tobytes()
     planes = raw.view(np.uint8).reshape(-1, raw.itemsize).T.tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _unpacked(data: bytes, kind: type) -> np.ndarray:
     n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    if n & _PLAIN:
+        return np.frombuffer(data, kind, offset=8).copy()
     planes = pa.decompress(data[8:], n * size, codec="zstd", asbytes=True)
     return np.frombuffer(planes, np.uint8).reshape(size, n).T.copy().view(kind).ravel()
 
@@ -143,8 +150,19 @@ class Tokens:
         return np.concatenate([self.token, np.full(len(self.lengths), _START)])
 
 
-def _ranges(bits: int) -> np.ndarray:
-    return (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.uint64)
+def _by_range(
+    keys: np.ndarray, counts: np.ndarray | None, bits: int
+) -> Iterator[tuple[np.ndarray, list[bytes], list[bytes]]]:
+    """The sorted keys of a block by range, with their counts if there are any: (ranges, keys, counts) of up to
+    ``RANGES_PER_BATCH`` ranges that have a key. Work grows with these, not with the number of ranges."""
+    at = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    starts = np.flatnonzero(np.diff(at, prepend=-1))
+    ends = np.append(starts[1:], len(keys))
+    for first in range(0, len(starts), RANGES_PER_BATCH):
+        some = slice(first, first + RANGES_PER_BATCH)
+        spans = list(zip(starts[some].tolist(), ends[some].tolist()))
+        sums = [b""] * len(spans) if counts is None else [_packed(counts[s:e].astype(np.uint32)) for s, e in spans]
+        yield at[starts[some]], [_pack_keys(keys[s:e]) for s, e in spans], sums
 
 
 def _asked(blocks: DataFrame, bits: int) -> DataFrame:
@@ -157,20 +175,19 @@ def _asked(blocks: DataFrame, bits: int) -> DataFrame:
                 tokens = Tokens(row["payload"])
                 for kind, values in ((WORD, tokens.words()), (PAIR, tokens.pairs())):
                     keys, counts = np.unique(values, return_counts=True)
-                    cuts = [0, *np.searchsorted(keys, _ranges(bits)).tolist(), len(keys)]
-                    for i, (s, e) in enumerate(zip(cuts, cuts[1:])):
-                        if s < e:
-                            found = counts[s:e].astype(np.uint32)
-                            yield pa.RecordBatch.from_pydict(
-                                {
-                                    "range": pa.array([i], pa.int32()),
-                                    "block": [row["block"]],
-                                    "fold": pa.array([row["fold"]], pa.int32()),
-                                    "kind": pa.array([kind], pa.int32()),
-                                    "keys": [_pack_keys(keys[s:e])],
-                                    "counts": [_packed(found) if row["fold"] != OUTSIDE else b""],
-                                }
-                            )
+                    for at, parts, sums in _by_range(keys, counts if row["fold"] != OUTSIDE else None, bits):
+                        n = len(at)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(at, pa.int32()),
+                                pa.array([row["block"]] * n, pa.string()),
+                                pa.array(np.full(n, row["fold"], np.int32)),
+                                pa.array(np.full(n, kind, np.int32)),
+                                pa.array(parts, pa.binary()),
+                                pa.array(sums, pa.binary()),
+                            ],
+                            ["range", "block", "fold", "kind", "keys", "counts"],
+                        )
 
     return blocks.select("block", "fold", "payload").mapInArrow(work, schema)
 

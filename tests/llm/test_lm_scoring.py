@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -139,3 +140,24 @@ def test_empty_tables_and_no_training_rows(documents):
     assert [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in sorted(got)] == [
         (1, 3, 0, 0, 0.0, 0.0), (2, 1, 0, 0, 0.0, 0.0),
     ]
+
+
+def test_a_blocks_keys_are_dealt_whatever_the_number_of_ranges():
+    """A row for each range that has a key, few batches, and work that hardly grows with the ranges."""
+    keys = np.unique(np.random.default_rng(1).integers(0, 2**64, 40_000, np.uint64))
+    counts = np.arange(1, len(keys) + 1)
+    seconds = {}
+    for bits in (0, 6, 16):
+        start = time.process_time()
+        batches = list(lm_scoring._by_range(keys, counts, bits))
+        seconds[bits] = time.process_time() - start
+        at = np.concatenate([b[0] for b in batches])
+        parts = [lm_scoring._unpack_keys(p) for b in batches for p in b[1]]
+        sums = [lm_scoring._unpacked(c, np.uint32) for b in batches for c in b[2]]
+        assert (np.concatenate(parts) == keys).all() and (np.concatenate(sums) == counts).all()
+        assert len(at) == len(set(at.tolist())) <= min(1 << bits, len(keys)) and len(batches) <= 1 + len(at) // 4096
+        for i, p in zip(at, parts):
+            assert not bits or (p >> np.uint64(64 - bits) == np.uint64(i)).all()
+    # A thousand times the ranges; a row in each cost a batch of its own before.
+    assert seconds[16] < 3.0
+    assert list(lm_scoring._by_range(keys[:0], None, 4)) == []
