@@ -252,6 +252,7 @@ class Scorer:
         self.scores = np.zeros((self.known + CACHED_WORDS, len(model.languages)))
         self.scores[: self.known] = model.word_scores
         self.familiar: dict[tuple[str, int], tuple[int, int]] = {}
+        self._own: dict[int, bytes] = {}
 
     def unseen(self, word: str) -> np.ndarray:
         find = self.model.grams.get
@@ -288,6 +289,16 @@ class Scorer:
         counts = np.rint(np.exp(self.model.gram_scores[at, language]) * sums - 0.5)
         return np.where(np.array(at) < 0, 0, counts), np.maximum(1, RARE * sums)
 
+    def _own_grams(self, language: int) -> bytes:
+        """For each learned n-gram whether the language has it often enough, and a zero for all others; the
+        n-grams are looked at once a task, not once a word."""
+        if language not in self._own:
+            counts, least = self._counts(list(self.model.grams), language)
+            own = np.zeros(len(self.model.gram_scores) + 1, np.uint8)
+            own[list(self.model.grams.values())] = counts >= least
+            self._own[language] = own.tobytes()
+        return self._own[language]
+
     def known_share(self, text: str | None, language: int, learned: bool = False) -> float | None:
         """The share of the text's n-grams that the language has; None if there are none.
 
@@ -305,13 +316,14 @@ class Scorer:
                 counts, least = self._counts(list(own), language)
                 known, total = int(times[counts - times >= least].sum()), int(times.sum())
         else:
+            own, place = self._own_grams(language), self.model.grams.get
             for w, times in words.items():
                 found = self.familiar.get((w, language))
                 if found is None:
                     if len(self.familiar) >= CACHED_WORDS:
                         self.familiar.clear()
-                    counts, least = self._counts(_familiar_grams(w), language)
-                    found = self.familiar[w, language] = (int((counts >= least).sum()), len(counts))
+                    grams = _familiar_grams(w)
+                    found = self.familiar[w, language] = (sum([own[place(g, -1)] for g in grams]), len(grams))
                 known += found[0] * times
                 total += found[1] * times
         return known / total if total else None

@@ -119,6 +119,18 @@ def test_executors_need_not_have_the_package(tmp_path):
     assert out.stdout.split() == ["40", "40"], out.stderr[-2000:]
 
 
+def test_known_shares_follow_the_counts(documents):
+    """The share of n-grams that the language has, one by one from the model's counts."""
+    model = fit(documents(*made()))
+    scorer = Scorer(model)
+    for text in ("the garden, katze über a", "x", "die die xqz", "", None, "я水"):
+        for language in range(2):
+            grams = [g for w in language_id._words(text) for g in language_id._familiar_grams(w)]
+            counts, least = scorer._counts(grams, language) if grams else ([], [])
+            want = float(np.mean(np.asarray(counts) >= np.asarray(least))) if grams else None
+            assert scorer.known_share(text, language) == want
+
+
 def test_sample_is_bounded(documents):
     rows = training_sample(documents(*made(120), (500, "x", None)), per_language=7).groupBy("lang").count().collect()
     assert {r["lang"]: r["count"] for r in rows} == {"en": 7, "de": 7}
