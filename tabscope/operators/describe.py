@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from functools import reduce
+from operator import add
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +20,8 @@ BINS = 30
 PEAK_SIGMAS = 3.0
 PEAK_MASS = 0.01
 ZERO_SHARE_PCT = 40.0
+KDE_ORDER = 12
+KDE_REACH = 9.0
 
 _QUARTILES = [0.25, 0.5, 0.75]
 _DESCRIBE = (
@@ -322,12 +324,24 @@ def zero_inflation(
     )
 
 
+def _hermite_powers(order: int) -> list[list[int]]:
+    """Coefficients of t^0, t^1, ... of the polynomials that the Gaussian's derivatives have, up to an order."""
+    rows = [[1], [0, 1]]
+    for k in range(1, order):
+        shifted = [0, *rows[k]]
+        lower = [*rows[k - 1], 0, 0]
+        rows.append([a - k * b for a, b in zip(shifted, lower)])
+    return rows[: order + 1]
+
+
 def kde_curve(df: DataFrame, column: str, points: int = 200) -> DataFrame:
     """(point, x, density): Gaussian kernel density with Scott's bandwidth on an even grid.
 
-    Each task counts equal values in a batch, sums their kernels on the grid with numpy and
-    hands on one row per grid point: the grid never meets the rows in a join, and no row of
-    the table is shuffled.
+    A kernel around a value is a series around the middle of the value's cell of half a bandwidth: a value that
+    lies u bandwidths beside it adds u^k / k! to the k-th of a few sums of its cell, and those give the cell's
+    share at every grid point. With ``KDE_ORDER`` terms and u of at most a quarter, what is left out is below
+    1.1 sum over k > 12 of (1/4)^k / sqrt(k!) < 3e-13 of a kernel's height; cells more than ``KDE_REACH`` bandwidths away, below 3e-18. So the table
+    is read once into sums by cell, whatever the number of grid points, and only cells meet grid points.
     """
     s = collect_moments(df, [column])[column]
     schema = "point int, x double, density double"
@@ -335,30 +349,34 @@ def kde_curve(df: DataFrame, column: str, points: int = 200) -> DataFrame:
     if n < 2 or not std:
         return local_table(df.sparkSession, [], schema)
     width = std * n ** (-1.0 / 5.0)
-    grid = np.linspace(s["min"], s["max"], points)
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(points)
-        for batch in batches:
-            values, counts = np.unique(batch["value"].to_numpy(), return_counts=True)
-            for start in range(0, len(values), 2000):
-                z = (grid[:, None] - values[None, start : start + 2000]) / width
-                total += np.exp(-0.5 * z * z) @ counts[start : start + 2000].astype("float64")
-        yield pd.DataFrame({"point": np.arange(points, dtype="int32"), "weight": total})
-
-    weights = (
-        clean(df, [column])
-        .select(col(column).cast("double").alias("value"))
-        .filter("value IS NOT NULL")
-        .mapInPandas(partial, "point int, weight double")
-        .groupBy("point")
-        .agg(F.sum("weight").alias("weight"))
-    )
     step = (s["max"] - s["min"]) / (points - 1)
-    return weights.select(
-        "point",
-        (F.lit(s["min"]) + F.col("point") * F.lit(step)).alias("x"),
-        (F.col("weight") / F.lit(n * width * float(np.sqrt(2 * np.pi)))).alias("density"),
+    at = (col(column).cast("double") - F.lit(s["min"])) / F.lit(width)
+    values = clean(df, [column]).select(at.alias("z")).filter("z IS NOT NULL")
+    values = values.withColumn("cell", F.floor(F.col("z") * 2))
+    values = values.withColumn("u", F.col("z") - (F.col("cell") + 0.5) / 2)
+    sums, power = [F.count("*").cast("double").alias("m0")], F.col("u")
+    for k in range(1, KDE_ORDER + 1):
+        sums.append((F.sum(power) / F.lit(float(math.factorial(k)))).alias(f"m{k}"))
+        power = power * F.col("u")
+    cells = values.groupBy("cell").agg(*sums).withColumn("middle", (F.col("cell") + 0.5) / 2)
+    # Grid points lie ``apart`` bandwidths from each other.
+    apart = F.lit(step / width)
+    first = F.greatest(F.ceil((F.col("middle") - KDE_REACH) / apart), F.lit(0)).cast("int")
+    last = F.least(F.floor((F.col("middle") + KDE_REACH) / apart), F.lit(points - 1)).cast("int")
+    near = F.when(first <= last, F.sequence(first, last))
+    met = cells.withColumn("point", F.explode(near)).withColumn("t", F.col("point") * apart - F.col("middle"))
+    # The polynomials in t, each times the cell's sum, by powers of t.
+    by_power = [
+        reduce(add, [F.col(f"m{k}") * F.lit(float(row[j])) for k, row in enumerate(_hermite_powers(KDE_ORDER)) if j < len(row) and row[j]])
+        for j in range(KDE_ORDER + 1)
+    ]
+    series = reduce(lambda total, term: total * F.col("t") + term, reversed(by_power))
+    weight = F.sum(F.exp(-F.col("t") * F.col("t") / 2) * series)
+    weights = met.groupBy("point").agg(weight.alias("weight"))
+    grid = df.sparkSession.range(points).select(F.col("id").cast("int").alias("point"))
+    density = F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)) / F.lit(n * width * math.sqrt(2 * math.pi))
+    return grid.join(weights, "point", "left").select(
+        "point", (F.lit(s["min"]) + F.col("point") * F.lit(step)).alias("x"), density.alias("density")
     )
 
 

@@ -158,6 +158,33 @@ def test_kde_integrates_to_one(spark):
     assert 0.95 < np.trapezoid([r["density"] for r in rows], [r["x"] for r in rows]) < 1.01
 
 
+@pytest.mark.parametrize("kind", ["even", "heavy", "levels", "two", "far"])
+def test_kde_equals_the_sum_of_kernels(spark, kind):
+    r = np.random.default_rng(5)
+    x = {
+        "even": r.random(3000), "heavy": r.standard_cauchy(2000), "levels": r.integers(0, 4, 900) * 1.0,
+        "two": np.array([1.0, 2.0]), "far": np.concatenate([r.normal(0, 1, 500), [1e9]]) + 1e6,
+    }[kind]
+    df = spark.createDataFrame(pd.DataFrame({"x": x})).repartition(3)
+    curve = describe.kde_curve(df, "x")
+    plan = curve._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "InArrow" not in plan
+    got = np.array([r["density"] for r in curve.orderBy("point").collect()])
+    width = np.std(x, ddof=1) * len(x) ** -0.2
+    grid = np.linspace(x.min(), x.max(), 200)
+    want = np.exp(-0.5 * ((grid[:, None] - x) / width) ** 2).sum(1) / (len(x) * width * math.sqrt(2 * math.pi))
+    assert len(got) == 200 and np.abs(got - want).max() < 1e-11 / width
+
+
+def test_kde_series_stays_within_its_bound():
+    """One kernel anywhere in a cell, seen from anywhere."""
+    rows = describe._hermite_powers(describe.KDE_ORDER)
+    for u in np.linspace(-0.25, 0.25, 11):
+        t = np.linspace(-9, 9, 400)
+        series = sum(u**k / math.factorial(k) * np.polyval(row[::-1], t) for k, row in enumerate(rows))
+        assert np.abs(np.exp(-t * t / 2) * series - np.exp(-((t - u) ** 2) / 2)).max() < 3e-13
+
+
 def test_results_do_not_depend_on_partitioning(spark):
     rng = np.random.default_rng(8)
     pdf = pd.DataFrame({"x": rng.normal(0, 1, 500), "s": rng.choice(list("abc"), 500)})
