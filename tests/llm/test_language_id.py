@@ -1,5 +1,7 @@
+import math
 import os
 import random
+import re
 import subprocess
 import sys
 import zlib
@@ -41,6 +43,58 @@ def test_query_held_out_rows_and_contract(spark, folder):
     assert [by_id[i] for i in (1000, 1001, 1002, 1003, None)] == ["und", "und", "und", "de", "de"]
 
 
+def brute(rows):
+    """Words by frequency, else the mean of their longest known n-grams, one document after the other."""
+    crc = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 4
+    words_of = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    grams_of = lambda w, n: [x[i : i + n] for x in [f" {w} " if n > 1 else w] for i in range(len(x) - n + 1)]
+    taught = [(t, lang) for i, t, lang in rows if lang is not None and crc(i) != 2]
+    sizes = Counter(lang for _, lang in taught)
+    langs = sorted(sizes, key=lambda x: (-sizes[x], x))
+    counts = [{x: Counter() for x in langs} for _ in range(6)]
+    for t, lang in taught:
+        for w in words_of(t):
+            counts[0][lang][w] += 1
+            for n in range(1, 6):
+                counts[n][lang].update(grams_of(w, n))
+    known = [set().union(*[c.keys() for c in level.values()]) for level in counts]
+
+    def log(n, lang, item):
+        own = counts[n][lang]
+        return math.log((own[item] + 0.5) / (sum(own.values()) + 0.5 * (len(known[n]) + 1)))
+
+    def score(lang, w):
+        if w in known[0]:
+            return log(0, lang, w)
+        for n in range(5, 0, -1):
+            found = [g for g in grams_of(w, n) if g in known[n]]
+            if found:
+                return sum(log(n, lang, g) for g in found) / len(found)
+        return 0.0
+
+    out = {}
+    for i, t, _ in rows:
+        if not any(c.isalpha() for c in t or ""):
+            out[i] = (crc(i) == 2, "und", 0.0)
+            continue
+        total = [math.log(sizes[x] / len(taught)) + sum(score(x, w) for w in words_of(t)) for x in langs]
+        best = max(range(len(langs)), key=lambda k: total[k])
+        out[i] = (crc(i) == 2, langs[best], 1 / sum(math.exp(v - total[best]) for v in total))
+    return out
+
+
+def test_query_equals_brute_force(spark, folder):
+    r = random.Random(8)
+    pool = {"en": ENGLISH, "de": GERMAN, "xx": ["katz", "gardens", "mats", "übern", "水", "ja"]}
+    rows = [(i, " ".join(r.choice(pool[x]) for _ in range(r.randint(0, 9))), x if r.random() < 0.8 else None) for i, x in enumerate(r.choices(list(pool), [5, 3, 1], k=240))]
+    rows += [(900, None, "en"), (901, "12 ?!", "de"), (902, "水水 gartenmatte xyzzy", None), (None, "die town", None), (903, "the " * 2000, None)]
+    want = brute(rows)
+    got = QUERIES["op8_language_id"](spark, folder(*rows)).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        assert (x.held_out, x.lang_pred) == want[x.doc_id][:2] and x.score == pytest.approx(want[x.doc_id][2], abs=1e-9)
+
+
 def test_real_languages_when_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = language_id.identify(docs).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()

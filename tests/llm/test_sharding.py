@@ -1,7 +1,10 @@
+import math
+import struct
 import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tabscope.llm.queries import QUERIES
@@ -27,6 +30,29 @@ def test_query_follows_the_key_law(spark, folder):
     assert len({r.shard for r in rows if r.doc_id == 7}) == 1
 
 
+def brute(key, weights):
+    """The shard of least cost, hashed by another library."""
+    text = xxhash.xxh64_intdigest("" if key is None else str(key), seed=42)
+
+    def cost(shard):
+        unit = ((xxhash.xxh64_intdigest(struct.pack("<i", shard), seed=text) >> 11) + 0.5) / 2**53
+        return -math.log(unit) / weights[shard]
+
+    return min((s for s in range(len(weights)) if weights[s] > 0), key=cost)
+
+
+def test_query_equals_brute_force(spark, folder):
+    rows = QUERIES["op6_rendezvous_shards"](spark, folder(*ROWS)).collect()
+    for r in rows:
+        assert r.shard == brute(r.doc_id, [1.0] * 24) and r.grown_shard == brute(r.doc_id, [1.0] * 25)
+
+
+def test_weighted_shards_equal_brute_force(spark):
+    weights = [1, 3, 0, 4, 0.25]
+    df = spark.range(3000).select("id", shard_of(F.col("id"), weights).alias("shard"))
+    assert all(r.shard == brute(r.id, weights) for r in df.collect())
+
+
 def test_slots_across_groups(documents, monkeypatch):
     monkeypatch.setattr("tabscope.llm.sharding.ROWS_PER_SLOT_GROUP", 50)
     rows = shard_documents(documents(*ROWS), [1.0] * 3).collect()
