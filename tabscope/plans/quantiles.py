@@ -6,6 +6,10 @@ and largest value found there. Each pass is one scan with a partial aggregation
 number of bins, so neither skew nor ties nor size moves rows between executors. Once few rows
 are left between the bounds, their values are read out. Spark's own ``percentile`` keeps every
 distinct value of a column in one buffer, which does not hold for long columns.
+
+Bins of equal width tell little about a column with a far outlier. Where the range is many standard
+deviations wide, or a first pass leaves most rows in one bin, a quantile sketch brackets the wanted
+ranks instead, and one scan counts what lies below and inside; the search goes on inside the brackets.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from tabscope.plans.moments import basic_stats
 BINS = 2048
 READ_OUT_ROWS = 50_000
 COLUMNS_PER_PASS = 12
+SKETCH = 20_000  # accuracy of the sketch: ranks are off by a share of 1 / SKETCH at most
+WIDE_RANGE = 200.0  # standard deviations
 
 
 @dataclass(frozen=True)
@@ -97,6 +103,36 @@ def _read_out(df: DataFrame, wanted: dict[tuple[str, int], _Range]) -> dict[tupl
     return {key: row[i] for i, key in enumerate(wanted)}
 
 
+def _bracketed(df: DataFrame, keys: list[tuple[str, int]], stats: dict) -> dict[tuple[str, int], _Range]:
+    """A narrow range around each wanted rank, from a sketch; only where a count proves that it holds the rank."""
+    ends, sketches = [], []
+    for i, (name, rank) in enumerate(keys):
+        n = stats[name]["count"]
+        shares = [max(0.0, rank / n - 2 / SKETCH), min(1.0, (rank + 1) / n + 2 / SKETCH)]
+        sketches.append(F.percentile_approx(col(name).cast("double"), shares, SKETCH).alias(f"q{i}"))
+    ends = df.agg(*sketches).first()
+    counts = []
+    for i, (name, _) in enumerate(keys):
+        x, (low, high) = col(name).cast("double"), ends[i]
+        counts += [F.count_if(x < low).alias(f"b{i}"), F.count_if((x >= low) & (x <= high)).alias(f"r{i}")]
+    row = df.agg(*counts).first()
+    found = {}
+    for i, (name, rank) in enumerate(keys):
+        below, rows = row[f"b{i}"], row[f"r{i}"]
+        if below <= rank < below + rows:
+            found[name, rank] = _Range(name, ends[i][0], ends[i][1], below, rows)
+    return found
+
+
+def _far_apart(s: dict) -> bool:
+    """Whether the range says little about where the values lie."""
+    std = s.get("std")
+    if not std:
+        return False
+    # Powers of values beyond 1e154 have no finite sum.
+    return not math.isfinite(std) or (s["max"] / 2 - s["min"] / 2) / std > WIDE_RANGE / 2
+
+
 def values_at_ranks(
     df: DataFrame, ranks: dict[str, list[int]], stats: dict
 ) -> dict[tuple[str, int], float]:
@@ -107,6 +143,9 @@ def values_at_ranks(
         s = stats[name]
         for k in wanted:
             open_[(name, k)] = _Range(name, s["min"], s["max"], 0, s["count"])
+    far = [k for k, r in open_.items() if r.rows > READ_OUT_ROWS and _far_apart(stats[k[0]])]
+    if far:
+        open_.update(_bracketed(df, far, stats))
     while True:
         for key, r in list(open_.items()):
             if r.low == r.high:
@@ -116,8 +155,15 @@ def values_at_ranks(
         if not wide:
             break
         bins = _narrow(df, list(dict.fromkeys(wide.values())))
+        stuck = []
         for key, r in wide.items():
             open_[key] = _locate(r, bins[r], key[1])
+            # All of a range in one bin, and not for being one value.
+            if key not in far and open_[key].rows > r.rows / 2 and open_[key].low < open_[key].high:
+                stuck.append(key)
+        if stuck:
+            far += stuck
+            open_.update(_bracketed(df, stuck, stats))
     if open_:
         found.update(_read_out(df, open_))
     return found

@@ -7,6 +7,7 @@ import pytest
 from tabscope.operators import describe
 from tabscope.plans import quantiles
 from tabscope.plans.moments import basic_stats
+from tabscope.plans import quantiles
 from tabscope.plans.quantiles import exact_quantiles
 from tests.conftest import by
 
@@ -158,6 +159,44 @@ def test_kde_integrates_to_one(spark):
     assert 0.95 < np.trapezoid([r["density"] for r in rows], [r["x"] for r in rows]) < 1.01
 
 
+@pytest.mark.parametrize("kind", ["far", "cauchy", "steps", "ties", "even", "both ends"])
+@pytest.mark.parametrize("moments", [True, False])
+def test_quantiles_of_far_outliers_take_few_scans(spark, monkeypatch, kind, moments):
+    """A sketch instead of pass after pass of bins that all rows share; exact all the same."""
+    monkeypatch.setattr(quantiles, "READ_OUT_ROWS", 200)
+    monkeypatch.setattr(quantiles, "SKETCH", 500)
+    scans = []
+    for name in ("_narrow", "_bracketed", "_read_out"):
+        real = getattr(quantiles, name)
+        # A bracket takes two: the sketch and the count.
+        monkeypatch.setattr(quantiles, name, lambda *a, real=real, name=name: (scans.extend([name] * (2 if name == "_bracketed" else 1)), real(*a))[1])
+    r = np.random.default_rng(6)
+    n = 20_000
+    x = {
+        "far": np.concatenate([r.normal(size=n - 1), [1e300]]),
+        "cauchy": r.standard_cauchy(n) ** 5,
+        "steps": 10.0 ** r.integers(-200, 200, n),
+        "ties": np.where(r.random(n) < 0.7, 0.0, r.standard_cauchy(n) ** 7),
+        "even": r.random(n),
+        "both ends": np.concatenate([r.normal(size=n - 2), [1.7e308, -1.7e308]]),
+    }[kind]
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    stats = basic_stats(df)
+    if moments:
+        stats["x"]["std"] = float(np.std(x / 1e10) * 1e10)
+    p = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = exact_quantiles(df, ["x"], p, stats)["x"]
+    order = np.sort(x)
+    for share, value in zip(p, got):
+        place = (n - 1) * share
+        low, high, part = order[math.floor(place)], order[math.ceil(place)], place - math.floor(place)
+        assert value == (low if low == high else low * (1 - part) + high * part)
+    # At full size a bracket is read out at once; with the small bounds here one pass of bins may come between.
+    if kind in ("far", "both ends") and moments:
+        assert len(scans) <= 4 and scans[0] == "_bracketed"
+    assert len(scans) <= 9
+
+
 @pytest.mark.parametrize("kind", ["even", "heavy", "levels", "two", "far"])
 def test_kde_equals_the_sum_of_kernels(spark, kind):
     r = np.random.default_rng(5)
