@@ -49,7 +49,7 @@ RARE = 5e-6  # an n-gram with a smaller share of a language's n-grams may come f
 LEAST_KNOWN = 0.7  # of the share of known n-grams that is usual in a language
 LEAST_SHARE = 0.25  # of n-grams that must be known where a language has too few documents to tell
 USUAL_DOCS = 200  # documents of each language that tell the usual share
-CACHED_WORDS = 300_000  # unseen words whose scores a task remembers at a time
+CACHED_WORDS = 100_000  # unseen words whose scores a task remembers at a time
 
 UNDETERMINED = "und"
 
@@ -248,10 +248,9 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.known = len(model.words)
-        self.index = dict(model.words)
-        self.scores = np.zeros((self.known + CACHED_WORDS, len(model.languages)))
-        self.scores[: self.known] = model.word_scores
-        self.familiar: dict[tuple[str, int], tuple[int, int]] = {}
+        self.index: dict[str, int] = {}  # unseen words that are remembered, behind the known ones
+        self.cache = np.zeros((CACHED_WORDS, len(model.languages)))
+        self.familiar: dict[int, dict[str, int]] = {}
         self._own: dict[int, bytes] = {}
 
     def unseen(self, word: str) -> np.ndarray:
@@ -263,11 +262,13 @@ class Scorer:
         return np.zeros(len(self.model.languages))
 
     def row(self, word: str) -> int:
-        at = self.index.get(word)
+        at = self.model.words.get(word)
         if at is None:
-            at = len(self.index)
+            at = self.index.get(word)
+        if at is None:
+            at = self.known + len(self.index)
+            self.cache[len(self.index)] = self.unseen(word)
             self.index[word] = at
-            self.scores[at] = self.unseen(word)
         return at
 
     def likelihoods(self, text: str | None) -> np.ndarray:
@@ -275,9 +276,11 @@ class Scorer:
         words = _words(text)
         for i in range(0, len(words), CACHED_WORDS // 2):
             part = words[i : i + CACHED_WORDS // 2]
-            if len(self.index) + len(part) > len(self.scores):
-                self.index = dict(self.model.words)
-            total = total + self.scores[[self.row(w) for w in part]].sum(axis=0)
+            if len(self.index) + len(part) > len(self.cache):
+                self.index.clear()
+            at = np.fromiter(map(self.row, part), np.int64, len(part))
+            seen = at < self.known
+            total = total + self.model.word_scores[at[seen]].sum(axis=0) + self.cache[at[~seen] - self.known].sum(axis=0)
         return total
 
     def _counts(self, grams: list[str], language: int) -> tuple[np.ndarray, np.ndarray]:
@@ -317,15 +320,17 @@ class Scorer:
                 known, total = int(times[counts - times >= least].sum()), int(times.sum())
         else:
             own, place = self._own_grams(language), self.model.grams.get
+            seen = self.familiar.setdefault(language, {})
             for w, times in words.items():
-                found = self.familiar.get((w, language))
+                found = seen.get(w)
                 if found is None:
-                    if len(self.familiar) >= CACHED_WORDS:
-                        self.familiar.clear()
+                    if len(seen) >= CACHED_WORDS // 2:
+                        seen.clear()
                     grams = _familiar_grams(w)
-                    found = self.familiar[w, language] = (sum([own[place(g, -1)] for g in grams]), len(grams))
-                known += found[0] * times
-                total += found[1] * times
+                    # Both numbers in one: a cache of small tuples takes several times the memory.
+                    found = seen[w] = sum([own[place(g, -1)] for g in grams]) << 32 | len(grams)
+                known += (found >> 32) * times
+                total += (found & 0xFFFFFFFF) * times
         return known / total if total else None
 
     def recognised(self, text: str | None, least_score: float) -> bool:
