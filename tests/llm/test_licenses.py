@@ -1,8 +1,10 @@
 import random
 import re
+import time
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tabscope.llm import licenses
 from tabscope.llm.licenses import scan_licenses
@@ -119,3 +121,33 @@ def test_own_templates_empty_tables_and_extra_columns(spark, documents):
     assert (got.n_words, got.n_base, got.first_word, got.labels) == (3, 1, 1, "mine,order")
     with pytest.raises(ValueError):
         scan_licenses(docs, {}, {})
+
+
+def test_words_at_both_ends_and_beyond_ascii(documents):
+    texts = ["", " ", "\x00\x7f", ".cc by.", "cc by", " cc by", "cc by ", "\ncc\x00by\x7fcc by", "\u0085cc by", "cc\U0001F600 by", "cc \U00010400 by", "cc\u212A CC BY", "CC BY É."]
+    rows = list(enumerate(texts))
+    assert sorted(map(tuple, scan_licenses(documents(*rows)).collect())) == brute(rows)
+
+
+def seconds(df):
+    best = float("inf")
+    for _ in range(4):
+        start = time.perf_counter()
+        df.write.format("noop").mode("overwrite").save()
+        best = min(best, time.perf_counter() - start)
+    return best
+
+
+def test_word_sets_cost_less_than_a_search_for_each_word(documents):
+    r = random.Random(3)
+    words = [w for t in licenses.TEMPLATES for w in t.split()] + [f"w{i}" for i in range(3_000)]
+    docs = documents(*((i, " ".join(r.choices(words, k=5_000))) for i in range(400))).localCheckpoint()
+    found = licenses.templates_of(licenses.TEMPLATES, licenses.PHRASES, licenses.CONTAINMENT)
+    searched = docs.select(F.regexp_extract_all("text", F.lit(licenses.WORD), F.lit(0)).alias("words"))
+    limit = seconds(searched)
+    assert seconds(licenses.word_sets(docs, found)) < limit
+
+
+def test_windows_are_joined_once_for_phrases_and_templates(documents):
+    plan = scan_licenses(documents(*corpus()))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
