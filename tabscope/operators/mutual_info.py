@@ -8,7 +8,8 @@ no class is one task. A task works on the sorted values of its part:
   that distance is read off the part, or asked of the part that holds the end of the interval.
 * For a continuous target, the third distance is found in cells of the plane (``plans.cells``). The counts
   along both coordinates are differences of ranks: of a second dealing, by value, only the two parts
-  that hold the ends of an interval are looked at.
+  that hold the ends of an interval are looked at. Features, coordinates and rounds of parts that are too
+  many points together follow one another, and what one leaves on disk is deleted before the next.
 
 Equal values are told apart by a tiny noise from the row's key, so a frequent value can be cut as well.
 """
@@ -16,23 +17,29 @@ Equal values are told apart by a tiny noise from the row's key, so a frequent va
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections.abc import Callable
+from contextlib import nullcontext
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscope.functions.columns import col
 from tabscope.operators.cleaning import label_encode, row_digest, stratified_sample
-from tabscope.plans.cells import deal_cells, neighbour_distances
+from tabscope.plans.blocks import as_blocks, deal_blocks, extents, numbers
+from tabscope.plans.cells import by_feature, deal_cells, neighbour_distances, quantile_cuts
 from tabscope.plans.local import local_table
-from tabscope.plans.scratch import materialise
+from tabscope.plans.scratch import materialise, passing
 
 NEIGHBOURS = 3
 JITTER = 1e-10
 MIN_ROWS = 3
 ROWS_PER_PART = 100_000
 LEAST_PER_PART = 10_000  # fewer are not dealt out further for the sake of parallel tasks
+POINTS_AT_ONCE = 8_000_000  # more are taken one feature, coordinate and round after the other
+MOST_ROUNDS = 4
 
 
 def digamma(n) -> np.ndarray:
@@ -100,10 +107,14 @@ class Order:
         return first, end
 
 
+def _parts(points: DataFrame, n: int) -> int:
+    wanted = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-n // ROWS_PER_PART), min(wanted, n // LEAST_PER_PART))
+
+
 def _deal(points: DataFrame, value: str, n: int) -> tuple[DataFrame, dict[int, Order]]:
     """The points with the number of their part, written down, and the order of each feature's parts."""
-    wanted = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, -(-n // ROWS_PER_PART), min(wanted, n // LEAST_PER_PART))
+    parts = _parts(points, n)
     dealt = points.repartitionByRange(parts, "pos", value).withColumn("part", F.spark_partition_id())
     dealt = materialise(dealt, "points")
     # One row per feature and part.
@@ -116,13 +127,9 @@ def _deal(points: DataFrame, value: str, n: int) -> tuple[DataFrame, dict[int, O
     return dealt, {pos: Order(own) for pos, own in found.items()}
 
 
-def _asked(dealt: DataFrame, questions: DataFrame, answer, schema: str) -> DataFrame:
-    """``answer(points, questions)`` in each part that is asked something."""
+def _of_asked_parts(dealt: DataFrame, questions: DataFrame) -> DataFrame:
     asked = F.broadcast(questions.select("part").distinct())  # part numbers
-    points = dealt.join(asked, "part", "left_semi")
-    return questions.groupBy("part").cogroup(points.groupBy("part")).applyInPandas(
-        lambda q, p: answer(p, q), schema
-    )
+    return dealt.join(asked, "part", "left_semi")
 
 
 def _class_reach(ordered: np.ndarray, lead: int, size: int, near: int) -> tuple[np.ndarray, np.ndarray]:
@@ -218,7 +225,11 @@ def _class_scores(points: DataFrame, n: int, k: int) -> DataFrame:
         dealt.groupBy("part").cogroup(borders.groupBy("part")).applyInPandas(solve, PIECES), "pieces"
     )
     open_ends = pieces.filter("id >= 0")
-    answered = _asked(dealt, open_ends.filter("part >= 0"), count, PIECES)
+    asked = open_ends.filter("part >= 0")
+    points = _of_asked_parts(dealt, asked)
+    answered = asked.groupBy("part").cogroup(points.groupBy("part")).applyInPandas(
+        lambda questions, part: count(part, questions), PIECES
+    )
     within = (
         open_ends.filter("part < 0")
         .unionByName(answered)
@@ -244,80 +255,151 @@ def _closer_than(ordered: np.ndarray, x: np.ndarray, radius: np.ndarray) -> np.n
     return np.maximum(stop - start, 0)
 
 
-MARGIN_ROWS = "pos int, id long, part int, v double, radius double, inside long, total double, n long"
+def _deal_values(values: DataFrame, n: int, features: int) -> tuple[Callable, dict[int, Order]]:
+    """The number of a value's part as a function of (pos, v), and the order of each feature's parts."""
+    pieces = -(-_parts(values, n) // features)
+    cuts, none = quantile_cuts(values, ["pos"], "v", pieces), np.zeros(0)
 
+    def part(pos: int, v: np.ndarray) -> np.ndarray:
+        return pos * pieces + np.searchsorted(cuts.get((pos,), none), v, side="left")
 
-def _margin_sums(values: DataFrame, n: int) -> DataFrame:
-    """(pos, total): sums over (pos, v, radius) of digamma of the values closer than the radius, itself included.
+    number = by_feature(part)
+    rows = extents(values.select("pos", "v"), "part", number, "v").groupBy("part").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")
+    )
+    found: dict[int, list] = {}
+    for r in rows.collect():  # one row per part
+        found.setdefault(r["part"] // pieces, []).append(r)
+    return number, {pos: Order(own) for pos, own in found.items()}
 
-    A count is a difference of two ranks, so at most the two parts that hold the ends of the interval are
-    asked, however many lie between.
-    """
-    dealt, orders = _deal(values, "v", n)
 
-    def rows(pos, name, part, v, radius, inside, total, n) -> pd.DataFrame:
-        return pd.DataFrame(
-            {"pos": pos, "id": name, "part": part, "v": v, "radius": radius, "inside": inside, "total": total, "n": n}
-        )
+def _asked(dealt: DataFrame, questions: DataFrame, answer, schema: str) -> DataFrame:
+    """``answer(points, questions)`` in each part that is asked something, both in blocks."""
+    asking = ["home", "at", "v", "radius"]
+    blocks = deal_blocks(questions.select("part", *asking), "part", lambda part, *_: part, asking)
+    points = _of_asked_parts(dealt, questions)
+    return blocks.groupBy("part").cogroup(points.groupBy("part")).applyInArrow(
+        lambda q, p: answer(p, q), schema
+    )
 
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        number = int(part["part"].iloc[0])
-        for pos, own in part.groupby("pos", sort=True):
-            own = own.sort_values(["v", "radius"], kind="stable")
-            v, radius = own["v"].to_numpy(), own["radius"].to_numpy()
-            order = orders[int(pos)]
-            here = bisect_left(order.parts, number)
-            first, last = order.ends(v, radius)
-            first, last = np.minimum(first, here), np.maximum(last, here)
-            inside = _closer_than(v, v, radius)
-            settled = (first == here) & (last == here)
-            total = digamma(np.maximum(inside[settled], 1)).sum()
-            out.append(rows([pos], -1, -1, 0.0, 0.0, 0, [total], int(settled.sum())))
-            at = np.flatnonzero(~settled)
-            f, l = first[at], last[at]
-            # Whole parts between the ends and this one.
-            between = np.where(f < here, order.before[here] - order.before[np.minimum(f + 1, here)], 0)
-            between = between + np.where(l > here, order.before[l] - order.before[here + 1], 0)
-            name = (number << 40) | at
-            out.append(rows(pos, name, -1, v[at], radius[at], inside[at] + between, 0.0, 1))
-            for end in (f, l):
-                away = end != here
-                asked = np.array(order.parts, np.int64)[end[away]]
-                out.append(rows(pos, name[away], asked, v[at][away], radius[at][away], 0, 0.0, 0))
-        return pd.concat(out)
-
-    def count(part: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = asked.copy()
-        for pos, own in asked.groupby("pos"):
-            ordered = np.sort(part["v"].to_numpy()[part["pos"].to_numpy() == pos])
-            out.loc[own.index, "inside"] = _closer_than(ordered, own["v"].to_numpy(), own["radius"].to_numpy())
-        return out
 
-    pieces = materialise(dealt.groupBy("part").applyInPandas(solve, MARGIN_ROWS), "margins")
-    waiting = pieces.filter("id >= 0")
-    answered = _asked(dealt, waiting.filter("part >= 0"), count, MARGIN_ROWS)
-    late = waiting.filter("part < 0").unionByName(answered).groupBy("pos", "id").agg(F.sum("inside").alias("m"))
-    late = late.select("pos", _digamma_column(F.greatest("m", F.lit(1))).alias("total"))
-    return pieces.filter("id < 0").select("pos", "total").unionByName(late).groupBy("pos").agg(F.sum("total").alias("total"))
+MARGIN_ROWS = "pos int, home int, at int, v double, radius double, inside long, first int, last int, total double"
+
+
+def _round_sums(values: DataFrame, number: Callable, orders: dict[int, Order], homes: tuple[int, int]) -> list:
+    """(pos, total) rows of the values in parts from the first to before the second number."""
+    of_part = {part: pos for pos, order in orders.items() for part in order.parts}
+
+    def home(pos: np.ndarray, v: np.ndarray, _) -> np.ndarray:
+        parts = number(pos, v)
+        return np.where((parts >= homes[0]) & (parts < homes[1]), parts, -1)
+
+    def solve(part: pa.Table) -> pa.Table:
+        here = part["part"][0].as_py()
+        pos = of_part[here]
+        v, radius = numbers(part["v"]), numbers(part["radius"])
+        by_value = np.lexsort((radius, v))
+        v, radius = v[by_value], radius[by_value]
+        order = orders[pos]
+        place = bisect_left(order.parts, here)
+        first, last = order.ends(v, radius)
+        first, last = np.minimum(first, place), np.maximum(last, place)
+        inside = _closer_than(v, v, radius)
+        settled = (first == place) & (last == place)
+        at = np.flatnonzero(~settled)
+        f, l = first[at], last[at]
+        # Whole parts between the ends and this one.
+        between = np.where(f < place, order.before[place] - order.before[np.minimum(f + 1, place)], 0)
+        between = between + np.where(l > place, order.before[l] - order.before[place + 1], 0)
+        numbered = np.array(order.parts, np.int32)
+        n = len(at) + 1  # the last row is the sum of those that ask nobody
+        return pa.table(
+            {
+                "pos": np.full(n, pos, np.int32),
+                "home": np.append(np.full(n - 1, here), -1).astype(np.int32),
+                "at": np.append(np.arange(n - 1), -1).astype(np.int32),
+                "v": np.append(v[at], 0.0),
+                "radius": np.append(radius[at], 0.0),
+                "inside": np.append(inside[at] + between, 0),
+                "first": np.append(np.where(f != place, numbered[f], -1), -1).astype(np.int32),
+                "last": np.append(np.where(l != place, numbered[l], -1), -1).astype(np.int32),
+                "total": np.append(np.zeros(n - 1), digamma(np.maximum(inside[settled], 1)).sum()),
+            }
+        )
 
+    def count(part: pa.Table, asked: pa.Table) -> pa.Table:
+        asking, at = numbers(asked["home"], "int32"), numbers(asked["at"], "int32")
+        inside = _closer_than(np.sort(numbers(part["v"])), numbers(asked["v"]), numbers(asked["radius"]))
+        by_home = np.argsort(asking, kind="stable")
+        names, starts = np.unique(asking[by_home], return_index=True)
+        answers = [as_blocks(c[by_home], starts) for c in (at, inside.astype(np.int64))]
+        return pa.table([pa.array(names.astype(np.int64)), *answers], ["home", "at", "inside"])
+
+    def finish(counts: pa.Table) -> pa.Table:
+        at, inside = numbers(counts["at"], "int32"), numbers(counts["inside"], "int64")
+        sums = np.zeros(at.max() + 1, np.int64)
+        np.add.at(sums, at, inside)
+        pos = of_part[counts["home"][0].as_py()]
+        return pa.table({"pos": np.array([pos], np.int32), "total": [digamma(np.maximum(sums, 1)).sum()]})
+
+    dealt = deal_blocks(values.select("pos", "v", "radius"), "part", home, ["v", "radius"])
+    pieces = materialise(dealt.groupBy("part").applyInArrow(solve, MARGIN_ROWS), "margins")
+    waiting = pieces.filter("home >= 0").withColumn("id", F.shiftleft(F.col("home").cast("long"), 32) + F.col("at"))
+    questions = waiting.withColumn("part", F.explode(F.array("first", "last"))).filter("part >= 0")
+    everyone = deal_blocks(values.select("pos", "v"), "part", number, ["v"])
+    answered = _asked(everyone, questions, count, "home long, at binary, inside binary")
+    own = deal_blocks(waiting.select("home", "at", "inside"), "home", lambda home, *_: home, ["at", "inside"])
+    late = own.unionByName(answered).groupBy("home").applyInArrow(finish, "pos int, total double")
+    totals = pieces.filter("home < 0").select("pos", "total").unionByName(late)
+    return totals.groupBy("pos").agg(F.sum("total").alias("total")).collect()  # one row per feature
+
+
+def _margin_sums(values: DataFrame, n: int, features: int = 1) -> DataFrame:
+    """(pos, total): sums over (pos, v, radius) of digamma of the values closer than the radius, itself included.
 
-def _continuous_scores(points: DataFrame, n: int, features: int, k: int) -> DataFrame:
-    """(pos, total, n): sums of digamma of both marginal counts over (pos, x, y) points."""
-    dealt, grids = deal_cells(points, n, features)
-    found = materialise(neighbour_distances(dealt, grids, k), "radii")
-    # Both margins at once, each as a feature of its own.
-    both = F.array(F.struct((2 * F.col("pos")).alias("pos"), F.col("x").alias("v")),
-                   F.struct((2 * F.col("pos") + 1).alias("pos"), F.col("y").alias("v")))
-    margins = found.select("radius", F.explode(both).alias("m")).select("m.pos", "m.v", "radius")
-    totals = _margin_sums(margins, 2 * n)
-    totals = totals.groupBy(F.expr("int(pos div 2)").alias("pos")).agg(F.sum("total").alias("total"))
-    return totals.join(found.groupBy("pos").agg(F.count("*").alias("n")), "pos")
+    A count is a difference of two ranks, so at most the two parts that hold the ends of the interval are
+    asked, however many lie between. The values of so many parts at a time ask.
+    """
+    spark = values.sparkSession
+    number, orders = _deal_values(values, n, features)
+    parts = sorted(part for order in orders.values() for part in order.parts)
+    rounds = min(MOST_ROUNDS, len(parts), -(-n // POINTS_AT_ONCE))
+    totals: dict[int, float] = {}
+    for i in range(rounds):
+        first, last = (len(parts) * j // rounds for j in (i, i + 1))
+        homes = parts[first], parts[last] if last < len(parts) else parts[-1] + 1
+        with passing(spark) if rounds > 1 else nullcontext():
+            for r in _round_sums(values, number, orders, homes):
+                totals[r["pos"]] = totals.get(r["pos"], 0.0) + r["total"]
+    return local_table(spark, list(totals.items()), "pos int, total double")
+
+
+def _continuous_scores(points: DataFrame, n: int, widths: list[float], k: int) -> list[dict]:
+    """(pos, total, n) rows: sums of digamma of both marginal counts over (pos, x, y) points. The widths tell how
+    far apart the noise puts equal values of each feature."""
+    features = len(widths)
+    dealt, grids = deal_cells(points, n, features, widths)
+    found = neighbour_distances(dealt, grids, k)
+    sums = {r["pos"]: dict(r.asDict(), total=0.0) for r in found.groupBy("pos").agg(F.count("*").alias("n")).collect()}
+    # Both margins at once where they are few, each as a feature of its own.
+    for margins in [["x", "y"]] if 2 * n <= POINTS_AT_ONCE else [["x"], ["y"]]:
+        m = len(margins)
+        each = F.array(*[F.struct((m * F.col("pos") + i).alias("pos"), F.col(c).alias("v")) for i, c in enumerate(margins)])
+        values = found.select("radius", F.explode(each).alias("m")).select("m.pos", "m.v", "radius")
+        with passing(points.sparkSession):
+            for r in _margin_sums(values, m * n, m * features).collect():
+                sums[r["pos"] // m]["total"] += r["total"]
+    return list(sums.values())
 
 
 def _noise(digest: Column, start: int) -> Column:
-    """Even noise in [-1, 1) from eight hex digits of the row digest."""
-    return F.conv(F.substring(digest, start, 8), 16, 10).cast("double") / F.lit(2.0**31) - 1
+    """A whole number of 32 bits from eight hex digits of the row digest."""
+    return (F.conv(F.substring(digest, start, 8), 16, 10).cast("long") - F.lit(2**31)).cast("int")
+
+
+def _even(noise: str) -> Column:
+    """Even noise in [-1, 1)."""
+    return F.col(noise).cast("double") / F.lit(2.0**31)
 
 
 def _scales(rows: DataFrame, names: list[str], unit: bool) -> dict[str, tuple[float, float] | None]:
@@ -362,18 +444,37 @@ def mutual_information(
     spark = df.sparkSession
     if not names:
         return local_table(spark, [], schema)
+    with passing(spark):
+        scores = _scores(df, target, task, names, categorical, key, max_rows, k, seed)
+    return local_table(spark, list(scores.items()), schema)
+
+
+def _scores(
+    df: DataFrame,
+    target: str,
+    task: str,
+    names: list[str],
+    categorical: list[str],
+    key: list[str] | None,
+    max_rows: int | None,
+    k: int,
+    seed: int,
+) -> dict[str, float]:
+    spark = df.sparkSession
     classification = task == "classification"
     keys = key or df.columns
     rows = df.filter(col(target).isNotNull())
     if max_rows is not None:
         rows = stratified_sample(rows, target if classification else None, max_rows, keys, seed)
     digest = row_digest([F.lit(seed), *[col(c) for c in keys]])
-    rows = rows.withColumns({"__digest": digest, "__target": col(target).cast("string" if classification else "double")})
+    # Numbers instead of the digest: one for the noise of the features, one for that of the target.
+    noise = {f"__noise_{i}": _noise(digest, start) for i, start in enumerate((13,) if classification else (13, 21))}
+    rows = rows.withColumns({**noise, "__target": col(target).cast("string" if classification else "double")})
     if classification:
         sizes = rows.groupBy("__target").agg(F.count("*").alias("__size")).filter("__size > 1")
         rows = rows.join(sizes.drop("__size"), "__target", "left_semi")
     rows = label_encode(rows, categorical) if categorical else rows
-    rows = materialise(rows.select(*[col(c) for c in dict.fromkeys(names)], "__digest", "__target"), "rows")
+    rows = materialise(rows.select(*[col(c) for c in dict.fromkeys(names)], *noise, "__target"), "rows")
     scales = _scales(rows, names, unit=not classification)
     used = [c for c in names if scales[c]]
     y_scale = None if classification else _scales(rows, ["__target"], True)["__target"]
@@ -382,17 +483,30 @@ def mutual_information(
         entries = []
         for c in used:
             divisor, size = scales[c]
-            x = col(c).cast("double") / F.lit(divisor) + F.lit(size) * _noise(F.col("__digest"), 13)
-            entries.append(x)
+            entries.append(col(c).cast("double") / F.lit(divisor) + F.lit(size) * _even("__noise_0"))
         other = F.col("__target").alias("class")
         if not classification:
             divisor, size = y_scale
-            other = (F.col("__target") / F.lit(divisor) + F.lit(size) * _noise(F.col("__digest"), 21)).alias("y")
-        points = rows.select(other, F.posexplode(F.array(*entries)).alias("pos", "x")).filter("x IS NOT NULL")
-        n = rows.count() * len(used)
-        sums = _class_scores(points, n, k) if classification else _continuous_scores(points, n, len(used), k)
+            other = (F.col("__target") / F.lit(divisor) + F.lit(size) * _even("__noise_1")).alias("y")
+
+        def points(first: int, last: int) -> DataFrame:
+            values = F.posexplode(F.array(*entries[first:last])).alias("pos", "x")
+            return rows.select(other, values).filter("x IS NOT NULL")
+
+        n = rows.count()
+        if classification:
+            sums = [r.asDict() for r in _class_scores(points(0, len(used)), n * len(used), k).collect()]
+        else:
+            sums = []
+            at_once = max(1, POINTS_AT_ONCE // max(n, 1))
+            for first in range(0, len(used), at_once):
+                widths = [2 * scales[c][1] for c in used[first : first + at_once]]
+                last = first + len(widths)
+                with passing(spark):
+                    own = _continuous_scores(points(first, last), n * len(widths), widths, k)
+                sums += [{**r, "pos": r["pos"] + first} for r in own]
         # One row per feature.
-        for r in sums.collect():
+        for r in sums:
             size = r["n"]
             if classification and size >= MIN_ROWS:
                 mi = float(digamma(size)) + r["total"] / size
@@ -401,4 +515,4 @@ def mutual_information(
             else:
                 mi = 0.0
             scores[used[r["pos"]]] = max(0.0, mi)
-    return local_table(spark, list(scores.items()), schema)
+    return scores

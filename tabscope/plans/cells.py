@@ -10,14 +10,14 @@ The cuts are quantile sketches, a few numbers a cell; they decide the balance of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabscope.plans.blocks import deal_blocks, numbers
 from tabscope.plans.scratch import materialise
 
 ROWS_PER_CELL = 100_000
@@ -76,7 +76,7 @@ class Grid:
         return point[pair], cell
 
 
-def _cuts(points: DataFrame, keys: list[str], value: str, pieces: int) -> dict:
+def quantile_cuts(points: DataFrame, keys: list[str], value: str, pieces: int) -> dict:
     """Approximate quantiles of each group that cut it into that many pieces."""
     shares = [i / pieces for i in range(1, pieces)]
     if not shares:
@@ -86,42 +86,89 @@ def _cuts(points: DataFrame, keys: list[str], value: str, pieces: int) -> dict:
     return {tuple(r[k] for k in keys): np.unique(np.array(r["cuts"], float)) for r in rows}
 
 
-def _numbered(points: DataFrame, name: str, number) -> DataFrame:
-    """The points with one more integer column ``number(pos, x, y)``, taken for all rows of a feature at once."""
+def by_feature(number: Callable) -> Callable:
+    """``number(pos, values...)``, taken for all rows of a feature at once, as a function of arrays."""
+
+    def of_rows(pos: np.ndarray, *values: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(pos), np.int64)
+        for p in np.unique(pos):
+            at = pos == p
+            found[at] = number(int(p), *[v[at] for v in values])
+        return found
+
+    return of_rows
+
+
+def _numbered(points: DataFrame, name: str, number: Callable) -> DataFrame:
+    """The points with one more integer column ``number(pos, x, y)``."""
+    of_rows = by_feature(number)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pos, x, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            found = np.zeros(len(pos), np.int64)
-            for p in np.unique(pos):
-                at = pos == p
-                found[at] = number(int(p), x[at], y[at])
+            found = of_rows(*[batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found)], ["pos", "x", "y", name])
 
     return points.select(F.col("pos").cast("int"), "x", "y").mapInArrow(work, f"pos int, x double, y double, {name} long")
 
 
-def deal_cells(points: DataFrame, n: int, features: int) -> tuple[DataFrame, dict[int, Grid]]:
-    """(pos, x, y, cell) written down, and the grid of each feature, of about ``n / features`` points."""
+def _past_ties(cuts: np.ndarray, width: float) -> np.ndarray:
+    """The cuts moved past values that lie closer above them than the width, one cut where several meet."""
+    kept: list[float] = []
+    for cut in cuts:
+        if not kept or cut + width - kept[-1] > width:
+            kept.append(cut + width)
+    return np.array(kept, float)
+
+
+def deal_cells(
+    points: DataFrame, n: int, features: int, widths: list[float] | None = None
+) -> tuple[DataFrame, dict[int, Grid]]:
+    """(cell, x, y) in blocks, and the grid of each feature, of about ``n / features`` points.
+
+    Strips do not end among values that lie within the feature's width of each other (equal ones, told apart by
+    noise), because all of these would ask beyond; a strip that grows by this gets more cells.
+    """
     wanted = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     most = max(1, -(-n // ROWS_PER_CELL), min(wanted, n // LEAST_PER_CELL))
     each = max(1, -(-most // max(1, features)))
     strips = max(1, round(each**0.5))
-    x_cuts = _cuts(points, ["pos"], "x", strips)
+    widths = widths or [0.0] * features
+    x_cuts = {pos: _past_ties(cuts, widths[pos]) for (pos,), cuts in quantile_cuts(points, ["pos"], "x", strips).items()}
     none = np.zeros(0)
 
     def strip(pos: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.searchsorted(x_cuts.get((pos,), none), x, side="left")
+        return np.searchsorted(x_cuts.get(pos, none), x, side="left")
 
-    pieces = -(-each // strips)
-    y_cuts = _cuts(_numbered(points, "strip", strip), ["pos", "strip"], "y", pieces) if pieces > 1 else {}
+    found = _strips(_numbered(points, "strip", strip), each, -(-each // strips)) if each > 1 else {}
     grids, first = {}, 0
     for pos in range(features):
-        cuts = x_cuts.get((pos,), none)
-        grids[pos] = Grid(first, cuts, [y_cuts.get((pos, s), none) for s in range(len(cuts) + 1)])
+        grids[pos] = Grid(first, *found.get(pos, (none, [none])))
         first = int(grids[pos].firsts[-1])
-    dealt = _numbered(points, "cell", lambda pos, x, y: grids[pos].cell_of(x, y))
-    return materialise(dealt, "cells"), grids
+    cell = by_feature(lambda pos, x, y: grids[pos].cell_of(x, y))
+    return deal_blocks(points.select(F.col("pos").cast("int"), "x", "y"), "cell", cell, ["x", "y"]), grids
+
+
+def _strips(numbered: DataFrame, each: int, pieces: int) -> dict[int, tuple[np.ndarray, list[np.ndarray]]]:
+    """Where the strips of a feature end, halfway to the next value, and approximate quantiles of y that cut each
+    strip into its share of the feature's ``each`` cells."""
+    shares = [i / each for i in range(1, each)]
+    cuts = F.percentile_approx("y", shares, max(1000, 80 * pieces))
+    aggregates = [F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), cuts.alias("cuts")]
+    strips: dict[int, list] = {}
+    for r in numbered.groupBy("pos", "strip").agg(*aggregates).sort("strip").collect():  # one row per strip
+        strips.setdefault(r["pos"], []).append(r)
+    found = {}
+    for pos, rows in strips.items():
+        n = sum(r["n"] for r in rows)
+        x_cuts, y_cuts = [], []
+        for r, beyond in zip(rows, [*rows[1:], None]):
+            own = -(-r["n"] * each // n)
+            y_cuts.append(np.unique(np.array(r["cuts"], float)[np.arange(1, own) * each // own - 1]))
+            if beyond:
+                half = r["high"] / 2 + beyond["low"] / 2
+                x_cuts.append(half if r["high"] <= half < beyond["low"] else r["high"])
+        found[pos] = np.array(x_cuts, float), y_cuts
+    return found
 
 
 class Neighbours:
@@ -213,14 +260,27 @@ class Neighbours:
 
 
 FOUND = "pos int, id long, x double, y double, radius double, best array<double>, cells array<long>"
+NEARER = "pos int, id long, x double, y double, best array<double>"
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray, none: np.ndarray) -> pa.Array:
+    """One list per size, cut from the values; NULL where there is none."""
+    ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32(), mask=np.append(none, False))
+    return pa.ListArray.from_arrays(ends, pa.array(values))
 
 
 def neighbour_distances(dealt: DataFrame, grids: dict[int, Grid], k: int) -> DataFrame:
     """(pos, x, y, radius): the distance of the k-th nearest other point of the feature for every point."""
+    features = sorted(grids)
+    firsts = np.array([grids[pos].firsts[0] for pos in features])
 
-    def solve(cell: pd.DataFrame) -> pd.DataFrame:
-        pos, number = int(cell["pos"].iloc[0]), int(cell["cell"].iloc[0])
-        x, y = cell["x"].to_numpy(), cell["y"].to_numpy()
+    def feature_of(cell: int) -> int:
+        return features[int(np.searchsorted(firsts, cell, side="right")) - 1]
+
+    def solve(cell: pa.Table) -> pa.Table:
+        number = cell["cell"][0].as_py()
+        pos = feature_of(number)
+        x, y = numbers(cell["x"]), numbers(cell["y"])
         best = Neighbours(x, y, k).among_themselves()
         radius = best[-1]
         left, right, below, above = grids[pos].borders(number)
@@ -228,37 +288,54 @@ def neighbour_distances(dealt: DataFrame, grids: dict[int, Grid], k: int) -> Dat
         at = np.flatnonzero(~inside)
         point, asked = grids[pos].reached(x[at], y[at], radius[at])
         other = asked != number
-        asked_of = np.split(asked[other], np.cumsum(np.bincount(point[other], minlength=len(at)))[:-1])
-        name = np.full(len(x), -1)
-        name[at] = (number << 32) | at
-        lists = np.full((2, len(x)), None, object)
-        for i, place in enumerate(at):  # few: those next to a border
-            lists[0, place], lists[1, place] = best[:, place], asked_of[i]
-        return pd.DataFrame(
-            {"pos": pos, "id": name, "x": x, "y": y, "radius": radius, "best": lists[0], "cells": lists[1]}
+        point, asked = point[other], asked[other]
+        by_point = np.argsort(point, kind="stable")
+        name, own, asks = np.full(len(x), -1), np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        name[at], own[at], asks[at] = (number << 32) | at, k, np.bincount(point, minlength=len(at))
+        return pa.table(
+            {
+                "pos": pa.array(np.full(len(x), pos, np.int32)),
+                "id": name,
+                "x": x,
+                "y": y,
+                "radius": radius,
+                "best": _lists(best[:, at].T.ravel(), own, inside),
+                "cells": _lists(asked[by_point], asks, inside),
+            }
         )
 
-    def nearer(asked: pd.DataFrame, cell: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(cell):
-            return pd.DataFrame({"pos": [], "id": [], "best": []})
-        points = Neighbours(cell["x"].to_numpy(), cell["y"].to_numpy(), k)
-        best = points.from_outside(asked["x"].to_numpy(), asked["y"].to_numpy(), asked["radius"].to_numpy())
+    def nearer(asked: pa.Table, cell: pa.Table) -> pa.Table:
+        x, y, bound = (numbers(asked[c]) for c in ("x", "y", "radius"))
+        names = numbers(asked["id"], "int64")
+        best = np.full((k, len(x)), np.inf)
+        if len(x) and cell.num_rows:
+            best = Neighbours(numbers(cell["x"]), numbers(cell["y"]), k).from_outside(x, y, bound)
         some = np.flatnonzero(np.isfinite(best[0]))
-        return pd.DataFrame({"pos": asked["pos"].iloc[some], "id": asked["id"].iloc[some], "best": list(best[:, some].T)})
+        pos = feature_of(asked["cell"][0].as_py()) if len(x) else 0
+        none = pa.nulls(len(some), pa.float64())
+        return pa.table(
+            {
+                "pos": pa.array(np.full(len(some), pos, np.int32)),
+                "id": names[some],
+                "x": none,
+                "y": none,
+                "best": _lists(best[:, some].T.ravel(), np.full(len(some), k), np.zeros(len(some), bool)),
+            }
+        )
 
-    first = materialise(dealt.groupBy("cell").applyInPandas(solve, FOUND), "neighbours")
+    first = materialise(dealt.groupBy("cell").applyInArrow(solve, FOUND), "neighbours")
     settled = first.filter("id < 0").select("pos", "x", "y", "radius")
     if all(len(g.firsts) == 2 and not len(g.y_cuts[0]) for g in grids.values()):
         return settled  # one cell a feature
     waiting = first.filter("id >= 0")
-    questions = waiting.select("pos", "id", "x", "y", "radius", F.explode("cells").alias("cell"))
-    more = questions.groupBy("cell").cogroup(dealt.groupBy("cell")).applyInPandas(
-        nearer, "pos int, id long, best array<double>"
-    )
-    answers = waiting.select("pos", "id", "best").unionByName(more)
-    # As many lists for each point as cells that its square touches.
-    nearest = answers.groupBy("pos", "id").agg(
-        F.element_at(F.array_sort(F.flatten(F.collect_list("best"))), k).alias("radius")
+    questions = waiting.select("id", "x", "y", "radius", F.explode("cells").alias("cell"))
+    questions = deal_blocks(questions, "cell", lambda i, x, y, radius, cell: cell, ["id", "x", "y", "radius"])
+    more = questions.groupBy("cell").cogroup(dealt.groupBy("cell")).applyInArrow(nearer, NEARER)
+    answers = waiting.select("pos", "id", "x", "y", "best").unionByName(more)
+    # As many lists for each point as cells that its square touches, and its own.
+    moved = answers.groupBy("pos", "id").agg(
+        F.max("x").alias("x"),
+        F.max("y").alias("y"),
+        F.element_at(F.array_sort(F.flatten(F.collect_list("best"))), k).alias("radius"),
     )
-    moved = waiting.drop("radius").join(nearest, ["pos", "id"]).select("pos", "x", "y", "radius")
-    return settled.unionByName(moved)
+    return settled.unionByName(materialise(moved.drop("id"), "moved"))
