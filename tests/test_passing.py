@@ -8,7 +8,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tabscope.operators import associate
 from tabscope.operators import mutual_info as mi
+from tabscope.operators.target import classify_target
 from tabscope.plans import blocks, cells, scratch
 from tests.test_associate import _brute_continuous
 
@@ -71,6 +73,18 @@ def test_nothing_is_left_and_features_do_not_add_up(spark, monkeypatch):
     assert peaks[1] < 1.2 * peaks[0]
 
 
+def test_associations_leave_results_only(spark, monkeypatch):
+    """The ranking of features can still be read; of the points behind it nothing is on disk any more."""
+    folder = _folder(spark)
+    sizes = _watched(monkeypatch, folder)
+    _, df = _frame(spark, 3_000, 3)
+    before = set(_bytes(folder))
+    ranked = associate.feature_associations(df, classify_target(df, "z"), key=["id"])
+    left = sum(n for f, n in _bytes(folder).items() if f not in before)
+    assert max(n for _, n in sizes) > 100_000 and left < 10_000  # pairs of columns
+    assert [r["feature"] for r in ranked.orderBy("mi_rank").collect()][0] == "x0" and ranked.count() == 4
+
+
 def test_tables_are_deleted_after_errors_too_and_settings_come_back(spark):
     folder, before = _folder(spark), spark.conf.get(scratch.CLEANUP, None)
     files = set(_bytes(folder))
