@@ -255,10 +255,23 @@ def _closer_than(ordered: np.ndarray, x: np.ndarray, radius: np.ndarray) -> np.n
     return np.maximum(stop - start, 0)
 
 
-def _deal_values(values: DataFrame, n: int, features: int) -> tuple[Callable, dict[int, Order]]:
+def _with_ends(cuts: np.ndarray, width: float) -> np.ndarray:
+    """Also cut before and after equal values that several cuts are among, so that these fill whole parts."""
+    width *= 1.01  # more than sums with the noise are rounded
+    runs = np.split(cuts, np.flatnonzero(np.diff(cuts) > width) + 1)
+    ends = [e for run in runs if len(run) > 1 for e in (run[-1] - width, run[0] + width)]
+    return np.unique(np.concatenate([cuts, ends]))
+
+
+def _deal_values(
+    values: DataFrame, n: int, features: int, widths: list[float] | None
+) -> tuple[Callable, dict[int, Order]]:
     """The number of a value's part as a function of (pos, v), and the order of each feature's parts."""
     pieces = -(-_parts(values, n) // features)
     cuts, none = quantile_cuts(values, ["pos"], "v", pieces), np.zeros(0)
+    if widths:
+        cuts = {(pos,): _with_ends(own, widths[pos]) for (pos,), own in cuts.items()}
+    pieces = 1 + max([len(own) for own in cuts.values()], default=0)
 
     def part(pos: int, v: np.ndarray) -> np.ndarray:
         return pos * pieces + np.searchsorted(cuts.get((pos,), none), v, side="left")
@@ -305,12 +318,14 @@ def _round_sums(values: DataFrame, number: Callable, orders: dict[int, Order], h
         first, last = order.ends(v, radius)
         first, last = np.minimum(first, place), np.maximum(last, place)
         inside = _closer_than(v, v, radius)
-        settled = (first == place) & (last == place)
+        # Parts that lie inside as a whole need not be asked: where the ends do, and all between them and this one.
+        low, high = np.array(order.low), np.array(order.high)
+        cut_first = (first < place) & (v - low[first] >= radius)
+        cut_last = (last > place) & (high[last] - v >= radius)
+        inside = inside + order.before[place] - order.before[np.minimum(first + cut_first, place)]
+        inside = inside + order.before[np.maximum(last + 1 - cut_last, place + 1)] - order.before[place + 1]
+        settled = ~cut_first & ~cut_last
         at = np.flatnonzero(~settled)
-        f, l = first[at], last[at]
-        # Whole parts between the ends and this one.
-        between = np.where(f < place, order.before[place] - order.before[np.minimum(f + 1, place)], 0)
-        between = between + np.where(l > place, order.before[l] - order.before[place + 1], 0)
         numbered = np.array(order.parts, np.int32)
         n = len(at) + 1  # the last row is the sum of those that ask nobody
         return pa.table(
@@ -320,9 +335,9 @@ def _round_sums(values: DataFrame, number: Callable, orders: dict[int, Order], h
                 "at": np.append(np.arange(n - 1), -1).astype(np.int32),
                 "v": np.append(v[at], 0.0),
                 "radius": np.append(radius[at], 0.0),
-                "inside": np.append(inside[at] + between, 0),
-                "first": np.append(np.where(f != place, numbered[f], -1), -1).astype(np.int32),
-                "last": np.append(np.where(l != place, numbered[l], -1), -1).astype(np.int32),
+                "inside": np.append(inside[at], 0),
+                "first": np.append(np.where(cut_first, numbered[first], -1)[at], -1).astype(np.int32),
+                "last": np.append(np.where(cut_last, numbered[last], -1)[at], -1).astype(np.int32),
                 "total": np.append(np.zeros(n - 1), digamma(np.maximum(inside[settled], 1)).sum()),
             }
         )
@@ -354,14 +369,15 @@ def _round_sums(values: DataFrame, number: Callable, orders: dict[int, Order], h
     return totals.groupBy("pos").agg(F.sum("total").alias("total")).collect()  # one row per feature
 
 
-def _margin_sums(values: DataFrame, n: int, features: int = 1) -> DataFrame:
+def _margin_sums(values: DataFrame, n: int, features: int = 1, widths: list[float] | None = None) -> DataFrame:
     """(pos, total): sums over (pos, v, radius) of digamma of the values closer than the radius, itself included.
 
     A count is a difference of two ranks, so at most the two parts that hold the ends of the interval are
-    asked, however many lie between. The values of so many parts at a time ask.
+    asked, however many lie between, and none of those that lie inside as a whole. Values closer than the widths,
+    one for each feature, count as equal but for noise. The values of so many parts at a time ask.
     """
     spark = values.sparkSession
-    number, orders = _deal_values(values, n, features)
+    number, orders = _deal_values(values, n, features, widths)
     parts = sorted(part for order in orders.values() for part in order.parts)
     rounds = min(MOST_ROUNDS, len(parts), -(-n // POINTS_AT_ONCE))
     totals: dict[int, float] = {}
@@ -374,9 +390,9 @@ def _margin_sums(values: DataFrame, n: int, features: int = 1) -> DataFrame:
     return local_table(spark, list(totals.items()), "pos int, total double")
 
 
-def _continuous_scores(points: DataFrame, n: int, widths: list[float], k: int) -> list[dict]:
+def _continuous_scores(points: DataFrame, n: int, widths: list[float], y_width: float, k: int) -> list[dict]:
     """(pos, total, n) rows: sums of digamma of both marginal counts over (pos, x, y) points. The widths tell how
-    far apart the noise puts equal values of each feature."""
+    far apart the noise puts equal values of each feature and of y."""
     features = len(widths)
     dealt, grids = deal_cells(points, n, features, widths)
     found = neighbour_distances(dealt, grids, k)
@@ -386,8 +402,9 @@ def _continuous_scores(points: DataFrame, n: int, widths: list[float], k: int) -
         m = len(margins)
         each = F.array(*[F.struct((m * F.col("pos") + i).alias("pos"), F.col(c).alias("v")) for i, c in enumerate(margins)])
         values = found.select("radius", F.explode(each).alias("m")).select("m.pos", "m.v", "radius")
+        own = [w if c == "x" else y_width for w in widths for c in margins]
         with passing(points.sparkSession):
-            for r in _margin_sums(values, m * n, m * features).collect():
+            for r in _margin_sums(values, m * n, m * features, own).collect():
                 sums[r["pos"] // m]["total"] += r["total"]
     return list(sums.values())
 
@@ -503,7 +520,7 @@ def _scores(
                 widths = [2 * scales[c][1] for c in used[first : first + at_once]]
                 last = first + len(widths)
                 with passing(spark):
-                    own = _continuous_scores(points(first, last), n * len(widths), widths, k)
+                    own = _continuous_scores(points(first, last), n * len(widths), widths, 2 * y_scale[1], k)
                 sums += [{**r, "pos": r["pos"] + first} for r in own]
         # One row per feature.
         for r in sums:

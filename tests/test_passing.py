@@ -119,6 +119,21 @@ def test_equal_values_are_not_cut_into_strips(spark, monkeypatch):
     assert got == pytest.approx(_brute_continuous(noisy.to_numpy(), pdf.z.to_numpy() / np.std(pdf.z)), abs=0.02)
 
 
+def test_parts_inside_an_interval_are_not_asked(spark, monkeypatch):
+    """Intervals that hold all equal values end between them and others: nobody asks the parts at their ends."""
+    monkeypatch.setattr(mi, "ROWS_PER_PART", 50)
+    questions = []
+    real = mi._asked
+    monkeypatch.setattr(mi, "_asked", lambda dealt, q, f, s: (questions.append(q), real(dealt, q, f, s))[1])
+    r = np.random.default_rng(5)
+    v, radius = r.choice([0.0, 1.0, 2.0], 2000, p=[0.2, 0.5, 0.3]) + 1e-10 * r.uniform(-1, 1, 2000), r.choice([1e-3, 1e-11], 2000, p=[0.9, 0.1])
+    df = spark.createDataFrame(pd.DataFrame({"pos": 0, "v": v, "radius": radius}), "pos int, v double, radius double")
+    got = mi._margin_sums(df, 2000, 1, [2e-10]).first()["total"]
+    inside = np.array([np.sum(np.abs(v - a) < b) for a, b in zip(v, radius)])
+    assert got == pytest.approx(mi.digamma(np.maximum(inside, 1)).sum(), rel=1e-12)
+    assert questions[0].filter("radius = 1e-3").count() == 0 < questions[0].count()
+
+
 def test_cells_without_an_answer(spark, monkeypatch):
     """Points ask a cell in which nobody is nearer."""
     monkeypatch.setattr(cells, "ROWS_PER_CELL", 4)
